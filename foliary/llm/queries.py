@@ -4,21 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import cluster, pairwise_quality, weak_rules
+from foliary.llm import cluster, fingerprints, mixing, packing, pairwise_quality, sharding, weak_rules
+from foliary.llm.cluster import documents
+
+
+def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 def op2_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise_quality.rank_quality(cluster.documents(spark, sf_dir), cluster.table(spark, sf_dir, "labels"))
+    return pairwise_quality.rank_quality(documents(spark, sf_dir), cluster.table(spark, sf_dir, "labels"))
 
 
 def op4_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weak_rules.judge(cluster.documents(spark, sf_dir))
+    return weak_rules.judge(documents(spark, sf_dir))
+
+
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_with_edits(documents(spark, sf_dir))
+
+
+def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bradley_terry, op4_weak_rules)
+    f.__name__: f for f in (op1_entropy_mix, op2_bradley_terry, op4_weak_rules, op6_weighted_sampling, op8_label_propagation, op10_best_fit)
 }
 
 #: DuckDB SQL where SQL can express a query whole; the others have brute-force tests.
