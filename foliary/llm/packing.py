@@ -37,8 +37,8 @@ from foliary.llm import textarrays as ta
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces that one task ranks, about.
-_RANKED = 200_000
+#: Pieces of one length that are ranked together, about.
+_RANKED = 2_000
 #: Words and parts of words whose ids a worker remembers.
 _REMEMBERED = 800_000
 #: The tokenizer's own split, fixed value.
@@ -207,15 +207,17 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
     return rules
 
 
-def ranked(rows: DataFrame, key: str, n_rows: int) -> DataFrame:
-    """`rows` with `rank`, gapless from 0 within each value of `key`; values with many rows are ranked by bucket."""
-    buckets = max(1, -(-n_rows // _RANKED))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = rows.groupBy(key, "bucket").count()
-    before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(key, "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy(key, "bucket").orderBy("doc_id", "piece", "ids_crc32"))
-    return rows.withColumn("rank", place - 1).join(counts, [key, "bucket"]).withColumn("rank", F.col("rank") + F.col("before")).drop("bucket", "before")
+def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """`rows` with `rank`, gapless from 0 within each length; lengths of many pieces are ranked by buckets."""
+    spark = rows.sparkSession
+    buckets = spark.createDataFrame([(k, -(-n // _RANKED)) for k, n in counts.items()], "length long, buckets long")
+    rows = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")))
+    sizes = rows.groupBy("length", "bucket").count()
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    rows = rows.withColumn("place", place - 1).join(sizes, ["length", "bucket"])
+    return rows.withColumn("rank", F.col("place") + F.col("before"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -227,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
         best_fit_decreasing(counts, capacity), "length long, first_rank long, end_rank long, first_sequence long, each long, first_offset long"
     )
     at = F.col("rank") - F.col("first_rank")
-    placed = ranked(parts, "length", sum(counts.values())).join(F.broadcast(rules), "length").where("rank >= first_rank and rank < end_rank")
+    placed = ranked(parts, counts).join(F.broadcast(rules), "length").where("rank >= first_rank and rank < end_rank")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_sequence") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import cluster, fingerprints, mixing, packing, pairwise_quality, sharding, weak_rules
+from foliary.llm import cluster, fingerprints, mixing, ngram_join, packing, pairwise_quality, sharding, suffix_dedup, weak_rules
 from foliary.llm.cluster import documents
 
 
@@ -27,16 +27,27 @@ def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_entropy_mix, op2_bradley_terry, op4_weak_rules, op6_weighted_sampling, op8_label_propagation, op10_best_fit)
+    f.__name__: f
+    for f in (
+        op1_entropy_mix, op2_bradley_terry, op4_weak_rules, op6_weighted_sampling, op7_ngram_join, op8_label_propagation, op9_suffix_dedup, op10_best_fit,
+    )
 }
 
 #: DuckDB SQL where SQL can express a query whole; the others have brute-force tests.
