@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliary.llm import cluster, fingerprints, mixing, ngram_join, packing, pairwise_quality, pii, sharding, suffix_dedup, weak_rules
+from foliary.llm import cluster, fingerprints, licenses, mixing, ngram_join, packing, pairwise_quality, pii, sharding, suffix_dedup, weak_rules
 from foliary.llm.cluster import documents
 
 
@@ -27,6 +27,10 @@ def op4_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judge(documents(spark, sf_dir))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_entropy_mix, op2_bradley_terry, op3_contextual_pii, op4_weak_rules, op6_weighted_sampling, op7_ngram_join, op8_label_propagation, op9_suffix_dedup, op10_best_fit,
+        op1_entropy_mix, op2_bradley_terry, op3_contextual_pii, op4_weak_rules, op5_licence_scan, op6_weighted_sampling, op7_ngram_join, op8_label_propagation, op9_suffix_dedup, op10_best_fit,
     )
 }
 
