@@ -46,7 +46,7 @@ from foliary.llm import textarrays as ta
 MATCH = 50
 TRIGGER = 24
 #: Bytes of text a batch of messages comes from, and that a bucket gets, about.
-_BATCH = 2 << 20
+_BATCH = 1 << 20
 _BUCKET = 16 << 20
 _LEAST_BITS, _MOST_BITS = 20, 31
 _NULL = np.iinfo(np.int64).max
@@ -113,9 +113,11 @@ def _parsed(batch: pa.RecordBatch):
 
 def _spread(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[np.ndarray]]]:
     """The columns by bucket."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     ends = np.append(cuts[1:], len(bucket))
     return [(int(bucket[i]), [c[order[i:j]] for c in columns]) for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
 
@@ -382,13 +384,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = _compare_phrases(rows, shared, log_buckets)
     owners = _bits_of(found.where("kind = 1").select("packed"), bits, lambda x: _owned(*_split(x, 2)))
     owners = spark.sparkContext.broadcast(owners)
-    parts = _compare_stretches(rows, owners, log_buckets)
+    parts = _compare_stretches(rows, owners, log_buckets + 3)  # stretches take far more memory than what is sent
 
     whole, part = found.where("kind = 0").select("packed"), parts
     changed = _bits_of(whole, bits, lambda x: ta.mix64(np.unique(_split(x, 2)[0])))
     changed.data |= _bits_of(part, bits, lambda x: ta.mix64(np.unique(_split(x, 3)[0]))).data
     changed = spark.sparkContext.broadcast(changed)
-    groups = max(8, total // (2 * _BATCH))
+    groups = max(8, total // (4 * _BATCH))
 
     def mark_of(ids: np.ndarray) -> np.ndarray:
         return (ta.mix64(_u(ids) * _MIX) % ta.U64(groups)).astype(np.int64)
