@@ -109,7 +109,7 @@ def multipliers(histogram: DataFrame, goals: DataFrame, steps: int = NEWTON_STEP
         both = both.withColumn("multiplier", F.round(F.when(inside, step).otherwise(middle), 12))
         missed = F.max(F.when(F.col("full"), 0.0).otherwise(F.abs(F.col("words") - F.col("target")) / F.greatest("target", F.lit(1.0))))
         now = cluster.written(both.withColumn("missed", missed.over(Window.partitionBy())).drop("words", "slope"), 1)
-        if (now.select("missed").head() or [0.0])[0] < 1e-6:  # of the multipliers before the last step
+        if (now.select("missed").head() or [0.0])[0] < 1e-3:  # of the multipliers before the last step; repairs close the rest
             break
         now = now.drop("missed")
     return now
