@@ -149,32 +149,34 @@ class BitTable:
 
 
 def _collect_bits(rows: DataFrame, bits: int) -> BitTable:
-    """A table from parts (first byte, bytes) that do not overlap, or that overlap and are combined."""
+    """A table from its parts: first byte, bytes."""
     table = BitTable(bits)
     for at, part in rows.toLocalIterator():
-        table.data[at : at + len(part)] |= np.frombuffer(part, np.uint8)
+        table.data[at : at + len(part)] = np.frombuffer(part, np.uint8)
     return table
 
 
-def _bit_parts(h: np.ndarray, bits: int, size: int = 1 << 15) -> list[tuple[int, bytes]]:
-    """Parts of a BitTable with the bits of these hashes."""
+#: Bytes of a BitTable that one task puts together.
+_PART = 1 << 15
+
+
+def _bit_places(h: np.ndarray, bits: int) -> pa.Table:
+    """What a part of a BitTable is made of: first byte of the part, places of bits in it as packed 32-bit numbers."""
     at = np.unique(h >> ta.U64(64 - bits)).astype(np.int64)
-    out = []
-    for part, (x,) in _spread(at // (8 * size), at):
-        data = np.zeros(8 * size, np.uint8)
-        data[x - part * 8 * size] = 1
-        out.append((part * size, np.packbits(data, bitorder="little")[: max(1, (1 << bits) // 8 - part * size)].tobytes()))
-    return out
+    parts = _spread(at // (8 * _PART), at % (8 * _PART))
+    return pa.table({"at": pa.array([k * _PART for k, _ in parts], pa.int64()), "places": pa.array([x.astype("<u4").tobytes() for _, (x,) in parts], pa.binary())})
 
 
-def _combined(parts: DataFrame) -> DataFrame:
-    """Parts with the same first byte as one; there are at most as many of each as tasks that sent it."""
+def _bit_table(places: DataFrame, bits: int) -> BitTable:
+    """The table of all places; parts are put together by tasks, and the driver gets each once."""
 
     def group(t: pa.Table) -> pa.Table:
-        data = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["part"].to_pylist()])
-        return pa.table({"at": t["at"][:1], "part": pa.array([data.tobytes()], pa.binary())})
+        data = np.zeros(min(8 * _PART, 1 << bits), np.uint8)
+        for x in t["places"].to_pylist():
+            data[np.frombuffer(x, "<u4")] = 1
+        return pa.table({"at": t["at"][:1], "part": pa.array([np.packbits(data, bitorder="little").tobytes()], pa.binary())})
 
-    return parts.groupBy("at").applyInArrow(group, "at long, part binary")
+    return _collect_bits(places.groupBy("at").applyInArrow(group, "at long, part binary"), bits)
 
 
 def _shared_triggers(rows: DataFrame, bits: int, log_buckets: int) -> BitTable:
@@ -200,11 +202,10 @@ def _shared_triggers(rows: DataFrame, bits: int, log_buckets: int) -> BitTable:
         twice = [_unpack5(x) for k, x in zip(kind, raw, strict=True) if k]
         found = np.concatenate([once[1:][once[1:] == once[:-1]], *twice])
         top = ta.U64(t["bucket"][0].as_py()) << ta.U64(64 - log_buckets)
-        parts = _bit_parts(top | found << ta.U64(24) >> ta.U64(log_buckets), bits)
-        return pa.table({"at": pa.array([a for a, _ in parts], pa.int64()), "part": pa.array([x for _, x in parts], pa.binary())})
+        return _bit_places(top | found << ta.U64(24) >> ta.U64(log_buckets), bits)
 
     sent = cluster.map_batches(rows, batch, "bucket long, kind int, triggers binary")
-    return _collect_bits(_combined(sent.groupBy("bucket").applyInArrow(group, "at long, part binary")), bits)
+    return _bit_table(sent.groupBy("bucket").applyInArrow(group, "at long, places binary"), bits)
 
 
 def _join(*columns: np.ndarray) -> bytes:
@@ -328,10 +329,9 @@ def _compare_stretches(rows: DataFrame, owners, log_buckets: int) -> DataFrame:
 
 def _bits_of(packed: DataFrame, bits: int, hashes) -> BitTable:
     def batch(b: pa.RecordBatch) -> pa.Table:
-        parts = _bit_parts(np.concatenate([np.zeros(0, ta.U64), *(hashes(x) for x in b.column(0).to_pylist())]), bits)
-        return pa.table({"at": pa.array([a for a, _ in parts], pa.int64()), "part": pa.array([x for _, x in parts], pa.binary())})
+        return _bit_places(np.concatenate([np.zeros(0, ta.U64), *(hashes(x) for x in b.column(0).to_pylist())]), bits)
 
-    return _collect_bits(_combined(cluster.map_batches(packed, batch, "at long, part binary")), bits)
+    return _bit_table(cluster.map_batches(packed, batch, "at long, places binary"), bits)
 
 
 def _result(doc_id: pa.Array, texts: ta.Texts, covered: np.ndarray | None) -> pa.Table:
