@@ -1,17 +1,18 @@
 """Sharding by balanced label propagation.
 
 Documents of equal text are linked. Every linked document starts in a shard by
-hash; then, in rounds of joins, each moves towards the shard that most bytes of
-its group are in and that has room, admitted by quota: for every target shard,
-in an order fixed by hash, only as many bytes as it has left. Groups larger
-than a shard fill one after another. Documents without links then fill every
+hash; then, in rounds of joins until none asks to move, each moves towards the
+shard that most bytes of its group are in and that has room for it, admitted by
+quota: for every target shard, in an order fixed by hash, only as many bytes as
+it has left. Groups larger than a shard fill one after another. Documents without links then fill every
 shard up to the same size: those of notable size, of which there can only be a
 bounded number, into the emptiest, the others by cuts through their order.
 The law that holds is `bytes`.
 
 Scale: texts are read once for size and checksums and never shuffled. Groups
-are counted before they are joined, loads and quotas are tables of at most
-shards * bins rows, and slots come from counts by shard and bucket.
+are counted before they are joined and move as counts by shard, loads and quotas
+are tables of at most shards * bins rows, and slots come from counts by shard
+and bucket.
 
 Edge cases: a null text has size 16 and is linked to no empty text; repeated
 rows are linked like any equal texts; null doc_ids are sharded like others; an
@@ -31,7 +32,6 @@ from foliary.llm import cluster
 
 SHARDS = 40
 OVERHEAD = 16
-ROUNDS = 6
 #: Bins of the order in which documents are admitted or dealt.
 _BINS = 1024
 _FINE = 1 << 16
@@ -61,43 +61,65 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
     return [int(found.get(s, 0)) for s in range(shards)]
 
 
-def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """`linked` (with _GROUP, rid) with a shard each; no shard gets over `capacity` bytes by a move."""
+def propagate(linked: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """`linked` (with _GROUP, rid) with a shard each; no shard gets over `capacity` bytes by a move.
+
+    Documents of a group are alike, so rounds move counts by group and shard;
+    which documents stand for them is settled at the end. Rounds go on until no
+    piece of a group asks to move. Each moves at least one document to where
+    more of its group is, so the sum of squared counts grows and they end.
+    """
     spark = linked.sparkSession
     order = F.pmod(F.xxhash64(F.lit("order"), *_GROUP), F.lit(_BINS)).cast("int")
     start = F.pmod(F.xxhash64(F.lit("start"), "rid"), F.lit(shards)).cast("int")
     rows = cluster.written(linked.withColumn("shard", start).withColumn("bin", order))
-    for round_ in range(rounds):
-        loads = _loads(rows, shards)
+    pieces = cluster.written(rows.groupBy(*_GROUP, "bin", "shard").agg(F.count("*").alias("n")))
+    while True:
+        loads = _loads(pieces.select("shard", (F.col("size") * F.col("n")).alias("size")), shards)
         free = spark.createDataFrame([(s, max(0, capacity - w)) for s, w in enumerate(loads)], "shard int, free long")
-        held = rows.groupBy(*_GROUP, "bin", "shard").agg(F.sum("size").alias("held"))
-        held = held.join(F.broadcast(free), "shard")
-        # The shard that holds most of the group, of those with room for more.
-        best = F.max_by("shard", F.struct(F.when(F.col("free") > 0, F.col("held")).otherwise(-1), -F.col("shard")))
-        most = F.max(F.when(F.col("free") > 0, F.col("held")).otherwise(-1))
-        wish = held.groupBy(*_GROUP).agg(best.alias("best"), most.alias("most"))
+        # The shard that holds most of the group, of those with room for one more of its documents.
+        open_ = pieces.join(F.broadcast(free), "shard").withColumn("open", F.when(F.col("free") >= F.col("size"), F.col("n")).otherwise(-1))
+        best = F.max_by("shard", F.struct("open", -F.col("shard"))).alias("best")
+        wish = open_.groupBy(*_GROUP).agg(best, F.max("open").alias("most")).where("most > 0")
         # A piece of a group moves only to where more of it is; of two equal ones to the lower shard.
-        moving = held.join(wish, _GROUP).where((F.col("most") > 0) & (F.col("best") != F.col("shard")))
-        moving = moving.where((F.col("most") > F.col("held")) | (F.col("most") == F.col("held")) & (F.col("best") < F.col("shard")))
-        moving = cluster.written(moving.select(*_GROUP, "bin", "shard", "best", "held"))
-        asked = moving.groupBy("best", "bin").agg(F.sum("held").alias("asked")).collect()  # at most shards * _BINS rows
+        moving = pieces.join(wish, _GROUP).where((F.col("most") > F.col("n")) | (F.col("most") == F.col("n")) & (F.col("best") < F.col("shard")))
+        moving = cluster.written(moving.select(*_GROUP, "bin", "shard", "best", "n"))
+        asked = moving.groupBy("best", "bin").agg(F.sum(F.col("size") * F.col("n")).alias("asked")).collect()  # at most shards * _BINS rows
         if not asked:
             break
-        # Whole bins are admitted while they fit; of the first that does not, as large a part by hash of rows as fits.
+        # Whole bins are admitted while they fit; of the first that does not, as many documents in order as fit.
         part = []
         for target in range(shards):
             left = max(0, capacity - loads[target])
             for bin_, n in sorted((r["bin"], int(r["asked"])) for r in asked if r["best"] == target):
-                admitted = min(1.0, left / n)
-                part.append((target, bin_, 1.0 if admitted >= 1 else admitted * 0.98))
-                left -= min(left, n)
-        quota = spark.createDataFrame(part, "best int, bin int, admitted double")
-        goes = moving.join(F.broadcast(quota), ["best", "bin"]).select(*_GROUP, "shard", "best", "admitted")
-        draw = F.pmod(F.xxhash64(F.lit(round_), "rid"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        rows = rows.join(goes, [*_GROUP, "shard"], "left")
-        rows = rows.withColumn("shard", F.when(draw < F.col("admitted"), F.col("best")).otherwise(F.col("shard")))
-        rows = cluster.written(rows.drop("best", "admitted"))
-    return rows.drop("bin")
+                if left > 0:
+                    part.append((target, bin_, left))
+                left -= n
+        quota = spark.createDataFrame(part, "best int, bin int, left long")
+        ahead = Window.partitionBy("best", "bin").orderBy(*_GROUP, "shard").rowsBetween(Window.unboundedPreceding, -1)
+        room = F.col("left") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(ahead), F.lit(0))
+        goes = F.least("n", F.greatest(F.floor(room / F.col("size")), F.lit(0))).cast("long")
+        moved = moving.join(F.broadcast(quota), ["best", "bin"]).select(*_GROUP, "bin", "shard", "best", goes.alias("goes")).where("goes > 0")
+        change = F.explode(F.array(F.struct("shard", (-F.col("goes")).alias("n")), F.struct(F.col("best").alias("shard"), F.col("goes").alias("n")))).alias("x")
+        change = moved.select(*_GROUP, "bin", change).select(*_GROUP, "bin", "x.shard", "x.n")
+        now = pieces.unionByName(change).groupBy(*_GROUP, "bin", "shard").agg(F.sum("n").alias("n")).where("n > 0")
+        pieces = cluster.written(now)
+    return _dealt(rows.drop("shard", "bin"), pieces)
+
+
+def _dealt(rows: DataFrame, pieces: DataFrame) -> DataFrame:
+    """`rows` with a shard each, as many of each group in a shard as `pieces` (_GROUP, shard, n) say."""
+    buckets = max(1, math.ceil(rows.count() / _SLOTTED))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("deal"), "rid"), F.lit(buckets)))
+    before = Window.partitionBy(*_GROUP).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*_GROUP, "bucket").agg(F.count("*").alias("n"))
+    counts = counts.select(*_GROUP, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    end = F.sum("n").over(Window.partitionBy(*_GROUP).orderBy("shard")).alias("end")
+    ends = pieces.select(*_GROUP, "shard", end).groupBy(*_GROUP).agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+    place = F.row_number().over(Window.partitionBy(*_GROUP, "bucket").orderBy("rid")) - 1
+    dealt = rows.withColumn("place", place).join(counts.join(ends, _GROUP), [*_GROUP, "bucket"])
+    held = F.element_at(F.filter("ends", lambda e: e["end"] > F.col("place") + F.col("before")), 1)["shard"]
+    return cluster.written(dealt.select(*rows.drop("bucket").columns, held.alias("shard")))
 
 
 def _fill(single: DataFrame, loads: list[int], shards: int, total: int) -> DataFrame:
@@ -144,13 +166,13 @@ def slots(rows: DataFrame, n_rows: int) -> DataFrame:
     return rows.withColumn("place", place).join(counts, ["shard", "bucket"]).withColumn("slot", F.col("place") + F.col("before"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document."""
     rows = cluster.written(nodes(docs))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     groups = rows.groupBy(*_GROUP).agg(F.count("*").alias("n")).where("n > 1")
     linked = rows.join(groups.select(*_GROUP), _GROUP)
-    placed = propagate(linked, shards, int(total / shards), rounds)
+    placed = propagate(linked, shards, int(total / shards))
     single = rows.join(groups.select(*_GROUP), _GROUP, "left_anti")
     single = cluster.written(single.select(*(c for c in placed.columns if c != "shard")))
     everything = placed.unionByName(_fill(single, _loads(placed, shards), shards, total).select(placed.columns))

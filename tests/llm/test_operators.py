@@ -227,6 +227,39 @@ def test_shards(odd, corpus):
     assert np.mean([len(x) == 1 for x in where.values()]) > 0.9
 
 
+def test_shards_of_a_large_group(spark):
+    texts = ["x" * 84] * 1600 + [f"{i % 600:084d}" for i in range(1200)] + [f"single {i:077d}" for i in range(2000)]
+    draw = random.Random(4)
+    docs = list(enumerate(draw.sample(texts, len(texts))))
+    rows = sharding.shard(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    text, held = dict(docs), defaultdict(Counter)
+    for r in rows:
+        held[text[r.doc_id]][r.shard] += 1
+    # A shard holds 120 documents: 13 of the group's shards are full of it, but for what was there before it.
+    group = sorted(held["x" * 84].values(), reverse=True)
+    assert sum(group) == 1600 and len(group) <= 20 and sum(group[:16]) >= 0.95 * 1600
+    assert np.mean([len(x) == 1 for t, x in held.items() if sum(x.values()) == 2]) > 0.9
+    loads = Counter(r.shard for r in rows)
+    assert len(loads) == 40 and max(loads.values()) - min(loads.values()) <= 1
+
+
+def test_shards_are_never_overfilled(spark):
+    docs = [(i, f"{i % 7}" * (50 * (i % 7) + 34)) for i in range(400)]
+    nodes = sharding.nodes(spark.createDataFrame(docs, "doc_id long, text string"))
+    total = nodes.agg(F.sum("size")).first()[0]
+    begun, loads = Counter(), Counter()
+    for r in nodes.select("size", F.pmod(F.xxhash64(F.lit("start"), "rid"), F.lit(8)).alias("shard")).collect():
+        begun[r.shard] += r.size
+    rows = sharding.propagate(nodes, 8, total // 8).collect()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert sorted(r.doc_id for r in rows) == list(range(400)) and all(loads[s] <= max(begun[s], total // 8) for s in range(8))
+    # Nothing asks to move: no shard has room for a piece of which it holds more.
+    held = Counter((r.size, r.shard) for r in rows)
+    for (size, s), n in held.items():
+        assert not any(z == size and q != s and (m, -q) > (n, -s) and total // 8 - loads[q] >= size for (z, q), m in held.items())
+
+
 def test_repeats(odd, corpus):
     for df, docs in (odd, corpus):
         want = brute.without_repeats(docs)
