@@ -281,7 +281,7 @@ def verify(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, key; texts: key, rep, copies, class_id, links, class_texts)."""
+    """(documents: doc_id, key; texts: key, rep, copies, class_id, links, class_texts, component)."""
     cluster.bounded_batches(docs.sparkSession)
     described = cluster.written(describe(docs, depth_for(recall, similarity)))
     same = F.any_value
@@ -296,11 +296,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     grouped = components(checked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = texts.select("node", "rep").join(grouped, "node")
     names = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("class_texts"))
-    inside = grouped.join(names, "component").join(linked, "node", "left").select("node", "class_id", "links", "class_texts")
+    inside = grouped.join(names, "component").join(linked, "node", "left").select("node", "component", "class_id", "links", "class_texts")
     out = texts.select("node", "key", "rep", "copies").join(inside, "node", "left")
     out = out.select(
         "key", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"),
         F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_texts", F.lit(1)).alias("class_texts"),
+        F.coalesce("component", "node").alias("component"),
     )
     return described.select("doc_id", "key"), cluster.written(out)
 
@@ -314,9 +315,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The document of least doc_id of each class, with all its columns."""
+    """The document of least doc_id of each class, with all its columns. Classes are told by component, as class_id may be null or that of another class too."""
     _, texts = classes(docs, similarity, recall)
-    chosen = texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min(F.struct("rep", "key")).alias("x"))
+    chosen = texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min(F.struct("rep", "key")).alias("x"))
     chosen = chosen.select(F.col("x.key").alias("key_"), F.coalesce(F.col("x.rep").cast("string"), F.lit("")).alias("rep_"))
     rows = docs.withColumns({"key_": _key(cluster.text_or_empty()), "rep_": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
     return rows.join(chosen, ["key_", "rep_"], "left_semi").dropDuplicates(["key_", "rep_"]).drop("key_", "rep_")

@@ -208,6 +208,17 @@ def test_join_in_blocks(spark):
     assert got == {i: want[t][:2] for i, t in docs}
 
 
+def test_join_keeps_classes_that_share_an_id(spark):
+    def text(name, last="end"):
+        return " ".join([*(f"{name}{i}" for i in range(40)), last])
+
+    docs = [(None, text("a")), (None, text("b")), (None, text("b", "other")), (None, text("c")), (None, text("c")), (None, "")]
+    docs += [(5, text("d")), (5, text("e")), (5, text("f")), (6, text("f", "other")), (7, text("e")), (5, text("d"))]
+    kept = ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.text.split(" ")[0] for r in kept) == ["", "a0", "b0", "c0", "d0", "e0", "f0"]
+    assert all(r.doc_id == (5 if r.text[:1] in tuple("def") else None) for r in kept)
+
+
 def test_shards(odd, corpus):
     for df, docs in (odd, corpus):
         rows = sharding.shard(df).collect()
