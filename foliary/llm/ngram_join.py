@@ -25,6 +25,8 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,15 +44,22 @@ RECALL = 0.9999
 #: Texts of one block; two blocks at most meet in a task.
 BLOCK = 400
 #: Estimates may fall short of the threshold by this much before a pair is dropped unverified.
-SLACK = 0.2
+SLACK = 0.3
 _BITS = 1 << 24
 _SKETCH = 128
 
 
+def sketch_loss(similarity: float) -> float:
+    """The part of pairs at `similarity` whose sketches fall short of it by more than SLACK: a tail of the binomial law."""
+    differ = (1 - similarity) / 2
+    most = math.floor((1 - similarity + SLACK) * _SKETCH / 2 + 1e-9)
+    return sum(math.comb(_SKETCH, k) * differ**k * (1 - differ) ** (_SKETCH - k) for k in range(most + 1, _SKETCH + 1))
+
+
 def depth_for(recall: float, similarity: float, trees: int = TREES, label: int = LABEL) -> int:
-    """The longest prefix whose recall at `similarity` reaches `recall`; 1 if none does."""
-    p = label
-    while p > 1 and 1 - (1 - similarity**p) ** trees < recall:
+    """The longest prefix whose recall at `similarity`, less what sketches lose, reaches `recall`; 1 if none does."""
+    p, lost = label, sketch_loss(similarity)
+    while p > 1 and 1 - (1 - similarity**p) ** trees - lost < recall:
         p -= 1
     return p
 
@@ -111,10 +120,11 @@ def describe(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
 
 def may_match(s: np.ndarray, n: np.ndarray, at: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
     """Which of `others` may be as similar to each of `at`, by sketch and by size."""
+    s = s.astype(np.uint64)  # of signed numbers the bits of absolute values would count
     differ = np.bitwise_count(s[at, None, :] ^ s[None, others, :]).sum(2, dtype=np.int64)
     estimate = 1 - 2 * differ / _SKETCH  # bits agree with probability (1 + similarity) / 2
     a, b = n[at, None], n[None, others]
-    return (estimate >= similarity - SLACK) & (np.minimum(a, b) >= (similarity - 1e-9) * np.maximum(a, b))
+    return (estimate >= similarity - SLACK - 1e-9) & (np.minimum(a, b) >= (similarity - 1e-9) * np.maximum(a, b))
 
 
 def loose_clusters(s: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
