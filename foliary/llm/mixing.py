@@ -33,10 +33,14 @@ from foliary.llm import textarrays as ta
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-NEWTON_STEPS = 25
+#: How near to its target, as a part of it, each source's rates have to come, and steps after which that is an error.
+TOLERANCE = 1e-6
+MOST_STEPS = 200
+_STEPS_A_JOB = 8
+_FAR = 1e9
 REPAIRS = 4
 _BINS = 4096
-_EXACT = "decimal(24,6)"
+_EXACT = "decimal(28,8)"
 #: Sources up to which their table is broadcast.
 _BROADCAST = 50_000
 
@@ -82,37 +86,52 @@ def _rate(multiplier, size, mean):
     return F.least(F.lit(float(MOST)), F.exp(F.least(multiplier * size / mean, F.lit(50.0))))
 
 
-def multipliers(histogram: DataFrame, goals: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
-    """source, target, source_size, mean and multiplier; `histogram` has source, size, n.
+def _newton(histogram: DataFrame, now: DataFrame, n_sources: int) -> DataFrame:
+    """One step: `now` with the multipliers moved, and `missed`, by how much of its target each source missed before.
+
+    The state travels through the aggregation, so that steps chain into one job.
+    """
+    state = [c for c in now.columns if c not in ("source", "missed")]
+    rate = _rate(F.col("multiplier"), F.col("size"), F.col("mean"))
+    joined = _by_source(histogram, now, n_sources)
+    words = (F.col("size") * rate * F.col("n")).cast(_EXACT)
+    slope = F.when(rate < MOST, F.col("size") * F.col("size") / F.col("mean") * rate * F.col("n")).otherwise(0.0).cast(_EXACT)
+    both = joined.groupBy("source").agg(F.sum(words).cast("double").alias("words"), F.sum(slope).cast("double").alias("slope"), *(F.any_value(c).alias(c) for c in state))
+    gap = F.col("target") - F.col("words")
+    missed = F.when(F.col("full"), 0.0).otherwise(F.abs(gap) / F.greatest("target", F.lit(1.0)))
+    both = both.withColumn("missed", missed)
+    both = both.withColumns({"low": F.when(gap > 0, F.col("multiplier")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("high")).otherwise(F.col("multiplier"))})
+    step = F.col("multiplier") + gap / F.greatest("slope", F.lit(1e-9))
+    middle = (
+        F.when(F.col("high") >= _FAR, F.greatest(F.col("low") * 2, F.lit(1.0))).when(F.col("low") <= -_FAR, F.least(F.col("high") * 2, F.lit(-1.0)))
+        .otherwise((F.col("low") + F.col("high")) / 2)
+    )
+    moved = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise(middle)
+    return both.withColumn("multiplier", F.when(F.col("missed") <= TOLERANCE, F.col("multiplier")).otherwise(F.round(moved, 12))).select(*now.columns)
+
+
+def multipliers(histogram: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
+    """source, target, source_size, full, mean and multiplier; `histogram` has source, size, n.
 
     A step aggregates words and their slope at the present multipliers and
-    moves each by Newton's rule, or to the middle of its bracket if that leaves it.
+    moves each by Newton's rule, or within its bracket if that leaves it. Steps
+    go on until every source is within TOLERANCE of its target; an error tells
+    if MOST_STEPS are not enough.
     """
     about = histogram.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    now = _by_source(goals, about).withColumn("mean", F.greatest("mean", F.lit(1.0)))
+    now = _by_source(goals, about, n_sources).withColumn("mean", F.greatest("mean", F.lit(1.0)))
     # Sources at their cap take each document twice: the multiplier is without bound.
     full = F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)
-    now = now.withColumn("full", full).withColumns({"multiplier": F.lit(0.0), "low": F.lit(-50.0), "high": F.lit(1e6)})
-    now = cluster.written(now, 1)
-    for _ in range(steps):
-        rate = _rate(F.col("multiplier"), F.col("size"), F.col("mean"))
-        joined = _by_source(histogram, now.select("source", "multiplier", "mean"))
-        words = (F.col("size") * rate).cast(_EXACT) * F.col("n")
-        slope = F.when(rate < MOST, (F.col("size") * F.col("size") / F.col("mean") * rate)).otherwise(0.0).cast(_EXACT) * F.col("n")
-        found = joined.groupBy("source").agg(F.sum(words).cast("double").alias("words"), F.sum(slope).cast("double").alias("slope"))
-        both = _by_source(now, found)
-        short = F.col("words") < F.col("target")
-        both = both.withColumns({"low": F.when(short, F.col("multiplier")).otherwise(F.col("low")), "high": F.when(short, F.col("high")).otherwise(F.col("multiplier"))})
-        step = F.col("multiplier") + (F.col("target") - F.col("words")) / F.greatest("slope", F.lit(1e-9))
-        middle = F.when(F.col("high") > 1e5, F.greatest(F.col("low") * 2, F.lit(1.0))).otherwise((F.col("low") + F.col("high")) / 2)
-        inside = (step > F.col("low")) & (step < F.col("high"))
-        both = both.withColumn("multiplier", F.round(F.when(inside, step).otherwise(middle), 12))
-        missed = F.max(F.when(F.col("full"), 0.0).otherwise(F.abs(F.col("words") - F.col("target")) / F.greatest("target", F.lit(1.0))))
-        now = cluster.written(both.withColumn("missed", missed.over(Window.partitionBy())).drop("words", "slope"), 1)
-        if (now.select("missed").head() or [0.0])[0] < 1e-3:  # of the multipliers before the last step; repairs close the rest
-            break
-        now = now.drop("missed")
-    return now
+    now = now.withColumns({"full": full, "multiplier": F.lit(0.0), "low": F.lit(-_FAR), "high": F.lit(_FAR), "missed": F.lit(0.0)})
+    now = cluster.written(now)
+    for _ in range(0, MOST_STEPS, _STEPS_A_JOB):
+        for _ in range(_STEPS_A_JOB):
+            now = _newton(histogram, now, n_sources)
+        now = cluster.written(now)
+        missed = now.agg(F.max("missed")).first()[0]
+        if (missed or 0.0) <= TOLERANCE:
+            return now.drop("low", "high", "missed")
+    raise RuntimeError(f"the rates of a source still miss its target by {missed} of it after {MOST_STEPS} steps")
 
 
 def _choices(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
@@ -157,13 +176,13 @@ def plan_mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """
     histogram = cluster.written(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     by_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    plan = multipliers(histogram, targets(by_source, weights, share))
-    n = plan.count()
+    n = by_source.count()
+    plan = multipliers(histogram, targets(by_source, weights, share), n)
     none = F.array().cast("array<struct<gap:double,cut:int>>")
     plan = plan.select("source", "source_size", "target", "multiplier", "mean", "full", none.alias("repairs"))
     for _ in range(repairs):
         gap = _choices(sized, plan, n).groupBy("source").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-        plan = cluster.written(_by_source(plan, gap), 1)
+        plan = cluster.written(_by_source(plan, gap, n))
         able, place = _able(F.col("gap"), F.col("copies"), F.col("turned"))
         bins = _choices(sized, plan, n).where(able).groupBy("source", "gap", place.alias("bin")).agg(F.sum("size").alias("words"))
         run = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
@@ -172,7 +191,7 @@ def plan_mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         plan = plan.join(cut, F.col("source").eqNullSafe(F.col("source_")), "left")
         step = F.struct(F.col("gap"), F.coalesce("cut", F.lit(-1)).alias("cut"))
         plan = plan.withColumn("repairs", F.concat("repairs", F.array(step))).drop("source_", "gap", "cut")
-        plan = cluster.written(plan, 1)
+        plan = cluster.written(plan)
     return plan, n
 
 
