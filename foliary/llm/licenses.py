@@ -1,26 +1,33 @@
 """Licence scan by a trained paragraph classifier.
 
-Paragraphs are the lines of a text. Their features are hashed words and pairs
-of neighbouring words, their classes licence families and `none`, and their
-model is a multinomial logistic regression with sparse inputs, trained here on
-paragraphs made from short templates (whole, cut and with words put in) and on
-paragraphs that are no licences: a bounded sample of the corpus that holds none
-of the templates' tell-tale words, and the same words in other senses. The
-confidence below which a paragraph is `unknown` is set on made paragraphs that
-were not trained on. A prediction only counts if the paragraph shares enough
-word pairs with a template of its family.
-
-Scale: one pass over the texts, no shuffle; training sees at most
-SAMPLE paragraphs of the corpus, a documented bound.
-
-Edge cases: null and empty texts have no paragraph; lines without words are
-none; repeated rows get equal results; columns besides doc_id and text are
-ignored; an empty table gives an empty result and the model of the templates.
+Paragraphs are the lines of a text; lines of more than WINDOW words are scored
+by windows of so many, which overlap by half. Their features are hashed words
+and pairs of neighbouring words, their classes licence families and `none`, and
+their model is a multinomial logistic regression with sparse inputs, trained
+here on paragraphs made from short templates (whole, cut, with words put in,
+and within other text) and on paragraphs that are no licences: a bounded sample
+of the corpus that holds none of the templates' tell-tale words, and the same
+words in other senses. Two confidences are set on paragraphs that were not
+trained on: that of a family, from made ones, and that of any licence at all,
+from the corpus; what has the second but not the first is `unknown`. A family
+only counts if the paragraph shares enough word pairs with its templates.
+
+Scale: two passes over the texts find the sample: the SAMPLE least hashes of
+all pieces of at most WINDOW words and PIECE_BYTES bytes, whatever line of
+whatever document they are in, each distinct piece counted once; tasks send
+hashes alone, which are merged in two steps, and then the pieces chosen. A
+third pass scans. Texts are never shuffled.
+
+Edge cases: null and empty texts have no paragraph; lines without words count
+as paragraphs of no class; repeated rows get equal results, and equal pieces
+are one piece of the sample; columns besides doc_id and text are ignored; an
+empty table gives an empty result and the model of the templates.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,9 +87,13 @@ OTHER_SENSES = (
 )
 NONE = "none"
 FAMILIES = (*TEMPLATES, NONE)
+#: Pieces of the corpus to train on, at most, and how long they may be.
 SAMPLE = 2_000
+PIECE_BYTES = 4_096
+#: Words up to which a line is scored as a whole, and of a window of a longer one.
+WINDOW = 24
 _BUCKETS = 1 << 18
-_TELLTALE = re.compile(r"licen|copyright|permission|redistribut|warrant", re.IGNORECASE)
+_TELLTALE = re.compile(rb"licen|copyright|permission|redistribut|warrant", re.IGNORECASE)
 #: Bytes as they count for words: letters and digits in lower case, all else a space.
 _FOLD = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -93,38 +104,67 @@ for _b in range(256):
 
 @dataclass
 class Features:
-    """Feature buckets end to end, their paragraph, and each paragraph's start and end in the buffer and text."""
+    """Feature buckets end to end, their unit (a line, or a window of a long one), and each unit's start, end, text and line."""
 
     bucket: np.ndarray
     of: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
+    line: np.ndarray
+    line_text: np.ndarray  # the text of each line
     pair: np.ndarray  # hash of each pair of words
     pair_of: np.ndarray
 
 
-def featurise(texts: ta.Texts) -> Features:
-    """Words and word pairs of all lines."""
+def _lines(texts: ta.Texts):
+    """Starts and ends of lines and words, each word's line and place in it, hashes of words."""
     start, end = texts.edges(texts.buf != 10)
     folded = ta.Texts(_FOLD[texts.buf], texts.offsets)
     ws, we, _ = ta.words(folded)
     line = np.searchsorted(start, ws, "right") - 1 if len(start) else np.zeros(0, np.int64)
-    h = ta.hash_runs(folded.buf, ws, we)
-    together = line[1:] == line[:-1]
-    pair = ta.mix64(h[:-1] * ta.U64(0x9E3779B97F4A7C15) + h[1:])[together] if len(h) else h
-    pair_of = line[1:][together] if len(h) else line
-    bucket = np.concatenate([h, pair]) >> ta.U64(46)
-    return Features(bucket.astype(np.int64), np.concatenate([line, pair_of]), start, end, np.searchsorted(texts.offsets, start, "right") - 1, pair, pair_of)
+    n_words = np.bincount(line, minlength=len(start))
+    place = np.arange(len(ws)) - (np.cumsum(n_words) - n_words)[line]
+    return start, end, ws, we, line, place, n_words, ta.hash_runs(folded.buf, ws, we)
+
+
+def featurise(texts: ta.Texts, whole_lines: bool = False) -> Features:
+    """Words and word pairs of all lines, or of the windows of long ones."""
+    start, end, ws, we, line, place, n_words, h = _lines(texts)
+    window = max(WINDOW, int(n_words.max(initial=0))) if whole_lines else WINDOW
+    half = -(-window // 2)
+    units = np.where(n_words > window, -(-(n_words - window) // half) + 1, 1)
+    base = np.cumsum(units) - units
+    of_line = np.repeat(np.arange(len(start)), units)
+    # A word is in the window that begins in its half of WINDOW words, and in the one before.
+    late, early = place // half, place // half - 1
+    in_late, in_early = late < units[line], early >= 0
+    pair = ta.mix64(h[:-1] * ta.U64(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
+    together = np.flatnonzero(line[1:] == line[:-1]) if len(h) else np.zeros(0, np.int64)
+    pair, at = pair[together], together + 1
+    whole = in_late[at] & (place[at] % half > 0)  # its first word is in that window too
+    pair_of = np.concatenate([(base[line] + late)[at][whole], (base[line] + early)[at][in_early[at]]])
+    pair = np.concatenate([pair[whole], pair[in_early[at]]])
+    of = np.concatenate([(base[line] + late)[in_late], (base[line] + early)[in_early]])
+    bucket = np.concatenate([h[in_late], h[in_early], pair]) >> ta.U64(46)
+    # A window goes from its first word to its last; a line is taken whole.
+    first = (np.cumsum(n_words) - n_words)[of_line] + (np.arange(len(of_line)) - base[of_line]) * half
+    last = np.minimum(first + window, np.cumsum(n_words)[of_line]) - 1
+    long = units[of_line] > 1
+    begins, ends = start[of_line], end[of_line]
+    begins[long], ends[long] = ws[first[long]], we[last[long]]
+    line_text = np.searchsorted(texts.offsets, start, "right") - 1
+    return Features(bucket.astype(np.int64), np.concatenate([of, pair_of]), begins, ends, line_text[of_line], of_line, line_text, pair, pair_of)
 
 
 @dataclass
 class Scanner:
     weight: np.ndarray  # buckets by families
     bias: np.ndarray
-    threshold: float
+    threshold: float  # confidence in a family
+    licensed: float  # confidence in any licence
     overlap: float
-    pairs: dict[str, np.ndarray]
+    pairs: dict[str, list[np.ndarray]]  # of each template
 
     def probabilities(self, f: Features, n: int) -> np.ndarray:
         """Paragraphs by families. The score is a mean over features, so length does not sway it."""
@@ -133,8 +173,23 @@ class Scanner:
         score = np.exp(score - score.max(1, keepdims=True))
         return score / score.sum(1, keepdims=True)
 
+    def confirmed(self, family: str, f: Features, n: int) -> np.ndarray:
+        """Which units share much with a template: a good part of the unit, five pairs, or nearly the whole template."""
+        templates = self.pairs[family]
+        mine = np.flatnonzero(np.isin(f.pair, np.concatenate(templates)))
+        pair, of = f.pair[mine], f.pair_of[mine]
+        known = np.bincount(of, minlength=n)
+        found = (known >= self.overlap * np.maximum(np.bincount(f.pair_of, minlength=n), 1)) & (known > 0) | (known >= 5)
+        for t in templates:
+            at = np.searchsorted(t, pair)
+            at[at == len(t)] = 0
+            hit = t[at] == pair
+            held = np.unique(of[hit] * np.int64(len(t)) + at[hit]) // len(t)
+            found |= np.bincount(held, minlength=n) >= max(3, 0.75 * len(t))
+        return found
+
     def scan(self, texts: ta.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, Features]:
-        """For each paragraph its likeliest family, confidence, and state: 0 none, 1 unknown, 2 confirmed."""
+        """For each unit its likeliest family, confidence, and state: 0 none, 1 unknown, 2 confirmed."""
         f = featurise(texts)
         n = len(f.start)
         if not n:
@@ -142,20 +197,16 @@ class Scanner:
             return none, np.zeros(0), none, f
         p = self.probabilities(f, n)
         best = p.argmax(1)
-        sure, state = p[np.arange(n), best], np.zeros(n, np.int64)
+        sure = p[np.arange(n), best]
+        state = (1 - p[:, -1] >= self.licensed).astype(np.int64)
         for k, family in enumerate(TEMPLATES):
-            mine = best == k
-            if mine.any():
-                known = np.bincount(f.pair_of, np.isin(f.pair, self.pairs[family]), n)
-                share = known / np.maximum(np.bincount(f.pair_of, minlength=n), 1)
-                # Whole templates within longer lines count by how much of a template they hold.
-                confirmed = (share >= self.overlap) | (known >= 5)
-                state[mine] = np.where((sure[mine] >= self.threshold) & confirmed[mine], 2, np.where(known[mine] >= 2, 1, 0))
+            if (best == k).any():
+                state[(best == k) & (sure >= self.threshold) & self.confirmed(family, f, n)] = 2
         return best, sure, state, f
 
 
-def _made(seed: int, copies: int) -> tuple[list[str], list[int]]:
-    """Paragraphs from the templates: whole, cut at either end, with other words put in."""
+def _made(seed: int, copies: int, plain: Sequence[str] = ()) -> tuple[list[str], list[int]]:
+    """Paragraphs from the templates: whole, cut at either end, with other words put in; if there are plain ones, each third within one."""
     draw = np.random.default_rng(seed)
     texts, of = [], []
     for k, family in enumerate(TEMPLATES):
@@ -169,17 +220,22 @@ def _made(seed: int, copies: int) -> tuple[list[str], list[int]]:
                 if c % 3 == 2:
                     for _ in range(max(1, len(w) // 8)):
                         w.insert(int(draw.integers(0, len(w))), ["this", "file", "here", "code", "2024", "work"][int(draw.integers(0, 6))])
+                if len(plain) and c % 9 in (0, 4, 8):
+                    other = plain[int(draw.integers(0, len(plain)))].split()
+                    room, cut = max(0, WINDOW - len(w)), int(draw.integers(0, len(other) + 1))
+                    w = (other[:cut] + w + other[cut:])[max(0, cut - room) :][:WINDOW]
                 texts.append(" ".join(w))
                 of.append(k)
     return texts, of
 
 
 def train(plain: list[str], overlap: float = 0.4, steps: int = 150, seed: int = 11) -> Scanner:
-    """Logistic regression on made paragraphs and on `plain`, those of the corpus that are no licences."""
-    made, of = _made(seed, 24)
+    """Logistic regression on made paragraphs and on `plain`, those of the corpus that are no licences; a fifth of these calibrates."""
+    kept, plain = plain[::5], [t for i, t in enumerate(plain) if i % 5]
+    made, of = _made(seed, 27, plain)
     others = [*OTHER_SENSES * 12, *plain]
     texts, label = made + others, np.array(of + [len(FAMILIES) - 1] * len(others))
-    f = featurise(ta.from_strings([" ".join(t.split()) or "-" for t in texts]))
+    f = featurise(ta.from_strings([" ".join(t.split()) or "-" for t in texts]), whole_lines=True)
     n, scale = len(texts), 1 / np.sqrt(np.maximum(np.bincount(f.of, minlength=len(texts)), 1))
     used, at = np.unique(f.bucket, return_inverse=True)
     value = scale[f.of]
@@ -197,36 +253,84 @@ def train(plain: list[str], overlap: float = 0.4, steps: int = 150, seed: int =
         w, b = w + 10 * speed_w, b + speed_b
     weight = np.zeros((_BUCKETS, len(FAMILIES)), np.float32)
     weight[used] = w
-    pairs = {}
-    for family, templates in TEMPLATES.items():
-        pairs[family] = np.unique(featurise(ta.from_strings(list(templates))).pair)
-    scanner = Scanner(weight, b, 0.5, overlap, pairs)
-    # Calibration: the confidence that 98 % of unseen made paragraphs reach in their own family.
-    fresh, of = _made(seed + 1, 9)
-    g = featurise(ta.from_strings(fresh))
-    p = scanner.probabilities(g, len(fresh))
+    pairs = {k: [np.unique(featurise(ta.from_strings([t]), whole_lines=True).pair) for t in v] for k, v in TEMPLATES.items()}
+    scanner = Scanner(weight, b, 0.5, 0.5, overlap, pairs)
+
+    def unseen(texts: list[str]) -> np.ndarray:
+        g = featurise(ta.from_strings([" ".join(t.split()) or "-" for t in texts]), whole_lines=True)
+        return scanner.probabilities(g, len(texts))
+
+    # Calibration: the confidence that 98 % of unseen made paragraphs reach in their own family,
+    fresh, of = _made(seed + 1, 9, kept)
+    p = unseen(fresh)
     own = p[np.arange(len(fresh)), of][p.argmax(1) == np.array(of)]
     scanner.threshold = float(np.clip(np.quantile(own, 0.02), 0.3, 0.9))
+    # and the confidence in any licence that 0.2 % of unseen plain paragraphs reach.
+    scanner.licensed = float(np.clip(np.quantile(1 - unseen(kept)[:, -1], 0.998), 0.5, 0.95)) if kept else 0.5
     return scanner
 
 
+def _pieces(texts: ta.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of pieces of at most WINDOW words of all lines; those with tell-tale words or too long are left out."""
+    start, end, ws, we, line, place, _, h = _lines(texts)
+    if not len(ws):
+        return h, ws, we
+    head = np.flatnonzero(place % WINDOW == 0)
+    begins, ends = ws[head], we[np.append(head[1:], len(ws)) - 1]
+    told = np.zeros(len(head), bool)
+    at = np.array([m.start() for m in _TELLTALE.finditer(texts.buf.tobytes())], np.int64)
+    told[np.maximum(np.searchsorted(begins, at, "right") - 1, 0)] = True  # one in a gap tells the piece ahead of it, which does no harm
+    good = ~told & (ends - begins <= PIECE_BYTES)
+    begins, ends = begins[good], ends[good]
+    return ta.hash_runs(texts.buf, begins, ends), begins, ends
+
+
 def plain_paragraphs(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
-    """At most `sample` paragraphs of the corpus without tell-tale words, one of a document, in order of a hash.
+    """The `sample` distinct pieces of least hash of the whole corpus that hold no tell-tale word, or all if there are fewer."""
+    rows = docs.select(cluster.text_or_empty().alias("text"))
 
-    Of large corpora only hashes in a range that holds some times `sample` are looked at, so tasks send few rows.
-    """
-    n = docs.count()
-    share = min(1.0, 8 * sample / max(n, 1))
-    first = F.element_at(F.split(cluster.text_or_empty(), "\n"), 1)
-    rows = docs.select(F.left(first, F.lit(400)).alias("line")).where(~F.col("line").rlike(f"(?i){_TELLTALE.pattern}") & F.col("line").rlike("[a-z]"))
-    rows = rows.where(F.pmod(F.xxhash64("line"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    return [r[0] for r in rows.orderBy(F.xxhash64("line"), "line").limit(sample).collect()]
+    def least(x: np.ndarray) -> np.ndarray:
+        return np.unique(x)[:sample]
+
+    def task(batches):
+        best = np.zeros(0, ta.U64)
+        for b in batches:
+            for i, j in ta.slices(b.column(0)):
+                h = _pieces(ta.from_arrow(b.column(0)[i:j]))[0]
+                best = least(np.concatenate([best, h[h < best[-1]] if len(best) == sample else h]))
+        yield pa.RecordBatch.from_arrays([pa.array([best.tobytes()], pa.binary())], ["hashes"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        found = least(np.concatenate([np.frombuffer(x, ta.U64) for x in t["hashes"].to_pylist()]))
+        return pa.table({"hashes": pa.array([found.tobytes()], pa.binary())})
+
+    cluster.bounded_batches(docs.sparkSession)
+    # Of each task `sample` hashes at most; 256 tasks merge them, then one the 256.
+    some = rows.mapInArrow(task, "hashes binary").groupBy(F.pmod(F.spark_partition_id(), F.lit(256)).alias("part")).applyInArrow(merge, "hashes binary")
+    one = some.groupBy().applyInArrow(merge, "hashes binary").collect()
+    chosen = np.frombuffer(one[0][0], ta.U64) if one else np.zeros(0, ta.U64)
+    if not len(chosen):
+        return []
+
+    def fetch(b: pa.RecordBatch) -> pa.Table:
+        hashes, pieces = [], []
+        for i, j in ta.slices(b.column(0)):
+            texts = ta.from_arrow(b.column(0)[i:j])
+            h, begins, ends = _pieces(texts)
+            some_ = np.flatnonzero((h <= chosen[-1]) & np.isin(h, chosen))
+            some_ = some_[np.unique(h[some_], return_index=True)[1]]
+            hashes += h[some_].view(np.int64).tolist()
+            pieces += [texts.buf[a:z].tobytes().decode() for a, z in zip(begins[some_].tolist(), ends[some_].tolist(), strict=True)]
+        return pa.table({"hash": pa.array(hashes, pa.int64()), "piece": pa.array(pieces, pa.string())})
+
+    found = cluster.map_batches(rows, fetch, "hash long, piece string").groupBy("hash").agg(F.min("piece").alias("piece")).collect()
+    return [r.piece for r in sorted(found, key=lambda r: r.hash & (1 << 64) - 1)]
 
 
 def scan(docs: DataFrame, scanner: Scanner | None = None, overlap: float = 0.4) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, n_unknown, family (of the surest confirmed paragraph), families and spans.
 
-    `spans` are family:start:end of confirmed paragraphs, in bytes of UTF-8, end exclusive.
+    `spans` are family:start:end of confirmed lines, or of the confirmed windows of a long line, in bytes of UTF-8, end exclusive.
     """
     spark = docs.sparkSession
     cluster.bounded_batches(spark)
@@ -238,14 +342,21 @@ def scan(docs: DataFrame, scanner: Scanner | None = None, overlap: float = 0.4)
         for i, j in ta.slices(b.column(1)):
             texts = ta.from_arrow(b.column(1)[i:j])
             best, sure, state, f = model.value.scan(texts)
-            out["n_paragraphs"] += np.bincount(f.text, minlength=j - i).tolist()
-            out["n_licensed"] += np.bincount(f.text[state == 2], minlength=j - i).tolist()
-            out["n_unknown"] += np.bincount(f.text[state == 1], minlength=j - i).tolist()
+            of_line = np.zeros(len(f.line_text), np.int64)  # a line is what its best window is
+            np.maximum.at(of_line, f.line, state)
+            out["n_paragraphs"] += np.bincount(f.line_text, minlength=j - i).tolist()
+            out["n_licensed"] += np.bincount(f.line_text[of_line == 2], minlength=j - i).tolist()
+            out["n_unknown"] += np.bincount(f.line_text[of_line == 1], minlength=j - i).tolist()
             found: dict[int, list] = {}
             for x in np.flatnonzero(state == 2).tolist():
                 t = int(f.text[x])
                 at = int(texts.offsets[t])
-                found.setdefault(t, []).append((float(sure[x]), FAMILIES[best[x]], int(f.start[x]) - at, int(f.end[x]) - at))
+                spans = found.setdefault(t, [])
+                span = (float(sure[x]), FAMILIES[best[x]], int(f.start[x]) - at, int(f.end[x]) - at)
+                if spans and spans[-1][1] == span[1] and span[2] < spans[-1][3]:  # windows that overlap are one span
+                    spans[-1] = (max(spans[-1][0], span[0]), span[1], spans[-1][2], span[3])
+                else:
+                    spans.append(span)
             for t in range(j - i):
                 spans = found.get(t, [])
                 out["family"].append(max(spans, key=lambda s: (s[0], -s[2]))[1] if spans else None)
