@@ -2,20 +2,31 @@
 
 Base spans match the fixed patterns of four kinds. They are the seeds of a
 bootstrap: every identifier-like stretch of a text (words that hold a digit or
-an @) is an instance, known by its shape, and the words around it are lexical
-patterns. A pattern's confidence is the share of its instances that are of a
-kind, a candidate's that of the patterns around it, found in turn over the
-graph of patterns and instances for a few rounds. Candidates that no base
-pattern matched become spans where patterns of high confidence agree.
+an @, cut where base spans begin and end) is an instance, known by its shape,
+and the words around it are lexical patterns. A pattern's confidence in a kind
+is the part of its instances that are of the kind, seeds counting in full,
+other instances of a shape that the kind allows by their own belief, all others
+not at all. A shape's belief is the mean confidence of its patterns that are
+trusted at all, damped by DAMPING, so that what no seed stands behind cannot
+raise itself to certainty. Both are found in turn over the graph until no
+confidence changes by SETTLED. Stretches that no base pattern matched become
+spans where a pattern of high confidence stands beside them.
+
+A pattern counts from SUPPORT uses on, of which SEEDED at least are seeds, or
+SEED_SHARE of the kind's seeds if that is more: small tables can reach it, and
+in large ones at most 1 / SEED_SHARE patterns of a kind do. Of the words beside
+a stretch _CONTEXT characters count.
 
 All of it is DataFrame expressions. Scale: texts are scanned once for base
 spans and candidates and never shuffled; the graph holds only identifier-like
-stretches, summed before each shuffle. Patterns run possessively, so long runs
+stretches, summed before each shuffle. Patterns that count are at most 1,000 a
+kind by their seeds, so they are broadcast, and no shape has more rows than that. Patterns run possessively, so long runs
 of like characters take linear time.
 
 Edge cases: null texts are empty; matches of one kind do not overlap, those of
-different kinds may; repeated rows get equal spans; columns besides doc_id and
-text are ignored; an empty table gives an empty result.
+different kinds may; repeated rows get equal spans; `find` ignores columns
+besides doc_id and text, `redact` returns all of them, whatever their names; an
+empty table gives an empty result, as do tables without a seed add no span.
 """
 
 from __future__ import annotations
@@ -36,9 +47,14 @@ PATTERNS = {
 #: Words that hold a digit or an @, with single blanks between them.
 _WORD = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 CANDIDATE = rf"(?<![^\x20\x09-\x0D]){_WORD}(?:\x20{_WORD})*+"
-ROUNDS = 3
 CONFIDENT = 0.9
-SUPPORT = 20
+SUPPORT = 5
+SEEDED = 3
+SEED_SHARE = 1e-3
+DAMPING = 0.95
+SETTLED = 1e-3
+#: Rounds after which it is an error that confidences still change; damping settles them far earlier.
+_MOST_ROUNDS = 500
 _CONTEXT = 80
 
 
@@ -125,61 +141,90 @@ def with_base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_candidates(rows: DataFrame, text: str = "text") -> DataFrame:
-    """`rows` with `candidates`: identifier-like stretches with match, start, end and the words before and after."""
+    """`rows` (with `base`) with `candidates`: identifier-like stretches with match, start, end, the words before and after, and the kind of a base span.
+
+    Base spans are candidates themselves; what they leave of a stretch is cut off at their borders.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
 
+    def cut(x: Column) -> Column:
+        """The parts of a stretch between the base spans that meet it."""
+        met = F.array_sort(F.transform(F.filter("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+        start = F.struct(x["start"].cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+        def step(a, b):
+            gap = F.when(b["start"] > a["at"], F.array(F.struct(a["at"].alias("start"), b["start"].cast("int").alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+            return F.struct(F.greatest(a["at"], b["end"].cast("int")).alias("at"), F.concat(a["out"], gap).alias("out"))
+
+        def finish(a):
+            return F.when(a["at"] < x["end"], F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), x["end"].cast("int").alias("end"))))).otherwise(a["out"])
+
+        return F.aggregate(met, start, step, finish)
+
+    none = F.lit(None).cast("string")
+    rest = F.flatten(F.transform(_located(body, CANDIDATE), cut))
+    rest = F.transform(rest, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), none.alias("kind")))
+    seeds = F.transform("base", lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["kind"].alias("kind")))
+
     def around(x: Column) -> Column:
         before = F.substring(body, F.greatest(x["start"] - _CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(_CONTEXT)))
         after = F.substring(body, x["end"] + 1, F.lit(_CONTEXT))
         return F.struct(
-            x["match"].alias("match"), x["start"].alias("start"), x["end"].alias("end"),
-            F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)).alias("left"),
-            F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)).alias("right"),
+            F.substring(body, x["start"] + 1, x["end"] - x["start"]).alias("match"), x["start"].alias("start"), x["end"].alias("end"),
+            F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)).alias("left"),
+            F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)).alias("right"), x["kind"].alias("kind"),
         )
 
-    located = F.when(body.rlike("[0-9@]"), F.transform(_located(body, CANDIDATE), around))
-    return rows.withColumn("candidates", F.coalesce(located, F.array().cast("array<struct<match:string,start:int,end:int,left:string,right:string>>")))
+    located = F.when(body.rlike("[0-9@]"), F.transform(F.concat(seeds, rest), around))
+    return rows.withColumn("candidates", F.coalesce(located, F.array().cast("array<struct<match:string,start:int,end:int,left:string,right:string,kind:string>>")))
 
 
 def instances(rows: DataFrame, key: list[str]) -> DataFrame:
-    """A row per candidate: `key`, start and end without the punctuation around it, shape, kind if a base span meets it, left and right."""
-    x = F.explode("candidates").alias("x")
-    flat = rows.where(F.size("candidates") > 0).select(*key, "base", x)
-    lead = F.length(F.regexp_extract("x.match", r"^[^0-9A-Za-z@+(]*", 0))
-    tail = F.length(F.regexp_extract("x.match", r"[^0-9A-Za-z]*$", 0))
+    """A row per candidate: `key`, start and end without the punctuation around it, stretch, shape, kind if it is a base span, left and right."""
+    flat = rows.where(F.size("candidates") > 0).select(*key, F.explode("candidates").alias("x"))
+    lead = F.when(F.col("x.kind").isNull(), F.length(F.regexp_extract("x.match", r"^[^0-9A-Za-z@+(]*", 0))).otherwise(0)
+    tail = F.when(F.col("x.kind").isNull(), F.length(F.regexp_extract("x.match", r"[^0-9A-Za-z]*$", 0))).otherwise(0)
     trimmed = F.col("x.match").substr(lead + 1, F.length("x.match") - lead - tail).alias("stretch")
-    flat = flat.select(*key, "base", (F.col("x.start") + lead).alias("start"), (F.col("x.end") - tail).alias("end"), trimmed, "x.left", "x.right").where("start < end")
-    meets = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    shape = F.left(F.regexp_replace(F.regexp_replace("stretch", "[0-9]", "9"), r"[\p{L}]+", "a"), F.lit(40))
-    return flat.select(*key, "start", "end", "left", "right", "stretch", shape.alias("shape"), F.try_element_at(meets, F.lit(1))["kind"].alias("kind"))
+    flat = flat.select(*key, (F.col("x.start") + lead).alias("start"), (F.col("x.end") - tail).alias("end"), trimmed, "x.left", "x.right", "x.kind").where("start < end and stretch rlike '[0-9@]'")
+    # Runs of digits and letters count by how long they are, up to twenty: so long shapes stay apart without being cut.
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("stretch", "[0-9]", "9"), "9{20,}", "99999999999999999999"), r"[\p{L}]+", "a")
+    return flat.select(*key, "start", "end", "left", "right", "stretch", shape.alias("shape"), "kind")
+
+
+def _sides() -> Column:
+    return F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("pattern")
 
 
-def learn_patterns(found: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
+def learn_patterns(found: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT, seeded: int = SEEDED) -> DataFrame:
     """pattern, kind: lexical patterns that stand around one kind with confidence and enough support.
 
-    Instances are shapes; a seed has belief 1 in its kind. A pattern believes in
-    a kind as its instances do on average; an instance that is no seed as the
-    best-supported of its patterns do. The graph has a row for each pattern,
-    shape and kind, so each round is two sums over it.
+    Only patterns beside a seed can ever be trusted, so all others are left out
+    of the graph. It has a row for each pattern, shape and kind with how often
+    they meet; a round is two sums over it.
     """
-    sides = F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("pattern")
-    graph = found.select("shape", "kind", sides).where("length(pattern) > 1").groupBy("pattern", "shape", "kind").agg(F.count("*").alias("n"))
-    graph = cluster.written(graph)
-    all_kinds = F.explode(F.array(*(F.lit(k) for k in KINDS))).alias("of")
-    seeds = graph.where("kind is not null").groupBy("pattern", F.col("kind").alias("of")).agg(F.sum("n").alias("seeded"), F.approx_count_distinct("shape").alias("shapes"))
+    graph = cluster.written(found.select("shape", "kind", "stretch", _sides()).where("length(pattern) > 1").select(
+        "pattern", F.concat("shape", F.coalesce(F.concat(F.lit(" "), _may_be()), F.lit(""))).alias("shape"), "kind", _may_be().alias("may")
+    ).groupBy("pattern", "shape", "kind", "may").agg(F.count("*").alias("n")))
+    seeds = graph.where("kind is not null").groupBy("pattern", F.col("kind").alias("of")).agg(F.sum("n").alias("seeded"))
+    least = F.broadcast(seeds.groupBy("of").agg(F.greatest(F.lit(seeded), F.ceil(F.sum("seeded") * SEED_SHARE)).alias("least")))  # a row a kind
     total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
-    candidates = graph.where("kind is null").select("pattern", "shape", "n")
-    belief = None
-    for _ in range(rounds):
-        score = seeds.join(total, "pattern")
-        if belief is not None:
-            added = candidates.join(belief, "shape").groupBy("pattern", "of").agg(F.sum(F.col("n") * F.col("belief")).alias("added"))
-            score = score.join(added, ["pattern", "of"], "left").withColumn("seeded", F.col("seeded") + F.coalesce("added", F.lit(0.0))).drop("added")
-        score = score.withColumn("confidence", F.col("seeded") / F.col("total"))
-        trusted = score.where(F.col("total") >= support).select("pattern", "of", "confidence")
-        belief = candidates.join(trusted, "pattern").groupBy("shape", "of").agg((F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("belief"))
-        belief = cluster.written(belief, 1)
-    return score.where((F.col("confidence") >= confident) & (F.col("total") >= support)).select("pattern", "of")
+    score = seeds.join(least, "of").where(F.col("seeded") >= F.col("least")).drop("least").join(total, "pattern").where(F.col("total") >= support)
+    score = cluster.written(score.withColumn("confidence", F.col("seeded") / F.col("total")))
+    # Instances without a kind beside trusted patterns, of a shape that the kind allows.
+    open_ = graph.where("kind is null and may is not null").select("pattern", "shape", F.explode(F.split("may", ",")).alias("of"), "n")
+    open_ = cluster.written(open_.join(F.broadcast(score.select("pattern", "of")), ["pattern", "of"]))
+    for _ in range(_MOST_ROUNDS):
+        weighed = open_.join(F.broadcast(score.select("pattern", "of", "confidence")), ["pattern", "of"])
+        belief = weighed.groupBy("shape", "of").agg((F.lit(DAMPING) * F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("belief"))
+        added = open_.join(belief, ["shape", "of"]).groupBy("pattern", "of").agg(F.sum(F.col("n") * F.col("belief")).alias("added"))
+        now = score.withColumnRenamed("confidence", "before").join(added, ["pattern", "of"], "left")
+        now = now.withColumn("confidence", (F.col("seeded") + F.coalesce("added", F.lit(0.0))) / F.col("total")).drop("added")
+        now = cluster.written(now)
+        change = now.agg(F.max(F.abs(F.col("confidence") - F.col("before")))).first()[0] or 0.0
+        score = now.drop("before")
+        if change <= SETTLED:
+            return score.where(F.col("confidence") >= confident).select("pattern", "of")
+    raise RuntimeError(f"confidences still change by {change} after {_MOST_ROUNDS} rounds")
 
 
 #: What a stretch must be like to be taken for a kind on context alone.
@@ -191,11 +236,15 @@ _LIKE = {
 }
 
 
+def _may_be() -> Column:
+    """The kinds that a stretch is like, comma-joined; null if none."""
+    return F.nullif(F.concat_ws(",", *(F.when(F.col("stretch").rlike(v), F.lit(k)) for k, v in _LIKE.items())), F.lit(""))
+
+
 def discovered(found: DataFrame, patterns: DataFrame, key: list[str]) -> DataFrame:
-    """`key` and `added`, an array of kind, start and end: candidates without a base span between confident patterns."""
-    sides = F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("pattern")
+    """`key` and `added`, an array of kind, start and end: candidates that are no base span beside confident patterns."""
     like = F.coalesce(*(F.when(F.col("of") == k, F.col("stretch").rlike(v)) for k, v in _LIKE.items()))
-    met = found.where("kind is null").select(*key, "start", "end", "stretch", sides).join(patterns, "pattern").where(like)
+    met = found.where("kind is null").where(_may_be().isNotNull()).select(*key, "start", "end", "stretch", _sides()).join(F.broadcast(patterns), "pattern").where(like)
     met = met.select(*key, F.struct(F.col("of").alias("kind"), "start", "end").alias("x"))
     return met.groupBy(*key).agg(F.sort_array(F.collect_set("x")).alias("added"))
 
@@ -223,31 +272,32 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; spans that overlap become one, of the kind that starts first.
 
-    Only texts with a candidate meet the discovered spans in a join; all others pass.
+    Only texts with a candidate meet the discovered spans in a join; all others
+    pass. Columns travel in a struct, so their names clash with none used here.
+    Null texts stay null; repeated rows are redacted alike; an empty table stays empty.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"__key": F.col("doc_id").cast("string"), "__body": F.xxhash64(text), "__may": body.rlike("[0-9@]")})
-    key = ["__key", "__body"]
-    scanned = with_candidates(with_base_spans(rows.where("__may").select(*key, text), text), text).select(*key, "base", "candidates")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(f"`{text}`").alias("text"), F.col("doc_id").cast("string").alias("key"))
+    rows = rows.withColumns({"body": F.xxhash64("text"), "may": body.rlike("[0-9@]")})
+    key = ["key", "body"]
+    scanned = with_candidates(with_base_spans(rows.where("may").select(*key, "text"))).select(*key, "base", "candidates")
     found = cluster.written(instances(scanned, key))
-    added = discovered(found, learn_patterns(found), key).withColumnsRenamed({"__key": "__key_", "__body": "__body_", "added": "__added"})
-    met = F.col("__key").eqNullSafe(F.col("__key_")) & (F.col("__body") == F.col("__body_"))
-    some = with_base_spans(rows.where("__may").withColumnRenamed("base", "__own_base") if "base" in docs.columns else rows.where("__may"), text)
-    some = some.join(added, met, "left").withColumn("__spans", F.array_sort(F.transform(
-        F.concat("base", F.coalesce("__added", _none())), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))
+    added = discovered(found, learn_patterns(found), key).withColumnsRenamed({"key": "key_", "body": "body_"})
+    met = F.col("key").eqNullSafe(F.col("key_")) & (F.col("body") == F.col("body_"))
+    some = with_base_spans(rows.where("may")).join(added, met, "left").withColumn("spans", F.array_sort(F.transform(
+        F.concat("base", F.coalesce("added", _none())), lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))
     )))
 
     def step(a, x):
         new, end = x["start"] >= a["at"], -x["back"]
-        piece = F.concat(F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        piece = F.concat(F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(a["at"], end).alias("at"), F.when(new, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    some = some.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(F.col(text)))
-    if "base" in docs.columns:
-        some = some.drop("base").withColumnRenamed("__own_base", "base")
-    return some.select(docs.columns).unionByName(rows.where(~F.col("__may")).select(docs.columns))
+    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    some = some.select("own", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text"))
+    both = some.unionByName(rows.where(~F.col("may")).select("own", "text"))
+    return both.select(*(F.col("text").alias(c) if c == text else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
 def _count(kind: str) -> Column:

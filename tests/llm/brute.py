@@ -110,3 +110,23 @@ def without_repeats(docs, match=50):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[k] = len(raw), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest()
     return out
+
+
+def licence_units(text, window):
+    """(start, end, bytes) of each line, or of the half-overlapping windows of one with more than `window` words."""
+    out, at = [], 0
+    for line in text.encode().split(b"\n"):
+        found = list(re.finditer(rb"[A-Za-z0-9\x80-\xff]+", line))
+        if line and len(found) <= window:
+            out.append((at, at + len(line), line))
+        elif line:
+            k = 0
+            while True:
+                part = found[k : k + window]
+                a, z = part[0].start(), part[-1].end()
+                out.append((at + a, at + z, line[a:z]))
+                if k + window >= len(found):
+                    break
+                k += window // 2
+        at += len(line) + 1
+    return out

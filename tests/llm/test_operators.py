@@ -73,6 +73,36 @@ def test_mix_meets_targets(corpus):
     assert mixing.take(corpus[0]).count() == sum(r.copies for r in rows)
 
 
+def test_mix_solves_the_dual(corpus):
+    """Rates against those that bisection in plain Python finds for each source."""
+    rows = mixing.mix(corpus[0]).collect()
+    sizes, goal, rates = defaultdict(list), {}, {}
+    for r in rows:
+        sizes[r.source].append(r.size)
+        goal[r.source] = r.target
+        rates[r.source, r.size] = r.rate
+    for name, own in sizes.items():
+        mean = max(1.0, float(np.mean(own)))
+        x, low, high = np.array(own, float), -1e4, 1e4
+        if goal[name] >= 2 * x.sum() * (1 - 1e-12):
+            assert all(rates[name, n] == 2 for n in own)
+            continue
+        for _ in range(200):
+            middle = (low + high) / 2
+            got = (np.minimum(2, np.exp(np.minimum(middle * x / mean, 50))) * x).sum()
+            low, high = (middle, high) if got < goal[name] else (low, middle)
+        want = np.minimum(2, np.exp(np.minimum(low * x / mean, 50)))
+        assert np.abs(want - [rates[name, n] for n in own]).max() < 1e-4
+        assert abs(sum(rates[name, n] * n for n in own) - goal[name]) <= 2e-6 * max(goal[name], 1)
+
+
+def test_mix_of_a_source_far_above_its_target(spark):
+    docs = [(i, " ".join(["w"] * (1 + i % 3 + 3000 * (i % 50 == 0))), "hot") for i in range(2000)] + [(5000 + i, "a b c", f"s{i % 40}") for i in range(80)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    hot = [r for r in rows if r.source == "hot"]
+    assert abs(sum(r.rate * r.size for r in hot) - hot[0].target) <= 2e-6 * hot[0].target
+
+
 def test_quality_ranking(spark, corpus):
     rows = pairwise_quality.rank_quality(corpus[0], labels(spark)).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
@@ -115,6 +145,55 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert rows[101].spans == "" and rows[0].spans == "phone:19:36"
 
 
+def test_bootstrap_finds_held_out_identifiers(spark):
+    """Identifiers in forms that no base pattern takes, beside words that stand beside those it takes, and numbers beside others."""
+    draw, docs, truth = random.Random(12), [], {}
+    filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    forms = {
+        "phone": ("dial", lambda: f"+1 ({draw.randint(200, 999)}) 555-{draw.randint(1000, 9999)}", lambda: f"{draw.randint(200, 999)} 555 {draw.randint(1000, 9999)}"),
+        "email": ("write", lambda: f"{draw.choice(filler)}{draw.randint(1, 99)}@mail.example.com", lambda: f"{draw.choice(filler)}{draw.randint(1, 99)}@localhost"),
+        "ip": ("host", lambda: f"10.{draw.randint(0, 255)}.{draw.randint(0, 255)}.{draw.randint(0, 255)}", lambda: f"10-{draw.randint(0, 255)}-{draw.randint(0, 255)}-{draw.randint(0, 255)}"),
+    }
+    for i in range(1500):
+        words, kind = [draw.choice(filler) for _ in range(20)], draw.choice(list(forms))
+        cue, seen, unseen = forms[kind]
+        at = draw.randint(2, 18)
+        if i % 10 == 0:
+            value = unseen()
+            text = " ".join([*words[:at], cue + ":", value])
+            truth[i] = f"{kind}:{len(text) - len(value)}:{len(text)}"
+            docs.append((i, " ".join([text, *words[at:]])))
+        elif i % 10 < 6:
+            docs.append((i, " ".join([*words[:at], cue + ":", seen(), *words[at:]])))
+        else:  # numbers beside other words
+            docs.append((i, " ".join([*words[:at], draw.choice(["in", "page"]), unseen() if i % 10 == 6 else str(draw.randint(1, 2024)), *words[at:]])))
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = {i: r.spans for i, r in rows.items() if r.n_added}
+    assert sum(found.get(i) == x for i, x in truth.items()) >= 0.95 * len(truth)
+    assert all(i in truth for i in found)
+
+
+def test_seeds_bound_the_patterns(spark):
+    flat = [(f"c{i % 5000}", f"d{i % 7}") for i in range(20_000)]
+    docs = [(i, f"{a} +1 (499) 555-{1000 + i % 9000} {b}") for i, (a, b) in enumerate(flat)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = pii.instances(pii.with_candidates(pii.with_base_spans(df)).select("doc_id", "base", "candidates"), ["doc_id"])
+    assert 0 < pii.learn_patterns(found).count() <= 1 / pii.SEED_SHARE
+
+
+def test_identifiers_beside_base_spans(spark):
+    docs = [(i, f"please call phone: +1 (499) 555-{6000 + i} today") for i in range(40)] + [(100, "phone: 499 555 1234 a@b.co x")]
+    rows = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[100] == "email:20:26,phone:7:19"
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__may", "__key", "__body", "base", "own", "key", "body", "spans", "added", "may"]
+    df = spark.createDataFrame([(1, "a@b.co here", *range(10)), (None, None, *range(10))], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    rows = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert pii.redact(df).columns == names and tuple(rows[1])[2:] == tuple(range(10)) and rows[1].text == "[EMAIL] here" and rows[None].text is None
+
+
 def test_redaction(spark, odd):
     rows = {r.doc_id: r for r in pii.redact(odd[0]).collect()}
     assert rows[12].text == "[EMAIL] [IP] [PHONE] or [CARD]" and pii.redact(odd[0]).columns == odd[0].columns
@@ -157,7 +236,32 @@ def test_licence_training_is_held_out():
     best, _, state, _ = model.scan(ta.from_strings(texts))
     assert np.mean((best == of) & (state == 2)) > 0.9
     assert not model.scan(ta.from_strings(list(licenses.OTHER_SENSES)))[2].any()
-    assert model.scan(ta.from_strings(["Licensed under the Foo Public License, version 9."]))[2].tolist() in ([0], [1])
+    assert model.scan(ta.from_strings(["Licensed under the Foo Public License, version 9."]))[2].tolist() == [1]
+
+
+def test_licence_windows_against_plain_python(odd, corpus):
+    model = licenses.train(["the cat sat on the mat", "le chat est là", "ein Haus am See"])
+    texts = [t or "" for _, t in odd[1]] + [t for _, t in corpus[1][:60]] + [" ".join(f"w{i}" for i in range(n)) + " Released under the MIT License. " + "z " * n for n in (0, 5, 12, 24, 25, 40)]
+    for text in texts:
+        units = brute.licence_units(text, licenses.WINDOW)
+        best, sure, state, f = model.scan(ta.from_strings([text]))
+        assert [(a, z) for a, z in zip(f.start.tolist(), f.end.tolist(), strict=True)] == [(a, z) for a, z, _ in units]
+        for k, (_, _, piece) in list(enumerate(units))[:40]:
+            alone = licenses.featurise(ta.from_strings([piece.decode()]), whole_lines=True)
+            assert abs(model.probabilities(alone, len(alone.start))[0].max() - sure[k]) < 1e-6 if alone.start.size else True
+            assert Counter(alone.pair.tolist()) == Counter(f.pair[f.pair_of == k].tolist())
+
+
+def test_licence_training_reads_every_line(spark):
+    header = "the very same header line"
+    docs = [(i, f"{header}\nown words of {i}\n{header}") for i in range(5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    found = licenses.plain_paragraphs(df, 500)
+    assert len(found) == len(set(found)) == 500 and found == licenses.plain_paragraphs(df.repartition(3), 500)
+    few = spark.createDataFrame(docs[:100], "doc_id long, text string")
+    assert set(licenses.plain_paragraphs(few, 500)) == {header} | {f"own words of {i}" for i in range(100)}
+    assert licenses.plain_paragraphs(df.select(F.lit(header).alias("text")), 500) == [header]
+    assert licenses.plain_paragraphs(df.select(F.lit("Licensed to all").alias("text")), 500) == []
 
 
 def test_fingerprints(odd, corpus):
