@@ -26,20 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keeps Arrow batches small, as texts may be long.
+
+    Results are lazy, so the session keeps these settings; smaller ones of its own stay.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(name) or ""
+        if not own.isdigit() or not 0 < int(own) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what spark.checkpoint.dir names. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    It is what spark.checkpoint.dir names. Only where that is unset and driver
+    and executors are one process, as in tests, a temporary folder takes its
+    place; a cluster without it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="foliary-")
     return shared_dir.own
@@ -80,5 +88,32 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.Table | pa.Recor
     return df.mapInArrow(run, schema)
 
 
+#: Keys that split_join broadcasts, at most, and rows that a key has to have for that.
+HOT_KEYS = 10_000
+HOT_ROWS = 1_000
+
+
+def _hot(counts: DataFrame, n: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of hot keys, others): a key is hot with over HOT_ROWS rows and over a HOT_KEYS-th of all `total`, so under HOT_KEYS keys are."""
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    return F.broadcast(counts.where(F.col(n) > most)), counts.where(F.col(n) <= most)
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of `left` with `right`, which has a row for each key and in `n` how many rows of `left` have it.
+
+    Rows of hot keys meet a broadcast table of bounded size where they are; only the others are shuffled.
+    Keys must not be null; `left` is read twice.
+    """
+    hot, others = _hot(right, n, total)
+    return left.join(hot, on).unionByName(left.join(hot.select(on), on, "left_anti").join(others, on))
+
+
+def split_anti_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """The rows of `left` whose key `right` does not have; hot keys as in `split_join`."""
+    hot, others = _hot(right, n, total)
+    return left.join(hot.select(on), on, "left_anti").join(others.select(on), on, "left_anti")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

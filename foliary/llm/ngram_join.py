@@ -1,26 +1,32 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Texts are sets of word 5-grams. A forest of tries holds, for every distinct
-text, one label of minimum hashes for each tree. Sorted, texts that share a
-prefix of their labels stand together. Matched prefixes are shortened from the
-whole label on until pairs at the threshold are found with the target recall:
-depth p in L trees finds a pair of similarity s with 1 - (1 - s^p)^L. Texts
-under one prefix are compared by 128-bit sketches, and those that may be
-similar link into candidate clusters. Within each cluster all pairs are then
-verified exactly, in blocks, on the sets themselves.
+text, one label of LABEL minimum hashes for each tree. Labels are sorted, so
+texts that share a prefix stand together. Matched prefixes are shortened from
+the whole label on, text by text, until pairs at the threshold are found with
+the target recall: prefixes of length p in L trees find a pair of similarity s
+with 1 - (1 - s^p)^L, and s is at least what a set of that many n-grams can
+have at the threshold or above (sets of few n-grams stop early, as 4 of 5 is
+the next below 5 of 6). Texts under a common prefix that both still go by are
+compared by 128-bit sketches, those already in one cluster by a longer prefix
+not again, and those that may be similar link into candidate clusters. Within
+each cluster all pairs are then verified exactly, in blocks, on the sets themselves.
 
 Scale: equal texts are one node from the start, so copies cost nothing. What is
 shuffled is a label a tree and the sets of texts in candidate clusters, which a
 bit table of fixed size picks in a second pass over the texts. Pairs are never
 rows: blocks give counts of links and a spanning forest, linear in their size.
-Large clusters are cut into blocks of bounded size and dealt out by pairs of
-blocks. Components come from joins; no links or labels reach the driver.
+A task holds at most BUCKET texts of a shortest prefix; more are passed on in
+blocks and dealt out by pairs of blocks, as large clusters are for verification.
+Joins on what many rows may share split off the hot keys (cluster.split_join).
+Components come from joins; no links or labels reach the driver.
 
 Edge cases: a text of one to four words is a single n-gram; null and empty
 texts and those without words have none and are linked to no text but are of
 one class with their equals (null counts as empty); class_id is the least
-doc_id of its class (null if all are null); repeated rows are copies; other
-columns are ignored; an empty table gives an empty result.
+doc_id of its class (null if all are null); repeated rows are copies, of which
+`keep_one` keeps one; `join` ignores other columns, `keep_one` returns them,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +49,12 @@ LABEL = 10
 RECALL = 0.9999
 #: Texts of one block; two blocks at most meet in a task.
 BLOCK = 400
+#: Texts of a shortest prefix, or of a block of them, that a task holds.
+BUCKET = 4096
+#: Buckets up to this size are compared all at once.
+_SMALL = 16
+#: Sets up to this size have their own least similarity.
+_FEW = 100
 #: Estimates may fall short of the threshold by this much before a pair is dropped unverified.
 SLACK = 0.3
 _BITS = 1 << 24
@@ -64,12 +76,28 @@ def depth_for(recall: float, similarity: float, trees: int = TREES, label: int =
     return p
 
 
+def least_similarity(n: int, similarity: float) -> float:
+    """The least similarity, from `similarity` on, that a set of n can have to any other set; 1 if there is none below."""
+    found = 1.0
+    for m in range(1, math.floor(n / similarity + 1e-9) + 1):
+        common = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)  # c / (n + m - c) reaches the threshold from here on
+        if common <= min(n, m):
+            found = min(found, common / (n + m - common))
+    return found
+
+
+def depths(recall: float, similarity: float, trees: int = TREES, label: int = LABEL) -> np.ndarray:
+    """By size of a set, up to _FEW (that stands for all above): the prefix length to which it is shortened."""
+    own = [label, *(depth_for(recall, least_similarity(n, similarity), trees, label) for n in range(1, _FEW))]
+    return np.array([*own, depth_for(recall, similarity, trees, label)], np.int64)
+
+
 class Forest:
-    """Label prefixes and sketches of sets of shingles."""
+    """Labels of all trees and sketches of sets of shingles. A label is its shortest prefix (head) and the digits after it (tail)."""
 
-    def __init__(self, trees: int, depth: int, seed: int = 97) -> None:
-        self.trees, self.depth = trees, depth
-        n = max(trees * depth, _SKETCH)
+    def __init__(self, trees: int, floor: int, label: int, seed: int = 97) -> None:
+        self.trees, self.floor, self.label = trees, floor, label
+        n = max(trees * label, _SKETCH)
         draw = np.random.default_rng(seed)
         self.times = draw.integers(0, 1 << 63, n, dtype=np.uint64) * ta.U64(2) + ta.U64(1)
         self.plus = draw.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -81,110 +109,221 @@ class Forest:
             low = part if low is None else np.minimum(low, part)
         return low
 
-    def describe(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of the prefix of each tree, and the sketch as two words."""
+    def describe(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Head (a hash of tree and digits) and tail (digits of a byte, the first uppermost) of each tree's label, and the sketch as two words."""
         low = ta.mix64(self.minima(shingles))
-        labels = low[: self.trees * self.depth].reshape(self.trees, self.depth)
-        prefix = np.arange(1, self.trees + 1, dtype=ta.U64)
-        for i in range(self.depth):
-            prefix = prefix * ta.U64(0x9E3779B97F4A7C15) + labels[:, i]
+        digits = low[: self.trees * self.label].reshape(self.trees, self.label)
+        head = np.arange(1, self.trees + 1, dtype=ta.U64)
+        for i in range(self.floor):
+            head = head * ta.U64(0x9E3779B97F4A7C15) + digits[:, i]
+        tail = np.zeros(self.trees, np.int64)
+        for i in range(self.floor, self.label):
+            tail = tail << 8 | (digits[:, i] >> ta.U64(56)).astype(np.int64)
         bits = (low[:_SKETCH] & ta.U64(1)).astype(np.uint8)
-        return ta.mix64(prefix).view(np.int64), np.packbits(bits).view(np.int64)
+        return ta.mix64(head).view(np.int64), tail, np.packbits(bits).view(np.int64)
+
+
+def shape(recall: float, similarity: float) -> tuple[int, int]:
+    """(shortest prefix of any text, length of labels); tails hold seven digits at most."""
+    floor = depth_for(recall, similarity)
+    return floor, min(LABEL, floor + 7)
 
 
 def _key(text):
     return F.unhex(F.md5(text))
 
 
-def describe(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
-    """doc_id, key of the text, n (its shingles), prefixes, sketch words s1 and s2; n = 0 has none of these."""
+def describe(docs: DataFrame, floor: int, label: int, trees: int = TREES) -> DataFrame:
+    """doc_id, key of the text, n (its shingles), heads and tails of its labels, sketch words s1 and s2; n = 0 has none of these."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def batch(b: pa.RecordBatch) -> pa.Table:
-        forest, n, prefixes, sketches = Forest(trees, depth), [], [], []
+        forest, n, heads, tails, sketches = Forest(trees, floor, label), [], [], [], []
+        none = np.zeros(0, np.int64)
         for i, j in ta.slices(b.column(2)):
             for s in ta.shingle_sets(ta.from_arrow(b.column(2)[i:j]), WORDS):
                 n.append(len(s))
-                p, k = forest.describe(s) if len(s) else (np.zeros(0, np.int64), np.zeros(2, np.int64))
-                prefixes.append(p)
+                h, t, k = forest.describe(s) if len(s) else (none, none, np.zeros(2, np.int64))
+                heads.append(h)
+                tails.append(t)
                 sketches.append(k)
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in heads])]).astype(np.int32))
         sketch = np.array(sketches, np.int64).reshape(-1, 2)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-        return pa.table({"doc_id": b.column(0), "key": b.column(1), "n": pa.array(n, pa.int64()), "prefixes": lists, "s1": pa.array(sketch[:, 0]), "s2": pa.array(sketch[:, 1])})
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (heads, tails)]
+        return pa.table({"doc_id": b.column(0), "key": b.column(1), "n": pa.array(n, pa.int64()), "heads": lists[0], "tails": lists[1], "s1": pa.array(sketch[:, 0]), "s2": pa.array(sketch[:, 1])})
 
     text = cluster.text_or_empty()
     rows = docs.select("doc_id", _key(text).alias("key"), text.alias("text"))
-    return cluster.map_batches(rows, batch, f"doc_id {kind}, key binary, n long, prefixes array<long>, s1 long, s2 long")
+    return cluster.map_batches(rows, batch, f"doc_id {kind}, key binary, n long, heads array<long>, tails array<long>, s1 long, s2 long")
+
+
+def _alike(s: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts a and b (indices that broadcast) may be similar, by sketch and by size."""
+    differ = np.bitwise_count(s[a] ^ s[b]).sum(-1, dtype=np.int64)
+    estimate = 1 - 2 * differ / _SKETCH  # bits agree with probability (1 + similarity) / 2
+    return (estimate >= similarity - SLACK - 1e-9) & (np.minimum(n[a], n[b]) >= (similarity - 1e-9) * np.maximum(n[a], n[b]))
 
 
 def may_match(s: np.ndarray, n: np.ndarray, at: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
     """Which of `others` may be as similar to each of `at`, by sketch and by size."""
-    s = s.astype(np.uint64)  # of signed numbers the bits of absolute values would count
-    differ = np.bitwise_count(s[at, None, :] ^ s[None, others, :]).sum(2, dtype=np.int64)
-    estimate = 1 - 2 * differ / _SKETCH  # bits agree with probability (1 + similarity) / 2
-    a, b = n[at, None], n[None, others]
-    return (estimate >= similarity - SLACK - 1e-9) & (np.minimum(a, b) >= (similarity - 1e-9) * np.maximum(a, b))
+    return _alike(s.astype(np.uint64), n, at[:, None], others[None, :], similarity)  # of signed numbers the bits of absolute values would count
 
 
-def loose_clusters(s: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """For each member of a bucket the index of the first of its cluster, by links of `may_match`.
+def _merge(label: np.ndarray, members: np.ndarray, s: np.ndarray, n: np.ndarray, similarity: float) -> None:
+    """Merges the clusters in `label` (each the index of a member of it) of `members` that a link of `may_match` joins.
 
-    Members like the first unassigned one join it at once, so a bucket of near
-    copies takes one pass; then the smaller clusters are held against the rest.
+    A member of the largest cluster is held against all others first, so a
+    bucket of near copies takes one pass; then the smaller clusters against the rest.
     """
-    m = len(n)
-    label = np.full(m, -1)
-    while (left := np.flatnonzero(label < 0)).size:
-        label[left[may_match(s, n, left[:1], left, similarity)[0]]] = left[0]
-        label[left[0]] = left[0]
-    heads, size = np.unique(label, return_counts=True)
+    tried: set[int] = set()
+    while True:
+        heads, size = np.unique(label[members], return_counts=True)
+        open_ = [h for h in heads[np.argsort(-size, kind="stable")].tolist() if h not in tried]
+        if not open_ or len(heads) == 1:
+            break
+        first = members[np.flatnonzero(label[members] == open_[0])[:1]]
+        tried.add(open_[0])
+        others = members[label[members] != open_[0]]
+        met = np.unique(label[others[may_match(s, n, first, others, similarity)[0]]])
+        label[np.isin(label, met)] = open_[0]
+        if size.max() == 1 and not len(met) and len(tried) > 64:  # nothing is alike here; the rest is compared below anyway
+            break
+    heads, size = np.unique(label[members], return_counts=True)
     for head in heads[np.argsort(size, kind="stable")][:-1]:
-        own = np.flatnonzero(label == label[head])
-        others = np.flatnonzero(label != label[head])
+        mine = label[members] == label[head]
+        own, others = members[mine], members[~mine]
         for i in range(0, len(own), 64):
             for j in range(0, len(others), 4096):
                 met = others[j : j + 4096][may_match(s, n, own[i : i + 64], others[j : j + 4096], similarity).any(0)]
-                for other in np.unique(label[met]):
-                    low, high = sorted((int(other), int(label[head])))
-                    label[label == high] = low
-    return label
+                met = np.unique(label[met])
+                label[np.isin(label, met)] = label[head]
 
 
-def candidate_edges(nodes: DataFrame, similarity: float) -> DataFrame:
+def trie_clusters(tail: np.ndarray, stop: np.ndarray, s: np.ndarray, n: np.ndarray, similarity: float, floor: int, label: int) -> np.ndarray:
+    """For each text of a bucket (texts of one head) the index of one of its cluster.
+
+    Prefixes are shortened from the whole label to `floor`; at each length the
+    texts that go by it and share it are held against those of other clusters.
+    """
+    cluster_of = np.arange(len(n))
+    for p in range(label, floor - 1, -1):
+        on = np.flatnonzero(stop <= p)
+        prefix = tail[on] >> (8 * (label - p))
+        on = on[np.argsort(prefix, kind="stable")]
+        prefix = tail[on] >> (8 * (label - p))
+        cut = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1, [len(on)]])
+        for k in np.flatnonzero(np.diff(cut) > 1):
+            members = on[cut[k] : cut[k + 1]]
+            if (cluster_of[members] != cluster_of[members[0]]).any():
+                _merge(cluster_of, members, s, n, similarity)
+    return cluster_of
+
+
+def small_clusters(head: np.ndarray, tail: np.ndarray, stop: np.ndarray, s: np.ndarray, n: np.ndarray, similarity: float, floor: int, label: int) -> np.ndarray:
+    """The same for many buckets of at most _SMALL texts at once; `head` is sorted."""
+    a, b = [], []
+    for step in range(1, _SMALL):
+        at = np.flatnonzero(head[step:] == head[:-step])
+        if not len(at):
+            break
+        a.append(at)
+        b.append(at + step)
+    out = np.arange(len(head))
+    if not a:
+        return out
+    a, b = np.concatenate(a), np.concatenate(b)
+    common = np.full(len(a), floor)
+    for p in range(floor + 1, label + 1):
+        common[tail[a] >> (8 * (label - p)) == tail[b] >> (8 * (label - p))] = p
+    hit = (common >= np.maximum(stop[a], stop[b])) & _alike(s.astype(np.uint64), n, a, b, similarity)
+    a, b = a[hit], b[hit]
+    while True:
+        low = np.minimum(out[a], out[b])
+        before = out.copy()
+        np.minimum.at(out, a, low)
+        np.minimum.at(out, b, low)
+        out = out[out]
+        if (out == before).all():
+            return out
+
+
+_WALKED = "a long, b long, n long, s1 long, s2 long, head long, tail long, block long"
+
+
+def candidate_edges(nodes: DataFrame, recall: float, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """Edges a, b between texts under a common prefix that may be similar: a spanning forest of each bucket."""
-    rows = nodes.where("n > 0").select("node", "n", "s1", "s2", F.explode("prefixes").alias("prefix"))
-    rows = rows.repartition("prefix").sortWithinPartitions("prefix", "node")
+    floor, label = shape(recall, similarity)
+    stops = depths(recall, similarity, label=label)
+    rows = nodes.where("n > 0").select("node", "n", "s1", "s2", F.explode(F.arrays_zip("heads", "tails")).alias("x"))
+    rows = rows.select("node", "n", "s1", "s2", F.col("x.heads").alias("head"), F.col("x.tails").alias("tail"))
+    rows = rows.repartition("head").sortWithinPartitions("head", "tail", "node")
+
+    def stop_of(x: np.ndarray) -> np.ndarray:
+        return stops[np.minimum(x[:, 1], _FEW)]
+
+    def linked(x: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = np.flatnonzero(clusters != np.arange(len(x)))
+        return x[far, 0], x[clusters[far], 0]
+
+    def edges_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return linked(x, trie_clusters(x[:, 5], stop_of(x), x[:, 2:4], x[:, 1], similarity, floor, label))
+
+    def made(a: list[np.ndarray], b: list[np.ndarray], rest: np.ndarray | None = None, block: int = 0) -> pa.RecordBatch:
+        """Edges, and rows of a bucket that is too large, in a block."""
+        rest = np.zeros((0, 6), np.int64) if rest is None else rest
+        first, second = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        blank = [None] * len(first)
+        columns = [np.concatenate([first, rest[:, 0]]), pa.array([*second.tolist(), *[None] * len(rest)], pa.int64())]
+        columns += [pa.array([*blank, *rest[:, k].tolist()], pa.int64()) for k in range(1, 6)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + [pa.array([*blank, *[block] * len(rest)], pa.int64())], ["a", "b", "n", "s1", "s2", "head", "tail", "block"])
 
     def walk(batches):
-        held: list[np.ndarray] = []
+        held, block = np.zeros((0, 6), np.int64), 0  # rows of the last head; blocks of it that were passed on
 
-        def edges(x: np.ndarray):
-            a, b = [], []
+        def whole(x: np.ndarray):
+            """Edges of complete buckets."""
             cut = np.concatenate([[0], np.flatnonzero(x[1:, 4] != x[:-1, 4]) + 1, [len(x)]])
-            for i in np.flatnonzero(np.diff(cut) > 1):
-                g = x[cut[i] : cut[i + 1]]
-                label = loose_clusters(g[:, 2:4], g[:, 1], similarity)
-                far = np.flatnonzero(label != np.arange(len(g)))
-                a.append(g[far, 0])
-                b.append(g[label[far], 0])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.column_stack([c.to_numpy() for c in batch.columns])
-            if held and held[-1][-1, 4] == x[-1, 4]:  # the last bucket goes on
-                held.append(x)
-                continue
-            last = int(np.searchsorted(x[:, 4], x[-1, 4]))
-            yield from edges(np.concatenate([*held, x[:last]]))
-            held = [x[last:]]
-        if held:
-            yield from edges(np.concatenate(held))
-
-    return rows.mapInArrow(walk, "a long, b long")
+            size = np.diff(cut)
+            few = np.repeat((size > 1) & (size <= _SMALL), size)
+            y = x[few]
+            a, b = linked(y, small_clusters(y[:, 4], y[:, 5], stop_of(y), y[:, 2:4], y[:, 1], similarity, floor, label))
+            more = [edges_of(x[cut[i] : cut[i + 1]]) for i in np.flatnonzero(size > _SMALL)]
+            return made([a, *(e[0] for e in more)], [b, *(e[1] for e in more)])
+
+        for b in batches:
+            x = np.column_stack([c.to_numpy() for c in b.columns])
+            while len(x):
+                last = int(np.searchsorted(x[:, 4], x[-1, 4]))
+                if len(held) and held[-1, 4] != x[0, 4]:
+                    yield made([], [], held, block) if block else whole(held)
+                    held, block = x[:0], 0
+                if last and not len(held):
+                    yield whole(x[:last])
+                    x = x[last:]
+                    continue
+                own = int(np.searchsorted(x[:, 4], x[0, 4], "right"))
+                held, x = np.concatenate([held, x[:own]]), x[own:]
+                while len(held) > bucket:
+                    yield made([], [], held[:bucket], block)
+                    held, block = held[bucket:], block + 1
+        if len(held):
+            yield made([], [], held, block) if block else whole(held)
+
+    walked = cluster.written(rows.mapInArrow(walk, _WALKED))
+    edges = walked.where("block is null").select("a", "b")
+    large = walked.where("block is not null")
+    blocks = large.groupBy("head").agg((F.max("block") + 1).alias("blocks"))
+    if not blocks.head(1):
+        return edges
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))).alias("pair")
+    met = large.join(blocks, "head").select("a", "n", "s1", "s2", "head", "tail", pair).select("a", "n", "s1", "s2", "head", "tail", "pair.i", "pair.j")
+
+    def group(t: pa.Table) -> pa.Table:
+        x = np.column_stack([t[c].to_numpy() for c in ("a", "n", "s1", "s2", "head", "tail")])
+        a, b = edges_of(x[np.unique(x[:, 0], return_index=True)[1]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return edges.unionByName(met.groupBy("head", "i", "j").applyInArrow(group, "a long, b long"))
 
 
 def _bit_table(hashes: DataFrame) -> np.ndarray:
@@ -290,23 +429,25 @@ def verify(members: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("component", "i", "j").applyInArrow(group, "node long, other long, links long")
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, key; texts: key, rep, copies, class_id, links, class_texts, component)."""
     cluster.bounded_batches(docs.sparkSession)
-    described = cluster.written(describe(docs, depth_for(recall, similarity)))
+    described = cluster.written(describe(docs, *shape(recall, similarity)))
     same = F.any_value
-    texts = described.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(same(c).alias(c) for c in ("n", "prefixes", "s1", "s2")))
+    texts = described.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(same(c).alias(c) for c in ("n", "heads", "tails", "s1", "s2")))
     texts = cluster.written(texts.withColumn("node", F.monotonically_increasing_id()))
-    loose = components(candidate_edges(texts, similarity))
-    blocks = loose.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = texts.select("node", "key", "rep").join(loose.join(blocks, "component"), "node")
+    loose = cluster.written(components(candidate_edges(texts, recall, similarity, bucket)))
+    blocks = loose.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    dealt = cluster.split_join(loose, blocks, ["component"], "size", loose.count()).drop("size")
+    members = texts.select("node", "key", "rep").join(dealt, "node")
     members = cluster.written(members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     checked = cluster.written(verify(_sets(docs, members), similarity))
     linked = checked.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    grouped = components(checked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    grouped = cluster.written(components(checked.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
     named = texts.select("node", "rep").join(grouped, "node")
     names = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("class_texts"))
-    inside = grouped.join(names, "component").join(linked, "node", "left").select("node", "component", "class_id", "links", "class_texts")
+    inside = cluster.split_join(grouped, names, ["component"], "class_texts", grouped.count())
+    inside = inside.join(linked, "node", "left").select("node", "component", "class_id", "links", "class_texts")
     out = texts.select("node", "key", "rep", "copies").join(inside, "node", "left")
     out = out.select(
         "key", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"),
@@ -319,15 +460,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """A row per document: doc_id, class_id, n_links (different texts as similar), n_copies and n_texts of its class."""
     rows, texts = classes(docs, similarity, recall)
-    return rows.join(texts, "key").select(
+    return cluster.split_join(rows, texts, ["key"], "copies", rows.count()).select(
         "doc_id", "class_id", F.col("links").alias("n_links"), F.col("copies").alias("n_copies"), F.col("class_texts").alias("n_texts")
     )
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The document of least doc_id of each class, with all its columns. Classes are told by component, as class_id may be null or that of another class too."""
-    _, texts = classes(docs, similarity, recall)
+    """The document of least doc_id of each class, with all its columns.
+
+    Classes are told by component, as class_id may be null or that of another
+    class too. Columns travel in a struct, so their names clash with none used
+    here. Of repeated rows one stays; only those are compared as a whole.
+    """
+    rows, texts = classes(docs, similarity, recall)
     chosen = texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min(F.struct("rep", "key")).alias("x"))
-    chosen = chosen.select(F.col("x.key").alias("key_"), F.coalesce(F.col("x.rep").cast("string"), F.lit("")).alias("rep_"))
-    rows = docs.withColumns({"key_": _key(cluster.text_or_empty()), "rep_": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    return rows.join(chosen, ["key_", "rep_"], "left_semi").dropDuplicates(["key_", "rep_"]).drop("key_", "rep_")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    chosen = chosen.select(F.col("x.key").alias("key"), name("x.rep").alias("rep"))
+    repeated = rows.groupBy("key", name("doc_id").alias("rep")).agg(F.count("*").alias("n")).where("n > 1")
+    chosen = cluster.written(chosen.join(repeated, ["key", "rep"], "left").withColumn("repeated", F.col("n").isNotNull()).drop("n"))
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    packed = docs.select(own, _key(cluster.text_or_empty()).alias("key"), name("doc_id").alias("rep"))
+    once = packed.join(chosen.where("not repeated"), ["key", "rep"], "left_semi").select("own")
+    first = packed.join(chosen.where("repeated"), ["key", "rep"], "left_semi").groupBy("key", "rep").agg(F.first("own").alias("own")).select("own")
+    return once.unionByName(first).select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))

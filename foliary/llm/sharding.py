@@ -171,9 +171,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = cluster.written(nodes(docs))
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     groups = rows.groupBy(*_GROUP).agg(F.count("*").alias("n")).where("n > 1")
-    linked = rows.join(groups.select(*_GROUP), _GROUP)
+    linked = cluster.split_join(rows, groups, _GROUP, "n", n).drop("n")
     placed = propagate(linked, shards, int(total / shards))
-    single = rows.join(groups.select(*_GROUP), _GROUP, "left_anti")
+    single = cluster.split_anti_join(rows, groups, _GROUP, "n", n)
     single = cluster.written(single.select(*(c for c in placed.columns if c != "shard")))
     everything = placed.unionByName(_fill(single, _loads(placed, shards), shards, total).select(placed.columns))
     out = slots(cluster.written(everything), n)

@@ -448,3 +448,84 @@ def test_tables_go_to_the_named_folder(spark):
 
     assert cluster.written(spark.range(5)).count() == 5
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def _near_copies(draw, groups, each, words=120):
+    """Documents in groups around a text of their own, each with some words put in place of others."""
+    docs = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(words)]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(draw.randint(0, 3)):
+                w[draw.randrange(words)] = f"x{draw.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    return docs
+
+
+def test_join_recall_on_many_near_pairs(spark):
+    """All links of over 1,000 near pairs around the threshold, against brute force."""
+    docs = _near_copies(random.Random(21), 180, 8)
+    want = brute.near_classes(docs)
+    assert sum(x[0] for x in want.values()) / 2 > 1000
+    rows = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    assert sum(r.n_links for r in rows) >= 0.999 * sum(want[t][0] for _, t in docs)
+    assert np.mean([r.class_id == want[docs[r.doc_id][1]][1] for r in rows]) > 0.999
+
+
+def test_join_of_large_buckets_in_blocks(spark):
+    docs = _near_copies(random.Random(22), 3, 60)
+    want = brute.near_classes(docs)
+    rows, texts = ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string"), bucket=10)
+    got = {r.doc_id: (r.links, r.class_id) for r in rows.join(texts, "key").collect()}
+    assert got == {i: want[t][:2] for i, t in docs}
+
+
+def test_buckets_of_any_size_give_the_same_clusters():
+    draw = np.random.default_rng(23)
+    for m in (2, 5, 16, 60):
+        base = draw.integers(0, 1 << 62, (3, 2))
+        s = base[draw.integers(0, 3, m)] ^ (np.int64(1) << draw.integers(0, 60, (m, 2)))
+        n, stop, tail = draw.integers(90, 110, m), draw.integers(6, 9, m), draw.integers(0, 2, (m, 4)) @ (1 << np.array([24, 16, 8, 0]))
+        same = lambda a, b: all((a[i] == a[j]) == (b[i] == b[j]) for i in range(m) for j in range(m))
+        common = lambda i, j: next((p for p in (10, 9, 8, 7) if tail[i] >> 8 * (10 - p) == tail[j] >> 8 * (10 - p)), 6)
+        root = list(range(m))
+        for i in range(m):
+            for j in range(i):
+                if common(i, j) >= max(stop[i], stop[j]) and ngram_join.may_match(s, n, np.array([i]), np.array([j]), 0.8)[0, 0]:
+                    root = [root[j] if r == root[i] else r for r in root]
+        assert same(ngram_join.trie_clusters(tail, stop, s, n, 0.8, 6, 10), root)
+        if m <= 16:
+            assert same(ngram_join.small_clusters(np.zeros(m, int), tail, stop, s, n, 0.8, 6, 10), root)
+
+
+def test_least_similarity_of_small_sets():
+    for n in range(1, 40):
+        own = [c / (n + m - c) for m in range(1, 60) for c in range(1, min(n, m) + 1)]
+        assert abs(ngram_join.least_similarity(n, 0.8) - min(x for x in own if x >= 0.8 - 1e-12)) < 1e-12
+
+
+def test_components_of_hubs_and_paths(spark):
+    from foliary.llm import components
+
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5200)] + [(7, 7)] + [(9000, 9001), (9001, 9000)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5201)} | {9000: 9000, 9001: 9000}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_split_joins_are_joins(spark):
+    from foliary.llm import cluster
+
+    left = spark.range(6000).select((F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 700)).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0")
+    assert sorted(map(tuple, cluster.split_join(left, right, ["k"], "n", 6000).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, cluster.split_anti_join(left, right, ["k"], "n", 6000).collect())) == sorted(map(tuple, left.join(right, "k", "left_anti").collect()))
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "key_", "rep_", "key", "rep", "own", "repeated", "n"]
+    docs = [(1, "a b c d e f", *range(7)), (1, "a b c d e f", *range(7)), (2, "other words of its own here", *range(7)), (3, None, *range(7))]
+    df = spark.createDataFrame(docs, ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(set(docs))
