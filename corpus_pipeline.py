@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages over documents, each written as Parquet before the next reads it."""
+"""The corpus pipeline: stages over documents, each written as Parquet before the next reads it.
+
+Edge cases: an empty table gives an empty result at every stage. Null and empty
+texts have no words, so the first stage rejects them; given to a later one,
+null counts as empty for classes, sizes and tokens and stays null in the text.
+Of repeated rows the second stage keeps one. Null sources are a source of their
+own. All columns of documents, others than the usual ones too and whatever their
+names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars is that of the new text."""
     clean = pii.redact(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -43,7 +53,7 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: Expectation-maximisation, clusters and packing are beyond SQL; tests hold run() against brute force.
+#: Expectation-maximisation, clusters and packing are beyond SQL; tests/llm/test_pipeline.py holds each stage and run() against plain versions.
 ORACLE_SQL = None
 
 
