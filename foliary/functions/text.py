@@ -92,6 +92,11 @@ def words(x: Column) -> Column:
     return F.flatten(apart)
 
 
+def xml_safe(x: Column) -> Column:
+    """The text without characters that XML cannot hold."""
+    return F.regexp_replace(x, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
+
+
 def escaped(x: Column) -> Column:
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         x = F.replace(x, F.lit(mark), F.lit(name))
@@ -125,6 +130,25 @@ def strict_mime_type(ext: Column) -> Column:
     return F.when(ext.isin(*STRICT_MIME), mime_type(ext))
 
 
+def basename(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def stem(path: Column) -> Column:
+    """The base name without its last extension; names that begin with their only dot have none."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def relative(path: Column, root: Column) -> Column:
+    """The path from `root` on; paths outside of it as they are."""
+    inside = path.startswith(F.concat(root, F.lit("/")))
+    return F.when(inside, F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)
+
+
+def is_table_title(x: Column) -> Column:
+    return x.rlike(TABLE_TITLE)
+
+
 def path_safe(x: Column) -> Column:
     return F.translate(x, " /\\:", "____")
 
@@ -156,6 +180,28 @@ def inline_markup(x: Column) -> Column:
     )
 
 
+#: Kinds of note references, fixed values: the word in the text, the prefix of ids, and what an entry says of it.
+NOTES = (("각주", "fn", "에 대한 설명"), ("난외주석", "marg", "에 대한 설명"), ("정답", "ans", "에 대한 정답"))
+FORMULA = r"\\\\(.*?)\\\\"
+DRAWING = r"\\svg\\(.*?)\\"
+LINK = r'https?://[^\s<>"]+'
+
+
+def formulas(x: Column) -> Column:
+    """What stands between pairs of two backslashes."""
+    return F.regexp_extract_all(x, F.lit(FORMULA), F.lit(1))
+
+
+def with_formulas(x: Column) -> Column:
+    """Formulas as MathML that holds them as text, drawings as an image of that name: evident intent, as a fixed formula or shape would say nothing of them."""
+    x = F.regexp_replace(x, FORMULA, '<math xmlns="http://www.w3.org/1998/Math/MathML" alttext="$1"><mtext>$1</mtext></math>')
+    return F.regexp_replace(x, DRAWING, '<svg xmlns="http://www.w3.org/2000/svg" role="img" aria-label="$1"><title>$1</title></svg>')
+
+
+def links(x: Column) -> Column:
+    return F.regexp_extract_all(x, F.lit(LINK), F.lit(0))
+
+
 def list_kind(x: Column) -> Column:
     """ol for `N. `, ul for a bullet, else null."""
     return F.when(x.rlike(r"^\d+\.\s"), "ol").when(x.rlike(r"^[-•*]\s"), "ul")
@@ -171,7 +217,7 @@ def fragment(src: Column, last: bool = False) -> Column:
 
 
 def message(status: Column, own: Column) -> Column:
-    """A job's own message if it has one, else that of its status."""
+    """A job's own message if it has one, else that of its status (fixed values)."""
     said = (
         F.when(status == "finished", "변환 작업이 완료되었습니다.")
         .when(status == "failed", "변환 작업이 실패했습니다.")
@@ -182,4 +228,5 @@ def message(status: Column, own: Column) -> Column:
 
 
 def with_elapsed(text: Column, seconds: Column) -> Column:
+    """The text with the seconds that have passed in place of such a suffix (a fixed value)."""
     return F.concat(F.substring_index(text, " (경과:", 1), F.format_string(" (경과: %.1f초)", seconds))

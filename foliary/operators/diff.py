@@ -33,10 +33,19 @@ def ignored(files: DataFrame, globs: list[str]) -> DataFrame:
     return files.where(~F.col("path").rlike(pattern)) if globs else files
 
 
+#: Bytes that are looked at.
+_SNIFFED = 8192
+
+
 def is_text(content):
-    """Whether a file counts as text: no zero byte in the first 8 KiB, which are valid UTF-8."""
-    head = F.substring(content, 1, 8192)
-    return (F.instr(F.hex(head), "00") % 2 != 1) & F.is_valid_utf8(head)
+    """Whether a file counts as text: no zero byte in the first 8 KiB, which are valid UTF-8 but for a character that is cut at their end."""
+    head = F.substring(content, 1, _SNIFFED)
+    # A cut character is a lead byte with fewer bytes after it than it asks for.
+    tail = F.hex(F.substring(head, F.greatest(F.octet_length(head) - 2, F.lit(1)), F.lit(3)))
+    cut = F.when(F.octet_length(content) > _SNIFFED, F.length(F.regexp_extract(tail, "(?:[CDEF][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])|F[0-9A-F](?:[89AB][0-9A-F]){1,2})$", 0)) / 2).otherwise(0).cast("int")
+    whole = F.substring(head, F.lit(1), F.octet_length(head) - cut)
+    zero = F.hex(head).rlike("^(?:[0-9A-F]{2})*?00")
+    return ~zero & (F.is_valid_utf8(head) | F.is_valid_utf8(whole))
 
 
 def unified(pairs: DataFrame, context: int = 3) -> DataFrame:

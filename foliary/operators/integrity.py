@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliary.functions import text as T
 
+#: Files that a talking book and an e-book must have, fixed values.
 REQUIRED = ("dtbook.xml", "dtbook.opf", "dtbook.smil", "dtbook.ncx", "dtbook.res")
 EPUB_REQUIRED = ("mimetype", "META-INF/container.xml", "EPUB/package.opf", "EPUB/nav.xhtml")
 #: What each file's root is called and which children it must have, fixed values.
@@ -85,10 +86,11 @@ def duplicate_ids(ids: DataFrame) -> DataFrame:
 
 def xml_structure(nodes: DataFrame) -> DataFrame:
     """Errors where a root or a required child of it is missing; `nodes` has doc_id, file, depth, ns, tag, error."""
-    def at(depth: int, ns: str, tag: str) -> Column:
-        return F.coalesce(F.max((F.col("depth") == depth) & (F.col("ns") == ns) & (F.col("tag") == tag)), F.lit(False))
+    def at(depth: int, ns: str | None, tag: str) -> Column:
+        return F.coalesce(F.max((F.col("depth") == depth) & (F.lit(ns is None) | (F.col("ns") == ns)) & (F.col("tag") == tag)), F.lit(False))
 
-    checks = [(f, f"{f}: the root is not {root}", at(0, ns, root)) for f, (ns, root, _) in ROOTS.items()]
+    # The package's root goes by its local name alone.
+    checks = [(f, f"{f}: the root is not {root}", at(0, None if f == "dtbook.opf" else ns, root)) for f, (ns, root, _) in ROOTS.items()]
     checks += [(f, f"{f}: {c} is missing", at(1, ns, c)) for f, (ns, _, children) in ROOTS.items() for c in children]
     # One sum for all rules; each file then tells what it lacks.
     sums = nodes.where(F.col("file").isin(*ROOTS)).groupBy("doc_id", "file").agg(
@@ -112,6 +114,38 @@ def summary(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(counts, "doc_id", "left").fillna(0).withColumn("is_valid", F.col("error_count") == 0)
 
 
+def last_meta(meta: DataFrame, names: dict[str, str]) -> DataFrame:
+    """doc_id and a column for each of `names`: the content of the last element (by ord) of that name, which stands over earlier ones."""
+    return meta.groupBy("doc_id").agg(*(F.max_by(F.when(F.col("name") == n, F.col("content")), F.when(F.col("name") == n, F.col("ord"))).alias(c) for c, n in names.items()))
+
+
+def details(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """`summary` with errors and warnings (messages in order) and details: how many findings each category has."""
+    said = lambda kind: F.sort_array(F.collect_list(F.when(F.col("severity") == kind, F.col("message"))))
+    lists = findings.groupBy("doc_id").agg(said("error").alias("errors"), said("warning").alias("warnings"))
+    by = findings.groupBy("doc_id", "category").agg(F.count("*").alias("n")).groupBy("doc_id")
+    by = by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("details"))
+    none = F.array().cast("array<string>")
+    rows = summary(docs, findings).join(lists, "doc_id", "left").join(by, "doc_id", "left")
+    return rows.withColumns({"errors": F.coalesce("errors", none), "warnings": F.coalesce("warnings", none), "details": F.coalesce("details", F.create_map().cast("map<string,bigint>"))})
+
+
+def crashed(states: DataFrame) -> DataFrame:
+    """An error for each document whose validation ended with one: `states` has doc_id and failure, null where it went through."""
+    return finding(states.where("failure is not null"), "system", "error", F.concat(F.lit("validation failed: "), "failure"))
+
+
+def reading_errors(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Errors of books that cannot be read on: no navigation or book file, none of their maps and bodies; `nodes` has doc_id, file, tag."""
+    asked = (("dtbook.ncx", None), ("dtbook.xml", None), ("dtbook.ncx", "navMap"), ("dtbook.xml", "bodymatter"))
+    held = [F.coalesce(F.max((F.col("file") == f) & (F.lit(t is None) | (F.col("tag") == t))), F.lit(False)).alias(f"c{i}") for i, (f, t) in enumerate(asked)]
+    rows = docs.select("doc_id").join(nodes.groupBy("doc_id").agg(*held), "doc_id", "left").fillna(False)
+    said = [F.when(~F.col(f"c{i}"), F.lit(f"{f} is missing" if t is None else f"{f}: {t} is missing")) for i, (f, t) in enumerate(asked)]
+    said[2], said[3] = F.when(F.col("c0"), said[2]), F.when(F.col("c1"), said[3])
+    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(*said))).alias("said"))
+    return finding(rows, "file_structure", "error", F.col("said"))
+
+
 def first_findings(findings: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, text: the first k errors in order, and how many more there are."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("message"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.operators import blocks as B
 
 
 def paragraph_items(blocks: DataFrame) -> DataFrame:
@@ -14,15 +13,20 @@ def paragraph_items(blocks: DataFrame) -> DataFrame:
 
     A paragraph that holds only a page marker still gives an empty text item.
     """
-    parts = B.segments(blocks.select("doc_id", F.col("i").alias("para"), "style", "text"))
+    kind = T.heading_type(F.col("style")).alias("kind")
+    parts = blocks.select("doc_id", F.col("i").alias("para"), kind, F.posexplode(T.segments(F.col("text"))).alias("seg", "segment"))
+    parts = parts.withColumn("seg", F.col("seg").cast("long"))
     base = F.col("para") * 1000 + F.col("seg") * 100
-    blank = parts.where("is_blank").select("doc_id", "para", "seg", F.lit(0).cast("long").alias("sub"), F.lit("p").alias("type"), F.lit("").alias("text"), base.alias("position"))
-    body = parts.where("not is_blank")
-    page = body.select("doc_id", "para", "seg", F.posexplode(T.page_values(F.col("segment"))).alias("k", "text")).select(
-        "doc_id", "para", "seg", (F.col("k") + 1).cast("long").alias("sub"), F.lit("pagenum").alias("type"), "text", (base + 50).alias("position")
-    )
-    texts = body.select("doc_id", "para", "seg", F.lit(1000).cast("long").alias("sub"), T.heading_type(F.col("style")).alias("type"), T.cleaned(F.col("segment")).alias("text"), (base + 100).alias("position"))
-    return blank.unionByName(page).unionByName(texts)
+
+    def item(sub, type_, text, position):
+        return F.struct(sub.cast("long").alias("sub"), type_.alias("type"), text.alias("text"), position.alias("position"))
+
+    blank = F.when(F.col("seg") > 0, F.array(item(F.lit(0), F.lit("p"), F.lit(""), base)))
+    pages = F.transform(T.page_values(F.col("segment")), lambda v, k: item(k + 1, F.lit("pagenum"), v, base + 50))
+    text = F.array(item(F.lit(1000), F.col("kind"), T.cleaned(F.col("segment")), base + 100))
+    body = F.when(T.strip(F.col("segment")) != "", F.concat(pages, text))
+    found = F.explode(F.flatten(F.array_compact(F.array(blank, body)))).alias("x")
+    return parts.select("doc_id", "para", "seg", found).select("doc_id", "para", "seg", "x.*")
 
 
 def table_items(anchors: DataFrame) -> DataFrame:

@@ -53,3 +53,59 @@ def batch_metadata(batches: DataFrame) -> DataFrame:
 def with_metadata(files: DataFrame, entries: DataFrame) -> DataFrame:
     """Files with the entry at their position; entries without a file are left out."""
     return files.join(entries, ["batch_id", "pos"], "left")
+
+
+def merged(old: Column, new: Column) -> Column:
+    """Two maps as one; where both have a key, the second's value stands."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def upserted(state: DataFrame, changes: DataFrame, as_of: Column, seconds: int = 86_400) -> DataFrame:
+    """job_id, ts, meta: `state` with the latest of `changes` (job_id, ts, event_id, meta) merged over it, without jobs that expired.
+
+    Changes of a job are merged in their order, so later values stand.
+    """
+    one = changes.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.map_entries("meta").alias("meta")))).alias("x"))
+    empty = F.create_map().cast("map<string,string>")
+    one = one.select("job_id", F.array_max("x.ts").alias("new_ts"), F.aggregate("x.meta", empty, lambda a, m: merged(a, F.map_from_entries(m))).alias("new_meta"))
+    both = state.join(one, "job_id", "full_outer")
+    both = both.select("job_id", F.greatest("ts", "new_ts").alias("ts"), merged(F.coalesce("meta", empty), F.coalesce("new_meta", empty)).alias("meta"))
+    return both.where(F.col("ts") >= as_of - F.expr(f"INTERVAL {seconds} SECONDS"))
+
+
+def queue_counts(state: DataFrame) -> DataFrame:
+    """waiting, running, failed: how many jobs are in each of these states (status queued, started, failed)."""
+    return state.agg(*(F.count_if(F.col("status") == s).alias(n) for n, s in (("waiting", "queued"), ("running", "started"), ("failed", "failed"))))
+
+
+def failed_jobs(state: DataFrame, k: int = 10) -> DataFrame:
+    """The k failed jobs of least id, as a report shows."""
+    return state.where("status = 'failed'").select("job_id").orderBy("job_id").limit(k)
+
+
+def with_results(state: DataFrame, files: DataFrame) -> DataFrame:
+    """job_id, format, path of finished jobs: the archive of both formats, else the e-book, else the talking book; null if there is none.
+
+    `files` has job_id, kind (both, epub, zip) and path.
+    """
+    kinds = ("both", "epub", "zip")
+    have = files.where(F.col("kind").isin(*kinds)).groupBy("job_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("path"))).alias(k) for k in kinds))
+    rows = state.where("status = 'finished'").select("job_id").join(have, "job_id", "left")
+    return rows.select("job_id", F.coalesce(*(F.when(F.col(k).isNotNull(), F.lit(k)) for k in kinds)).alias("format"), F.coalesce(*kinds).alias("path"))
+
+
+def accepted(uploads: DataFrame, extensions: tuple[str, ...], low: int = 1, high: int = 10, default: int = 5, most: int = 10) -> DataFrame:
+    """Uploads whose name ends with one of the extensions, of a priority in range; batches of more than `most` files go as a whole."""
+    ends = F.lit(False)
+    for e in extensions:
+        ends = ends | F.lower("name").endswith(e)
+    small = uploads.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("batch")
+    return uploads.where(ends & F.coalesce("priority", F.lit(default)).between(low, high)).join(small, "batch", "left_semi")
+
+
+def first_distinct(rows: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """key, first, values: distinct values that are not null, in order of their first place, joined by |, and the first of them."""
+    once = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.min(order).alias("at"))
+    lists = F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("v"))))
+    out = once.groupBy(*key).agg(F.transform(lists, lambda x: x["v"]).alias("l"))
+    return out.select(*key, F.element_at("l", 1).alias("first"), F.array_join("l", "|").alias("values"))

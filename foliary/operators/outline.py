@@ -58,17 +58,24 @@ def play_order(heads: DataFrame, pages: DataFrame, notes: DataFrame | None = Non
     return rows.withColumn("play_order", order).drop("rank")
 
 
+def open_levels(level, order: str, window) -> list:
+    """Of each level from 1 to 6 whether a section of it is open ahead of the row: its last heading came after the last of any lesser level."""
+    last = {k: F.max(F.when(level == k, F.col(order))).over(window) for k in LEVELS}
+    return [
+        F.coalesce(last[k] > F.coalesce(F.greatest(F.lit(0).cast("long"), F.lit(0).cast("long"), *(last[j] for j in LEVELS if j < k)), F.lit(0)), F.lit(False)) for k in LEVELS
+    ]
+
+
+def open_depth(level, before: list):
+    """How many sections are open after a heading: itself and those of lesser levels that were open."""
+    return F.lit(1).cast("long") + sum((F.when((level > k) & is_open, 1).otherwise(0) for k, is_open in zip(LEVELS, before, strict=True)), F.lit(0))
+
+
 def section_closes(heads: DataFrame) -> DataFrame:
-    """`heads` with open_depth (sections open after it) and closes (how many it closes first)."""
-    chain = heads.withColumn("parent_ord", nearest_parent())
-    # Depth by walking at most five parents up: levels strictly fall along the chain.
-    up = chain.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.col("parent_ord").alias("p"))
-    out = chain.withColumns({"at": F.col("parent_ord"), "open_depth": F.lit(1).cast("long")})
-    for _ in range(5):
-        out = out.join(up, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("o")), "left")
-        out = out.withColumn("open_depth", F.col("open_depth") + F.when(F.col("at").isNotNull(), 1).otherwise(0)).withColumn("at", F.col("p")).drop("d", "o", "p")
+    """`heads` with parent_ord, open_depth (sections open after it) and closes (how many it closes first)."""
+    out = heads.withColumns({"parent_ord": nearest_parent(), "open_depth": open_depth(F.col("level"), open_levels(F.col("level"), "ord", _before(["doc_id"], "ord")))})
     before = F.coalesce(F.lag("open_depth").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(0))
-    return out.withColumn("closes", before - F.col("open_depth") + 1).drop("at")
+    return out.withColumn("closes", before - F.col("open_depth") + 1)
 
 
 def content_files(heads: DataFrame) -> DataFrame:

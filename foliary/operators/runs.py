@@ -33,3 +33,26 @@ def numbered_notes(rows: DataFrame, key: list[str], order: str, text: str = "tex
     found = rows.select(*key, order, F.posexplode(T.note_references(F.col(text), "각주")).alias("at", "note"))
     number = F.row_number().over(Window.partitionBy(*key).orderBy(order, "at")).cast("long")
     return found.select(*key, order, number.alias("k"), "note")
+
+
+def notes(rows: DataFrame, key: list[str], order: str, text: str = "text") -> DataFrame:
+    """key, order column, note_id, note, content: the first reference of each kind in each row, numbered over all kinds in reading order.
+
+    Footnotes have a number of their own; the ids of other kinds go on from all notes so far.
+    """
+    kinds = F.array(*(
+        F.struct(F.lit(k).alias("kind"), F.lit(prefix).alias("prefix"), F.regexp_extract(text, rf"\({word}\d+\)", 0).alias("note"), F.lit(says).alias("says"))
+        for k, (word, prefix, says) in enumerate(T.NOTES)
+    ))
+    found = rows.select(*key, order, F.explode(kinds).alias("x")).select(*key, order, "x.*").where("note <> ''")
+    w = Window.partitionBy(*key).orderBy(order, "kind")
+    own = F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    number = F.when(F.col("kind") == 0, own).otherwise(F.row_number().over(w))
+    return found.select(*key, order, F.concat_ws("_", "prefix", number.cast("string")).alias("note_id"), "note", F.concat("note", "says").alias("content"))
+
+
+def numbered(rows: DataFrame, key: list[str], order: str, values, label: str) -> DataFrame:
+    """key, order column, k, label: `values` (an array column) in reading order, each as `label`, its number and itself, cut at 50 characters."""
+    found = rows.select(*key, order, F.posexplode(values).alias("at", "value"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(order, "at")).cast("long")
+    return found.select(*key, order, number.alias("k"), F.concat(F.lit(f"{label} "), number.cast("string"), F.lit(": "), F.left("value", F.lit(50))).alias("label"))

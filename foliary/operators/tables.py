@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliary.functions import text as T
+
 
 def grid_starts(cells: DataFrame, key: list[str]) -> DataFrame:
     """`cells` with grid_start: the columns that earlier cells of the row take."""
@@ -65,3 +67,56 @@ def lookup(grid: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
     """Grid places with what is known of their cells; a place without one is 1 by 1 and not merged."""
     found = grid.join(cells, [*key, "row", "g"], "left")
     return found.withColumns({"rowspan": F.coalesce("rowspan", F.lit(1)).cast("long"), "colspan": F.coalesce("colspan", F.lit(1)).cast("long"), "is_merged": F.coalesce("is_merged", F.lit(False))})
+
+
+def rendered(cells: DataFrame, nested: int = 1) -> DataFrame:
+    """doc_id, table_id, html and pars (reading units) of tables at the top, those within their cells included.
+
+    Cells are as above, with doc_id, table_id, parent_id, parent_row and parent_tc
+    (of the cell around a nested table; null at the top) and text, whose lines are
+    paragraphs. Tables are put together from the innermost out, `nested` levels down.
+    """
+    key = ["doc_id", "table_id"]
+    around = cells.select(*key, "parent_id", "parent_row", "parent_tc").distinct()
+    spans = merged_spans(cells, key).withColumnRenamed("g", "grid_start").select(*key, "row", "grid_start", F.col("rowspan").alias("r"), F.col("colspan").alias("c"), "is_merged_area")
+    placed = grid_starts(cells, key).drop("colspan").join(spans, [*key, "row", "grid_start"]).where("not is_merged_area")
+    cell_id = F.concat("table_id", F.lit("_cell_"), F.col("row").cast("string"), F.lit("_"), F.col("grid_start").cast("string"), F.lit("_p_"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+
+    def paragraph(line, k):
+        own = F.concat(cell_id, k.cast("string"))
+        return F.concat(F.lit('<p id="table_'), own, F.lit('" smilref="dtbook.smil#smil_par_'), own, F.lit('">'), T.escaped(T.xml_safe(T.strip(line))), F.lit("</p>"))
+
+    def par(line, k):
+        own = F.concat(cell_id, k.cast("string"))
+        said = F.concat(F.lit('<par id="smil_par_'), own, F.lit('" class="p"><text src="dtbook.xml#table_'), own, F.lit('"/></par>'))
+        return F.when(T.strip(line) != "", said)
+
+    attr = lambda c, name: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
+    placed = placed.select(
+        *key, "row", "tc", F.concat(F.lit("<td"), attr("r", "rowspan"), attr("c", "colspan"), F.lit(">")).alias("begin"),
+        F.array_join(F.transform(lines, paragraph), "").alias("said"), F.array_join(F.transform(lines, par), "\n").alias("pars"),
+    )
+    inner = None
+    for level in range(nested, -1, -1):
+        here = placed.where(F.size(F.split("table_id", "_nested_")) == level + 1)
+        if inner is None:
+            here = here.withColumns({"inside": F.lit(""), "inside_pars": F.lit(None).cast("string")})
+        else:
+            here = here.join(inner, [*key, "row", "tc"], "left").withColumn("inside", F.coalesce("inside", F.lit("")))
+        cell = F.concat("begin", "said", "inside", F.lit("</td>"))
+        unit = F.nullif(F.concat_ws("\n", F.nullif("pars", F.lit("")), F.nullif("inside_pars", F.lit(""))), F.lit(""))
+        ordered = F.array_sort(F.collect_list(F.struct("tc", cell.alias("x"), unit.alias("u"))))
+        rows = here.groupBy(*key, "row").agg(ordered.alias("cells"))
+        rows = rows.select(*key, "row", F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda x: x["x"]), ""), F.lit("</tr>")).alias("tr"), F.array_join(F.transform("cells", lambda x: x["u"]), "\n").alias("u"))
+        out = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row", "tr", "u"))).alias("rows"))
+        html = F.concat(F.lit("<table><tbody>"), F.array_join(F.transform("rows", lambda x: x["tr"]), ""), F.lit("</tbody></table>"))
+        out = out.select(*key, html.alias("html"), F.array_join(F.transform("rows", lambda x: F.nullif(x["u"], F.lit(""))), "\n").alias("pars"))
+        # Tables of one cell stand in their order.
+        lists = F.array_sort(F.collect_list(F.struct("table_id", "html", "pars")))
+        within = out.join(around, key).where("parent_id is not null").groupBy("doc_id", "parent_id", "parent_row", "parent_tc").agg(lists.alias("l"))
+        inner = within.select(
+            "doc_id", F.col("parent_id").alias("table_id"), F.col("parent_row").alias("row"), F.col("parent_tc").alias("tc"),
+            F.array_join(F.transform("l", lambda x: x["html"]), "").alias("inside"), F.array_join(F.transform("l", lambda x: x["pars"]), "\n").alias("inside_pars"),
+        )
+    return out

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from foliary.functions import text as T
 from foliary.operators import blocks, diff, integrity, items, jobs, lookups, outline, runs, tables
 
-from foliary.sources import packages, writers
-from foliary.streaming import jobs as stream
-
 #: The recipe, the same text in both dialects; i is the line's number from 0.
 BROKEN = "CASE WHEN i % 4 = 1 AND instr(line, ', ') > 0 THEN substr(line, 1, instr(line, ', ') - 1) || '<br/>' || substr(line, instr(line, ', ') + 2) ELSE line END"
 STYLE = "CASE WHEN i = 0 THEN 'Heading 1' WHEN i % 11 = 0 THEN 'Heading 10' WHEN i % 7 = 0 THEN 'heading2' WHEN i % 5 = 0 THEN '제목 3' ELSE 'Normal' END"
@@ -102,9 +99,14 @@ def style_levels_epub(spark, sf_dir):
 _MARKS = " UNION ALL ".join(f"SELECT doc_id, i, '{k}' AS type, unnest(regexp_extract_all(text, '{p}', 1)) AS value, unnest(regexp_extract_all(text, '{p}', 0)) AS original FROM blk" for k, p in T.MARKERS.items())
 
 
-@query(f"{_BLOCKS} SELECT doc_id, i, CAST(1 AS BIGINT) AS m, type, value, original FROM ({_MARKS})")
+#: A second marker after the first on every third line, so that places decide their order.
+_TWICE = "CASE WHEN i % 3 = 0 THEN text || ' $line{99} and $#77' ELSE text END"
+
+
+@query(f"""{_BLOCKS.replace("AS text FROM lines", "AS text0 FROM lines").replace("blk AS (", "blk0 AS (")}, blk AS (SELECT doc_id, i, {_TWICE.replace("text", "text0")} AS text FROM blk0)
+  SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, i ORDER BY instr(text, original), type, original) AS m, type, value, original FROM ({_MARKS.replace("SELECT doc_id, i,", "SELECT doc_id, i, text,")})""")
 def markers_all(spark, sf_dir):
-    return blocks.markers(_blocks(spark, sf_dir).drop("style"))
+    return blocks.markers(_blocks(spark, sf_dir).drop("style").withColumn("text", F.expr(_TWICE)))
 
 
 @query(f"{_SEGS} SELECT doc_id, i, seg, unnest(regexp_extract_all(segment, {_PAGE}, 1)) AS value FROM seg WHERE trim(segment) <> ''")
@@ -637,63 +639,3 @@ def accepted_uploads(spark, sf_dir):
     """Extension-like filter and priority range with a default."""
     priority = F.coalesce(F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 13), F.lit(5))
     return _read(spark, sf_dir, "events").where(F.lower("props").contains("1") & priority.between(1, 10)).select("event_id")
-
-
-# Streams: the same state as job_latest, from the events as a stream of files.
-@query(_LATEST)
-def job_latest_stream(spark, sf_dir):
-    """Runs the stream over what is there to its end; the memory table holds the last state of each job."""
-    name = f"job_latest_{abs(hash(sf_dir))}"
-    like = _read(spark, sf_dir, "events").limit(0)
-    events = stream.read(spark, f"{sf_dir}/events.parquet*", like)
-    rows = events.select("event_id", F.concat(F.lit("job:"), F.col("user_id").cast("string")).alias("job_id"), "ts", F.col("event_type").alias("status"), (F.col("event_id") % 101).alias("progress"))
-    run = jobs.latest(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
-# Packages made from documents: the files of a talking book, zipped, unzipped, parsed and checked.
-def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.concat(F.lit("Book <"), F.col("doc_id").cast("string"), F.lit(">")).alias("title"), F.col("source").alias("author"), F.lit("Unknown Publisher").alias("publisher"), F.col("lang").alias("language"), F.lit(None).cast("string").alias("isbn"))
-
-
-def _daisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = content_items_sorted(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", ""))
-    return writers.daisy_entries(_book(spark, sf_dir), shown)
-
-
-@query(f"SELECT doc_id, CAST(k AS BIGINT) AS ord, path FROM documents, ({_FILES}) f(k, path)")
-def daisy_archives(spark, sf_dir):
-    entries = packages.zip_entries(writers.archives(_daisy(spark, sf_dir)))
-    return entries.select("doc_id", "ord", "path")
-
-
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS error_count, CAST(0 AS BIGINT) AS dangling FROM documents")
-def daisy_validated(spark, sf_dir):
-    """What is written stands the structure rules, and no reference dangles."""
-    entries = packages.zip_entries(writers.archives(_daisy(spark, sf_dir)))
-    nodes = packages.xml_nodes(entries)
-    docs = _read(spark, sf_dir, "documents").select("doc_id")
-    ids = nodes.where("file = 'dtbook.xml'").select("doc_id", F.col("attrs")["id"].alias("id"))
-    refs = nodes.where("file = 'dtbook.smil' and tag = 'text'").select("doc_id", F.col("attrs")["src"].alias("src"))
-    found = integrity.union(integrity.required_files(docs, entries), integrity.xml_structure(nodes))
-    dangling = integrity.dangling_references(refs, ids).groupBy("doc_id").agg(F.count("*").alias("dangling"))
-    return integrity.summary(docs, found).select("doc_id", "error_count").join(dangling, "doc_id", "left").fillna(0)
-
-
-@query(f"{_ITEMS} SELECT doc_id, type, count(*) AS n FROM (SELECT doc_id, CASE WHEN type IN ('image', 'table') THEN type WHEN type = 'pagenum' THEN 'pagenum' ELSE type END AS type FROM num) GROUP BY ALL")
-def daisy_reparsed(spark, sf_dir):
-    """Elements of the written book by type, read back from its XML."""
-    nodes = packages.xml_nodes(_daisy(spark, sf_dir).where("path = 'dtbook.xml'").select("doc_id", "path", "content"))
-    kind = F.when(F.col("tag") == "imggroup", "image").otherwise(F.col("tag"))
-    return nodes.where("attrs['id'] is not null").groupBy("doc_id", kind.alias("type")).agg(F.count("*").alias("n"))
-
-
-_EPUB_FILES = "(VALUES (0, 'mimetype'), (1, 'META-INF/container.xml'), (2, 'EPUB/package.opf'), (3, 'EPUB/nav.xhtml'), (4, 'EPUB/content.xhtml'), (5, 'EPUB/style.css')) f(k, path)"
-
-
-@query(f"SELECT doc_id, CAST(k AS BIGINT) AS ord, path FROM documents, {_EPUB_FILES}")
-def epub_archives(spark, sf_dir):
-    entries = packages.zip_entries(writers.archives(writers.epub_entries(_book(spark, sf_dir), content_items_sorted(spark, sf_dir))))
-    return entries.select("doc_id", "ord", "path")

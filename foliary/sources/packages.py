@@ -23,6 +23,31 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+#: Rows of an Arrow batch of packages or files, which may be large: one package is held at a time, and so are its rows.
+_BATCH = 16
+
+
+def _few_rows(df: DataFrame) -> DataFrame:
+    """Batches of few packages; the session keeps the setting, as results are lazy, unless its own is smaller."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") or 0) <= _BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH))
+    return df
+
+
+def images_in(entries: DataFrame, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "gif", "svg")) -> DataFrame:
+    """Entries at the top of a package that are images by their extension, by path."""
+    return entries.where(~F.col("path").contains("/") & F.lower("path").rlike(rf"\.(?:{'|'.join(extensions)})$"))
+
+
+def outdated(files: DataFrame, as_of, seconds: int = 86_400, suffixes: tuple[str, ...] = (".zip", ".epub")) -> DataFrame:
+    """Result files (path, modified) that were last changed longer ago than that."""
+    ends = F.lit(False)
+    for s in suffixes:
+        ends = ends | F.col("path").endswith(s)
+    return files.where(ends & (F.col("modified") < as_of - F.expr(f"INTERVAL {seconds} SECONDS")))
+
+
 def zip_entries(packages: DataFrame) -> DataFrame:
     """doc_id, ord, path, size, content of every entry of each package (doc_id, content); a broken one gives a row with error."""
 
@@ -36,17 +61,18 @@ def zip_entries(packages: DataFrame) -> DataFrame:
                     rows = [(doc_id, 0, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["doc_id", "ord", "path", "size", "content", "error"])
 
-    return packages.select("doc_id", "content").mapInPandas(read, "doc_id long, ord long, path string, size long, content binary, error string")
+    return _few_rows(packages).select("doc_id", "content").mapInPandas(read, "doc_id long, ord long, path string, size long, content binary, error string")
 
 
 def _walk(root: ElementTree.Element) -> Iterator[tuple]:
-    """node_id, parent_id, ord, depth, element in document order."""
-    stack, n = [(root, None, 0, 0)], 0
+    """node_id, ancestors, ord, depth, element in document order."""
+    stack, n = [(root, [], 0)], 0
     while stack:
-        e, parent, ord_, depth = stack.pop()
+        e, parents, ord_ = stack.pop()
         own, n = n, n + 1
-        yield own, parent, ord_, depth, e
-        stack += [(c, own, i, depth + 1) for i, c in reversed(list(enumerate(e)))]
+        yield own, parents, ord_, len(parents), e
+        below = [*parents, own]
+        stack += [(c, below, i) for i, c in reversed(list(enumerate(e)))]
 
 
 def _local(tag: str) -> tuple[str, str]:
@@ -55,26 +81,27 @@ def _local(tag: str) -> tuple[str, str]:
 
 
 def xml_nodes(entries: DataFrame) -> DataFrame:
-    """All elements of XML entries (doc_id, path, content): file, node_id, parent_id, ord, depth, ns, tag, attrs, text, tail, error."""
+    """All elements of XML entries (doc_id, path, content): file, node_id (in document order), parent_id, ord, depth, ancestors (from the root), ns, tag, attrs, text, tail, error."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "file", "node_id", "parent_id", "ord", "depth", "ns", "tag", "attrs", "text", "tail", "error"]
+        names = ["doc_id", "file", "node_id", "parent_id", "ord", "depth", "ancestors", "ns", "tag", "attrs", "text", "tail", "error"]
         for part in parts:
-            rows = []
             for doc_id, path, content in zip(part["doc_id"], part["path"], part["content"], strict=True):
+                rows = []
                 try:
                     root = ElementTree.fromstring(content)
                 except (ElementTree.ParseError, TypeError) as e:
-                    rows.append((doc_id, path, 0, None, 0, 0, None, None, None, None, None, str(e)))
-                    continue
-                for own, parent, ord_, depth, x in _walk(root):
-                    ns, tag = _local(x.tag)
-                    rows.append((doc_id, path, own, parent, ord_, depth, ns, tag, {_local(k)[1]: v for k, v in x.attrib.items()}, x.text, x.tail, None))
-            frame = pd.DataFrame(rows, columns=names)
-            frame["parent_id"] = frame["parent_id"].astype("Int64")
-            yield frame
-
-    schema = "doc_id long, file string, node_id long, parent_id long, ord long, depth int, ns string, tag string, attrs map<string,string>, text string, tail string, error string"
+                    rows.append((doc_id, path, 0, None, 0, 0, [], None, None, None, None, None, str(e)))
+                else:
+                    for own, parents, ord_, depth, x in _walk(root):
+                        ns, tag = _local(x.tag)
+                        rows.append((doc_id, path, own, parents[-1] if parents else None, ord_, depth, parents, ns, tag, {_local(k)[1]: v for k, v in x.attrib.items()}, x.text, x.tail, None))
+                frame = pd.DataFrame(rows, columns=names)
+                frame["parent_id"] = frame["parent_id"].astype("Int64")
+                yield frame
+
+    schema = "doc_id long, file string, node_id long, parent_id long, ord long, depth int, ancestors array<long>, ns string, tag string, attrs map<string,string>, text string, tail string, error string"
+    entries = _few_rows(entries)
     return entries.select("doc_id", "path", "content").mapInPandas(read, schema)
 
 
@@ -112,10 +139,18 @@ def docx_parts(packages: DataFrame) -> DataFrame:
     """
     names = ["doc_id", "kind", "body_idx", "para_idx", "style", "text", "run_idx", "rid", "target", "table_id", "parent_table", "row", "tc", "colspan", "v_state"]
 
+    def frame_of(rows: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=names)
+        for c in ("body_idx", "para_idx", "run_idx", "table_id", "parent_table", "row", "tc", "colspan"):
+            frame[c] = frame[c].astype("Int64")
+        for c in ("style", "text", "rid", "target", "v_state"):
+            frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+        return frame
+
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows: list[dict] = []
             for doc_id, content in zip(part["doc_id"], part["content"], strict=True):
+                rows: list[dict] = []
                 add = lambda kind, doc_id=doc_id, **x: rows.append({"doc_id": doc_id, "kind": kind} | x)
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -123,6 +158,7 @@ def docx_parts(packages: DataFrame) -> DataFrame:
                         rels = ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in z.namelist() else []
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError) as e:
                     add("error", text=str(e))
+                    yield frame_of(rows)
                     continue
                 for rel in rels:
                     if "image" in rel.get("Type", ""):
@@ -140,12 +176,7 @@ def docx_parts(packages: DataFrame) -> DataFrame:
                         add("table", body_idx=at, table_id=_table(child, number, None, cells))
                         for own, up, row, tc, span, state, text, _ in cells:
                             add("cell", table_id=own, parent_table=up, row=row, tc=tc, colspan=span, v_state=state, text=text)
-            frame = pd.DataFrame(rows, columns=names)
-            for c in ("body_idx", "para_idx", "run_idx", "table_id", "parent_table", "row", "tc", "colspan"):
-                frame[c] = frame[c].astype("Int64")
-            for c in ("style", "text", "rid", "target", "v_state"):
-                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
-            yield frame
+                yield frame_of(rows)
 
     kinds = {"doc_id": "long", "kind": "string"} | {c: "string" if c in ("style", "text", "rid", "target", "v_state") else "long" for c in names[2:]}
-    return packages.select("doc_id", "content").mapInPandas(read, ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return _few_rows(packages).select("doc_id", "content").mapInPandas(read, ", ".join(f"{k} {v}" for k, v in kinds.items()))

@@ -1,6 +1,8 @@
 """Writers: items projected to the files of talking-book and e-book packages, and packages as archives.
 
-Each projection is one ordered aggregation by document. It gives entry rows
+All files of a package come from one ordered aggregation by document: every item
+gives its piece of each file, with the tags that its place in the hierarchy
+opens and closes, and the pieces are collected once. Results are entry rows
 (doc_id, entry_ord, path, content); `archives` zips them.
 """
 
@@ -10,32 +12,32 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.operators import outline
+from foliary.operators import outline, tables
 from foliary.operators.integrity import ROOTS
 
+# Names and types that the formats prescribe.
 _HEAD = '<?xml version="1.0" encoding="utf-8"?>\n'
 _DTBOOK, _OPF, _SMIL, _NCX = (ROOTS[f][0] for f in ("dtbook.xml", "dtbook.opf", "dtbook.smil", "dtbook.ncx"))
-#: Resource file: node sets of the two reading files, fixed values.
-RESOURCES = ("navPoint", "pageTarget", "navTarget", "navMap", "pageList", "navList", "ncx"), ("math", "altimg")
+_XHTML, _OPS = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops"
+#: Resource file: the node sets of its two scopes.
+RESOURCES = (("nsuri", _NCX, ("navPoint", "pageTarget", "navTarget", "navMap", "pageList", "navList", "ncx")), ("nsuri", _SMIL, ("math", "altimg")))
+#: Files of a talking book that its package lists.
+LISTED = (("xml", "application/x-dtbook+xml"), ("opf", "text/xml"), ("smil", "application/smil"), ("ncx", "application/x-dtbncx+xml"), ("res", "application/x-dtbresource+xml"))
+UNTITLED = "제목 없음"
+STYLE = "body{line-height:1.6}figure{margin:1em 0}table{border-collapse:collapse}"
+CONTAINER = f'{_HEAD}<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
 
 def _s(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def _gathered(rows: DataFrame, piece: Column, between: str = "\n") -> DataFrame:
-    """doc_id, body: the pieces of each document in order of `sorted_no`."""
-    ordered = F.array_sort(F.collect_list(F.struct("sorted_no", piece.alias("x"))))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["x"]), between).alias("body"))
-
-
-def _file(book: DataFrame, bodies: DataFrame, ord_: int, path: str, content: Column) -> DataFrame:
-    rows = book.join(bodies, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
-    return rows.select("doc_id", F.lit(ord_).alias("entry_ord"), F.lit(path).alias("path"), content.cast("binary").alias("content"))
+def _words(x: Column) -> Column:
+    return T.escaped(T.xml_safe(x))
 
 
 def _uid() -> Column:
@@ -46,89 +48,196 @@ def _par(id_: Column) -> Column:
     return _s("smil_par_", id_)
 
 
-def _heading(kind: Column) -> Column:
-    return kind.rlike("^h[1-6]$")
+def with_defaults(book: DataFrame) -> DataFrame:
+    """`book` with defaults in place of empty fields: doc_id, title, author, publisher, language, isbn."""
+    fill = {"title": "Untitled", "author": "Unknown Author", "publisher": "Unknown Publisher", "language": "ko"}
+    rows = book.withColumns({c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(v)) for c, v in fill.items()})
+    return rows.withColumn("isbn", F.coalesce(F.nullif(F.trim("isbn"), F.lit("")), _uid()))
+
+
+def placed_items(items: DataFrame) -> DataFrame:
+    """`items` with level (0 if no heading), first (of its document), was_open (an array: whether a section of each level is open ahead), depth and before (open sections after and ahead of a heading), h_no and p_no (running numbers of headings and pages)."""
+    ahead = Window.partitionBy("doc_id").orderBy("sorted_no").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("doc_id").orderBy("sorted_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = items.withColumn("level", T.heading_level(F.when(F.col("type").rlike("^h[1-6]$"), F.col("type")).otherwise("p")))
+    was_open = outline.open_levels(F.col("level"), "sorted_no", ahead)
+    rows = rows.withColumns({"was_open": F.array(*was_open), "first": F.count("*").over(ahead) == 0})
+    depth = outline.open_depth(F.col("level"), [F.col("was_open")[k - 1] for k in outline.LEVELS])
+    rows = rows.withColumn("depth", F.when(F.col("level") > 0, depth))
+    return rows.withColumns({
+        "before": F.coalesce(F.last("depth", True).over(ahead), F.lit(0)), "h_no": F.count(F.when(F.col("level") > 0, 1)).over(so_far), "p_no": F.count(F.when(F.col("type") == "pagenum", 1)).over(so_far),
+    })
+
+
+def _level_tags() -> Column:
+    """What closes and opens ahead of an item in a book of nested levels; a first item that is no level-1 heading gets a level 1 made up."""
+    level, first = F.col("level"), F.col("first")
+    ends = [F.when((level > 0) & (level <= k) & F.col("was_open")[k - 1], f"</level{k}>").otherwise("") for k in range(6, 1, -1)]
+    own = F.when(level > 0, _s("<level", level.cast("string"), ">")).otherwise("")
+    made_up = F.when(first & (level != 1), f"<level1><h1>{UNTITLED}</h1>").otherwise("")
+    return _s(*ends, F.when(~first & (level == 1), "</level1>").otherwise(""), made_up, own)
+
+
+def _last_open() -> list[Column]:
+    """Aggregates: the last heading of each level from 1 to 6, by sorted_no."""
+    return [F.max(F.when(F.col("level") == k, F.col("sorted_no"))).alias(f"last_{k}") for k in outline.LEVELS]
+
+
+def _level_ends() -> Column:
+    """What closes a book's last sections, from the columns of `_last_open`."""
+    last = lambda k: F.coalesce(F.col(f"last_{k}"), F.lit(0))
+    ends = [F.when(last(k) > (F.greatest(*(last(j) for j in range(1, k))) if k > 2 else last(1)), f"</level{k}>").otherwise("") for k in range(6, 1, -1)]
+    return _s(*ends, F.when(F.col("n") > 0, "</level1>").otherwise(""))
+
+
+def _nested(label: Column, end: str, inner: tuple[str, str] = ("", "")) -> Column:
+    """A heading's entry in a tree: what ends ahead of it, and its own beginning."""
+    up = F.greatest(F.col("before") - F.col("depth"), F.lit(0)).cast("int")
+    deeper = (F.col("before") > 0) & (F.col("depth") > F.col("before"))
+    return F.when(F.col("before") == 0, label).when(deeper, _s(inner[0], label)).otherwise(_s(end, F.repeat(F.lit(inner[1] + end), up), label))
+
+
+def _joined(field: str, between: str = "\n") -> Column:
+    return F.array_join(F.transform("pieces", lambda p: p[field]), between)
+
+
+def _collected(rows: DataFrame, pieces: dict[str, Column]) -> DataFrame:
+    """A row per document: pieces (an array of structs in order), n, headings, depth of the last heading and of all, last headings by level."""
+    ordered = F.array_sort(F.collect_list(F.struct("sorted_no", *(v.alias(k) for k, v in pieces.items())))).alias("pieces")
+    return rows.groupBy("doc_id").agg(
+        ordered, F.count("*").alias("n"), F.max("h_no").alias("headings"), F.max_by("depth", F.when(F.col("level") > 0, F.col("sorted_no"))).alias("end_depth"),
+        F.least(F.greatest(F.max("level"), F.lit(1)), F.lit(6)).alias("deepest"), *_last_open(),
+    )
+
+
+def _entries(rows: DataFrame, files: list[tuple[str, Column]]) -> DataFrame:
+    """A row per file, in order."""
+    listed = F.array(*(F.struct(F.lit(i).alias("entry_ord"), F.lit(p).alias("path"), c.cast("binary").alias("content")) for i, (p, c) in enumerate(files)))
+    return rows.select("doc_id", F.explode(listed).alias("x")).select("doc_id", "x.*")
+
+
+def _image_entries(images: DataFrame, folder: str, first: int) -> DataFrame:
+    """Entries of images (doc_id, elem_id, ext, content), after all other files."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("elem_id")) + (first - 1)
+    return images.select("doc_id", place.alias("entry_ord"), _s(folder, F.col("elem_id"), ".", F.col("ext")).alias("path"), F.col("content").cast("binary").alias("content"))
+
 
+def _with_parts(items: DataFrame, cells: DataFrame | None, images: DataFrame | None) -> DataFrame:
+    """`items` with html and pars of their table and ext of their image. Tables are told by `seg`, their number in the document."""
+    if cells is None:
+        rows = items.withColumns({"html": F.lit(None).cast("string"), "pars": F.lit(None).cast("string")})
+    else:
+        made = tables.rendered(cells).select("doc_id", F.regexp_extract("table_id", "^t([0-9]+)$", 1).cast("long").alias("table_no"), "html", "pars").withColumnRenamed("doc_id", "d")
+        rows = items.join(made, (F.col("doc_id") == F.col("d")) & (F.col("seg") == F.col("table_no")) & (F.col("type") == "table"), "left").drop("d", "table_no")
+    if images is None:
+        return rows.withColumn("ext", F.lit("jpeg"))
+    known = images.select(F.col("doc_id").alias("d"), F.col("elem_id").alias("e"), F.col("ext").alias("own_ext"))
+    return rows.join(known, (F.col("doc_id") == F.col("d")) & (F.col("elem_id") == F.col("e")), "left").withColumn("ext", F.coalesce("own_ext", F.lit("jpeg"))).drop("d", "e", "own_ext")
 
-def daisy_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01") -> DataFrame:
-    """The five files of a talking book. `book`: doc_id, title, author, publisher, language; `items`: doc_id, elem_id, type, text, sorted_no."""
-    body, title, author = F.col("body"), T.escaped(F.col("title")), T.escaped(F.col("author"))
-    words, id_, kind = T.escaped(F.col("text")), F.col("elem_id"), F.col("type")
+
+def daisy_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01", cells: DataFrame | None = None, images: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """The files of a talking book, its five texts and then its images.
+
+    `book`: doc_id, title, author, publisher, language, isbn; `items`: doc_id, elem_id, type, text, seg, sorted_no;
+    `cells`: as `tables.rendered` takes them; `images`: doc_id, elem_id, ext, content; `notes`: doc_id, ord, elem_id, text.
+    """
+    rows = placed_items(_with_parts(items, cells, images))
+    words, id_, kind, page = _words(F.col("text")), F.col("elem_id"), F.col("type") == "pagenum", F.col("p_no").cast("string")
+    src = _s(id_, ".", F.col("ext"))
     element = (
-        F.when(kind == "pagenum", _s('<pagenum id="', id_, '" page="normal" smilref="dtbook.smil#', _par(id_), '">', words, "</pagenum>"))
-        .when(kind == "image", _s('<imggroup id="', id_, '"><img src="', id_, '.jpeg" alt="image"/></imggroup>'))
-        .when(kind == "table", _s('<table id="', id_, '"><tr><td>', words, "</td></tr></table>"))
-        .otherwise(_s("<", kind, ' id="', id_, '" smilref="dtbook.smil#', _par(id_), '">', words, "</", kind, ">"))
+        F.when(kind, _s('<pagenum id="', id_, '" page="normal" smilref="dtbook.smil#', _par(id_), '">', words, "</pagenum>"))
+        .when(F.col("type") == "image", _s('<imggroup id="', id_, '"><img id="', id_, '_img" src="', src, '" alt="image"/><caption id="', id_, '_caption">', words, "</caption></imggroup>"))
+        .when(F.col("type") == "table", _s('<table id="', id_, '">', F.coalesce(F.regexp_replace("html", "^<table>|</table>$", ""), F.lit("<tbody><tr><td></td></tr></tbody>")), "</table>"))
+        .otherwise(_s("<", F.col("type"), ' id="', id_, '" smilref="dtbook.smil#', _par(id_), '">', words, "</", F.col("type"), ">"))
     )
-    meta = _s('<meta name="dtb:uid" content="', _uid(), '"/><meta name="dc:Title" content="', title, '"/><meta name="dc:Creator" content="', author, f'"/><meta name="dc:Date" content="{as_of}"/>')
-    dtbook = _s(_HEAD, f'<dtbook xmlns="{_DTBOOK}" version="2005-3"><head>', meta, "</head><book><frontmatter><doctitle>", title, "</doctitle><docauthor>", author, '</docauthor></frontmatter><bodymatter><level1>\n', body, "\n</level1></bodymatter></book></dtbook>")
-    dc = _s("<metadata><dc-metadata><Title>", title, "</Title><Creator>", author, "</Creator><Publisher>", T.escaped(F.col("publisher")), "</Publisher><Language>", F.col("language"), "</Language></dc-metadata></metadata>")
-    listed = "".join(f'<item id="{i}" href="dtbook.{i}" media-type="{m}"/>' for i, m in (("xml", "application/x-dtbook+xml"), ("opf", "text/xml"), ("smil", "application/smil"), ("ncx", "application/x-dtbncx+xml"), ("res", "application/x-dtbresource+xml")))
-    opf = _s(_HEAD, f'<package xmlns="{_OPF}" unique-identifier="uid">', dc, f"<manifest>{listed}", body, '</manifest><spine><itemref idref="smil"/></spine></package>')
-    image = _s('<item id="', id_, '" href="', id_, '.jpeg" media-type="image/jpeg"/>')
-    par = _s('<par id="', _par(id_), '"><text src="dtbook.xml#', id_, '"/></par>')
-    smil = _s(_HEAD, f'<smil xmlns="{_SMIL}"><head><meta name="dtb:uid" content="', _uid(), '"/></head><body><seq id="mseq">\n', body, "\n</seq></body></smil>")
-    heads = items.where(_heading(kind)).select("doc_id", F.col("sorted_no").alias("ord"), F.substring("type", 2, 1).try_cast("long").alias("level"), "elem_id", "text")
-    pages = items.where(kind == "pagenum").select("doc_id", F.col("sorted_no").alias("ord"))
-    order = outline.play_order(heads.select("doc_id", "ord"), pages)
-    points = items.select("doc_id", F.col("sorted_no").alias("ord"), "sorted_no", "elem_id", "type", "text").join(order, ["doc_id", "ord"])
+    unit = F.when(F.col("type") == "table", F.nullif("pars", F.lit(""))).otherwise(_s('<par id="', _par(id_), '" class="', F.col("type"), '"><text src="dtbook.xml#', id_, '"/></par>'))
     label = _s("<navLabel><text>", words, '</text></navLabel><content src="dtbook.smil#', _par(id_), '"/>')
-    point = F.when(F.col("kind") == "page", _s('<pageTarget id="ncx_', id_, '" type="normal" playOrder="', F.col("play_order").cast("string"), '">', label, "</pageTarget>")).otherwise(
-        _s('<navPoint id="ncx_', id_, '" class="level', F.substring("type", 2, 1), '" playOrder="', F.col("play_order").cast("string"), '">', label, "</navPoint>")
+    point = _nested(_s('<navPoint id="ncx_', id_, '" class="level', F.col("level").cast("string"), '" playOrder="', F.col("h_no").cast("string"), '">', label), "</navPoint>")
+    target = lambda order: _s('<pageTarget id="ncx_', id_, '" type="normal" playOrder="', order, '">', label, "</pageTarget>")
+    # Pages come after all headings: their order is put in once these are counted.
+    made = _collected(rows, {
+        "book": _s(_level_tags(), element), "smil": unit, "nav": F.when(F.col("level") > 0, point), "page": F.when(kind, target(F.lit("\x00"))), "page_no": F.when(kind, page),
+        "image": F.when(F.col("type") == "image", _s('<item id="', id_, '" href="', src, '" media-type="', T.mime_type(F.col("ext")), '"/>')),
+    })
+    if notes is None:
+        made = made.withColumn("targets", F.array().cast("array<struct<ord:bigint,elem_id:string,text:string>>"))
+    else:
+        listed = F.array_sort(F.collect_list(F.struct("ord", "elem_id", _words(F.col("text")).alias("text"))))
+        made = made.join(notes.groupBy("doc_id").agg(listed.alias("targets")), "doc_id", "left")
+    made = with_defaults(book).join(made, "doc_id", "left")
+    title, author, text = _words(F.col("title")), _words(F.col("author")), lambda c: F.coalesce(c, F.lit(""))
+    uid = F.col("isbn")
+    heads = F.coalesce("headings", F.lit(0))
+    pages = F.transform(F.filter("pieces", lambda p: p["page"].isNotNull()), lambda p: F.replace(p["page"], F.lit("\x00"), (heads + p["page_no"].cast("long")).cast("string")))
+    n_pages = F.coalesce(F.size(F.filter("pieces", lambda p: p["page"].isNotNull())), F.lit(0))
+    target_of = lambda t, k: _s(
+        '<navTarget id="ncx_note_', t["elem_id"], "_", k.cast("string"), '" class="noteref" playOrder="', (heads + n_pages + k + 1).cast("string"), '"><navLabel><text>', t["text"], '</text></navLabel><content src="dtbook.smil#', _par(t["elem_id"]), '"/></navTarget>',
     )
-    both = points.groupBy("doc_id").agg(*(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("play_order", point.alias("x"))))), lambda p: p["x"]), "\n").alias(n) for k, n in (("heading", "body"), ("page", "pages"))
-    ))
-    depth = outline.depth(heads)
-    nav = both.join(depth, "doc_id", "left")
+    lists = F.when(F.size("targets") > 0, _s('<navList class="note"><navLabel><text>notes</text></navLabel>', F.array_join(F.transform("targets", target_of), "\n"), "</navList>"))
+    meta = _s('<meta name="dtb:uid" content="', uid, '"/><meta name="dc:Title" content="', title, '"/><meta name="dc:Creator" content="', author, f'"/><meta name="dc:Date" content="{as_of}"/>')
+    body = _s('<bodymatter>\n', text(_joined("book")), F.when(F.col("n") > 0, _level_ends()).otherwise(F.lit(f"<level1><h1>{UNTITLED}</h1></level1>")), "\n</bodymatter>")
+    dtbook = _s(_HEAD, f'<dtbook xmlns="{_DTBOOK}" version="2005-3"><head>', meta, "</head><book><frontmatter><doctitle>", title, "</doctitle><docauthor>", author, "</docauthor></frontmatter>", body, "</book></dtbook>")
+    dc = _s("<metadata><dc-metadata><Title>", title, "</Title><Creator>", author, "</Creator><Publisher>", _words(F.col("publisher")), "</Publisher><Language>", F.col("language"), '</Language><Identifier id="uid">', uid, "</Identifier></dc-metadata></metadata>")
+    fixed = "".join(f'<item id="{i}" href="dtbook.{i}" media-type="{m}"/>' for i, m in LISTED)
+    opf = _s(_HEAD, f'<package xmlns="{_OPF}" unique-identifier="uid">', dc, f"<manifest>{fixed}", text(_joined("image", "")), '</manifest><spine><itemref idref="smil"/></spine></package>')
+    smil = _s(_HEAD, f'<smil xmlns="{_SMIL}"><head><meta name="dtb:uid" content="', uid, '"/></head><body><seq id="mseq">\n', text(_joined("smil")), "\n</seq></body></smil>")
     ncx = _s(
-        _HEAD, f'<ncx xmlns="{_NCX}" version="2005-1"><head><meta name="dtb:uid" content="', _uid(), '"/><meta name="dtb:depth" content="', F.coalesce(F.col("depth"), F.lit(1)).cast("string"),
-        '"/></head><docTitle><text>', title, "</text></docTitle><navMap>\n", body, "\n</navMap><pageList>\n", F.coalesce("pages", F.lit("")), "\n</pageList></ncx>",
+        _HEAD, f'<ncx xmlns="{_NCX}" version="2005-1"><head><meta name="dtb:uid" content="', uid, '"/><meta name="dtb:depth" content="', F.coalesce("deepest", F.lit(1)).cast("string"), '"/><meta name="dtb:totalPageCount" content="', n_pages.cast("string"),
+        '"/></head><docTitle><text>', title, "</text></docTitle><navMap>\n", text(_joined("nav")), F.repeat(F.lit("</navPoint>"), F.coalesce("end_depth", F.lit(0)).cast("int")),
+        "\n</navMap><pageList>\n", text(F.array_join(pages, "\n")), "\n</pageList>", text(lists), "</ncx>",
     )
-    res = "".join(f'<nodeSet id="ns{i}" select="//{n}"/>' for i, n in enumerate(RESOURCES[0] + RESOURCES[1]))
-    parts = [
-        _file(book, _gathered(items, element), 0, "dtbook.xml", dtbook),
-        _file(book, _gathered(items.where(kind == "image"), image, ""), 1, "dtbook.opf", opf),
-        _file(book, _gathered(items.where(kind.isin("p", "pagenum") | _heading(kind)), par), 2, "dtbook.smil", smil),
-        _file(book, nav, 3, "dtbook.ncx", ncx),
-        book.select("doc_id", F.lit(4).alias("entry_ord"), F.lit("dtbook.res").alias("path"), F.lit(f'{_HEAD}<resources xmlns="http://www.daisy.org/z3986/2005/resource/">{res}</resources>').cast("binary").alias("content")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def epub_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """The files of an e-book: the type first, then container, package, navigation, content and style."""
-    body, title = F.col("body"), T.escaped(F.col("title"))
+    scopes = "".join(f'<scope nsuri="{u}">' + "".join(f'<nodeSet id="ns_{n}" select="//{n}"><resource xml:lang="en"><text>{n}</text></resource></nodeSet>' for n in names) + "</scope>" for _, u, names in RESOURCES)
+    res = f'{_HEAD}<resources xmlns="http://www.daisy.org/z3986/2005/resource/" version="2005-1">{scopes}</resources>'
+    out = _entries(made, [("dtbook.xml", dtbook), ("dtbook.opf", opf), ("dtbook.smil", smil), ("dtbook.ncx", ncx), ("dtbook.res", F.lit(res))])
+    return out if images is None else out.unionByName(_image_entries(images, "", 5))
+
+
+def title_page(title: Column, author: Column, publisher: Column, language: Column) -> Column:
+    return _s(
+        _HEAD, f'<html xmlns="{_XHTML}" xml:lang="', language, '"><head><title>', _words(title), '</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body><section id="title_page"><h1>', _words(title), "</h1><p>", _words(author), "</p><p>", _words(publisher), "</p></section></body></html>",
+    )
+
+
+def package_file(manifest: Column, spine: Column, as_of: str) -> Column:
+    """The package of an e-book; needs the columns of `with_defaults`."""
+    return _s(
+        _HEAD, '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">', F.col("isbn"),
+        "</dc:identifier><dc:title>", _words(F.col("title")), "</dc:title><dc:creator>", _words(F.col("author")), "</dc:creator><dc:publisher>", _words(F.col("publisher")), "</dc:publisher><dc:language>", F.col("language"),
+        f'</dc:language><meta property="dcterms:modified">{as_of}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="style.css" media-type="text/css"/>',
+        manifest, "</manifest><spine>", spine, "</spine></package>",
+    )
+
+
+def epub_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01T00:00:00Z", cells: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+    """The files of an e-book: the type first, then container, package, navigation, title page, content, style and images."""
+    rows = placed_items(_with_parts(items, cells, images))
     id_, kind = F.col("elem_id"), F.col("type")
+    src = _s("images/", id_, ".", F.col("ext"))
     piece = (
-        F.when(kind == "pagenum", _s('<span id="', id_, '" role="doc-pagebreak" aria-label="', T.escaped(F.col("text")), '"></span>'))
-        .when(kind == "image", _s('<figure id="', id_, '"><img src="images/', id_, '.jpeg" alt="image"/></figure>'))
-        .when(kind == "table", _s('<table id="', id_, '"><tr><td>', T.escaped(F.col("text")), "</td></tr></table>"))
+        F.when(kind == "pagenum", _s('<span id="', id_, '" role="doc-pagebreak" epub:type="pagebreak" aria-label="', _words(F.col("text")), '"></span>'))
+        .when(kind == "image", _s('<figure id="', id_, '"><img src="', src, '" alt="image"/></figure>'))
+        .when(kind == "table", _s('<table id="', id_, '">', F.coalesce(F.regexp_replace(F.regexp_replace("html", ' smilref="[^"]*"', ""), "^<table>|</table>$", ""), F.lit("<tbody><tr><td></td></tr></tbody>")), "</table>"))
         .when(F.col("text") == "", _s('<p id="', id_, '"><br/></p>'))
-        .otherwise(_s("<", kind, ' id="', id_, '">', T.inline_markup(F.col("text")), "</", kind, ">"))
+        .otherwise(_s("<", kind, ' id="', id_, '">', T.inline_markup(T.xml_safe(F.col("text"))), "</", kind, ">"))
     )
-    html = _s(_HEAD, '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>', title, "</title></head><body>\n", body, "\n</body></html>")
-    link = _s('<li><a href="content.xhtml#', id_, '">', T.escaped(F.col("text")), "</a></li>")
-    nav = _s(_HEAD, '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>', title, '</title></head><body><nav epub:type="toc"><ol>\n', body, "\n</ol></nav></body></html>")
-    package = _s(
-        _HEAD, '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">', F.coalesce(F.col("isbn"), _uid()),
-        "</dc:identifier><dc:title>", title, "</dc:title><dc:creator>", T.escaped(F.col("author")), "</dc:creator><dc:language>", F.col("language"), f'</dc:language><meta property="dcterms:modified">{as_of}</meta></metadata>'
-        '<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="content" href="content.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="content"/></spine></package>',
-    )
-    none = items.limit(0).select("doc_id", F.lit("").alias("body"))
-    fixed = lambda n, path, text: _file(book, none, n, path, F.lit(text))
-    container = f'{_HEAD}<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-    parts = [
-        fixed(0, "mimetype", "application/epub+zip"), fixed(1, "META-INF/container.xml", container), _file(book, none, 2, "EPUB/package.opf", package),
-        _file(book, _gathered(items.where(_heading(kind)), link), 3, "EPUB/nav.xhtml", nav), _file(book, _gathered(items, piece), 4, "EPUB/content.xhtml", html), fixed(5, "EPUB/style.css", "body{line-height:1.6}"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    link = lambda n: _s(f'<li id="{n}', id_, '"><a href="content.xhtml#', id_, '">', _words(F.col("text")), "</a>")
+    made = _collected(rows, {
+        "content": piece, "nav": F.when(F.col("level") > 0, _nested(link("toc_"), "</li>", ("<ol>", "</ol>"))), "page": F.when(kind == "pagenum", _s(link("page_"), "</li>")),
+        "image": F.when(kind == "image", _s('<item id="img_', id_, '" href="', src, '" media-type="', T.mime_type(F.col("ext")), '"/>')),
+    })
+    made = with_defaults(book).join(made, "doc_id", "left")
+    title, text = _words(F.col("title")), lambda c: F.coalesce(c, F.lit(""))
+    head = _s(_HEAD, f'<html xmlns="{_XHTML}" xmlns:epub="{_OPS}" xml:lang="', F.col("language"), '"><head><title>', title, '</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>')
+    ends = F.when(F.col("end_depth") > 0, _s("</li>", F.repeat(F.lit("</ol></li>"), (F.col("end_depth") - 1).cast("int")))).otherwise("")
+    nav = _s(head, '<nav epub:type="toc" role="doc-toc"><ol><li id="toc_title"><a href="title.xhtml">', title, "</a></li>", text(_joined("nav")), ends, '</ol></nav><nav epub:type="page-list" role="doc-pagelist"><ol>', text(_joined("page")), "</ol></nav></body></html>")
+    manifest = _s('<item id="title" href="title.xhtml" media-type="application/xhtml+xml"/><item id="content" href="content.xhtml" media-type="application/xhtml+xml"/>', text(_joined("image", "")))
+    package = package_file(manifest, F.lit('<itemref idref="title"/><itemref idref="content"/>'), as_of)
+    content = _s(head, "\n", text(_joined("content")), "\n</body></html>")
+    out = _entries(made, [
+        ("mimetype", F.lit("application/epub+zip")), ("META-INF/container.xml", F.lit(CONTAINER)), ("EPUB/package.opf", package), ("EPUB/nav.xhtml", nav),
+        ("EPUB/title.xhtml", title_page(F.col("title"), F.col("author"), F.col("publisher"), F.col("language"))), ("EPUB/content.xhtml", content), ("EPUB/style.css", F.lit(STYLE)),
+    ])
+    return out if images is None else out.unionByName(_image_entries(images, "EPUB/images/", 7))
 
 
 def archives(entries: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliary.operators import jobs
 
@@ -21,10 +22,20 @@ def from_channel(messages: DataFrame, prefix: str) -> DataFrame:
     return messages.where((F.col("event") == "set") & F.col("channel").contains(prefix)).withColumn("job_id", F.substring_index("channel", ":", -1))
 
 
-def latest(events: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """Last state by job; `events` has event_id, job_id, ts, status, progress. Events later than the watermark are let go."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return jobs.latest(timed)
+def last_states(events: DataFrame) -> DataFrame:
+    """Last state by job; `events` has event_id, job_id, ts, status, progress. The state store holds one row a job.
+
+    No watermark would drop any of it, as a job has no end in time; `expiring` is for jobs that have.
+    """
+    return jobs.latest(events)
+
+
+def expiring(events: DataFrame, gap: str = "24 hours") -> DataFrame:
+    """Last state by job and session of events at most `gap` apart. A session that is over leaves the state store, so jobs expire from it."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", gap)
+    last = F.max_by(F.struct("ts", "status", "progress"), F.struct("ts", "event_id"))
+    rows = timed.groupBy("job_id", F.session_window("ts", gap).alias("w")).agg(last.alias("x"), F.count("*").alias("n_events"))
+    return rows.select("job_id", F.col("w.end").alias("expires"), "x.*", "n_events")
 
 
 def enriched(events: DataFrame, dim: DataFrame) -> DataFrame:
@@ -33,6 +44,7 @@ def enriched(events: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def by_window(events: DataFrame, length: str = "1 hour", watermark: str = "24 hours") -> DataFrame:
+    """Events by window of `length` and status; windows leave the state store once the watermark is past them."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     return timed.groupBy(F.window("ts", length), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
 
@@ -40,3 +52,18 @@ def by_window(events: DataFrame, length: str = "1 hour", watermark: str = "24 ho
 def fan_out(states: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "update") -> StreamingQuery:
     """Sends each batch of changed states, exactly once if `send` is idempotent by batch number."""
     return states.writeStream.outputMode(mode).foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def store(states: DataFrame, folder: str, key: list[str]) -> DataFrame:
+    """Runs `states` over what is there, each batch's changes going to a folder of the batch's number, and reads back the last row of each key.
+
+    A batch that is sent again after a failure overwrites its own folder.
+    """
+    def send(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    fan_out(states, send, f"{folder}/checkpoint").awaitTermination()
+    rows = states.sparkSession.read.schema(StructType([*states.schema, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    others = [c for c in states.columns if c not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("x")) if others else rows.select(*key).distinct()
+    return last.select(*key, *(F.col(f"x.{c}").alias(c) for c in others)).select(states.columns)
