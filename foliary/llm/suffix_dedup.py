@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from foliary.llm import cluster
 from foliary.llm import textarrays as ta
@@ -49,6 +50,8 @@ TRIGGER = 24
 _BATCH = 1 << 20
 _BUCKET = 16 << 20
 _LEAST_BITS, _MOST_BITS = 20, 31
+#: Buckets are at least 2 to the power of this, so that a small table's work is spread too.
+_LEAST_BUCKETS = 6
 _NULL = np.iinfo(np.int64).max
 _MIX = ta.U64(0xD6E8FEB86659FD93)
 
@@ -176,7 +179,7 @@ def _bit_table(places: DataFrame, bits: int) -> BitTable:
             data[np.frombuffer(x, "<u4")] = 1
         return pa.table({"at": t["at"][:1], "part": pa.array([np.packbits(data, bitorder="little").tobytes()], pa.binary())})
 
-    return _collect_bits(places.groupBy("at").applyInArrow(group, "at long, part binary"), bits)
+    return _collect_bits(places.repartition(1 << max(0, bits - 24), "at").groupBy("at").applyInArrow(group, "at long, part binary"), bits)
 
 
 def _shared_triggers(rows: DataFrame, bits: int, log_buckets: int) -> BitTable:
@@ -205,7 +208,7 @@ def _shared_triggers(rows: DataFrame, bits: int, log_buckets: int) -> BitTable:
         return _bit_places(top | found << ta.U64(24) >> ta.U64(log_buckets), bits)
 
     sent = cluster.map_batches(rows, batch, "bucket long, kind int, triggers binary")
-    return _bit_table(sent.groupBy("bucket").applyInArrow(group, "at long, places binary"), bits)
+    return _bit_table(sent.repartition(1 << log_buckets, "bucket").groupBy("bucket").applyInArrow(group, "at long, places binary"), bits)
 
 
 def _join(*columns: np.ndarray) -> bytes:
@@ -268,7 +271,7 @@ def _compare_phrases(rows: DataFrame, shared, log_buckets: int) -> DataFrame:
         return pa.table({"kind": pa.array([k for k, _ in out], pa.int32()), "packed": pa.array([x for _, x in out], pa.binary())})
 
     sent = cluster.map_batches(rows, batch, "bucket long, packed binary")
-    return cluster.written(sent.groupBy("bucket").applyInArrow(group, "kind int, packed binary"))
+    return cluster.written(sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(group, "kind int, packed binary"))
 
 
 def equal_stretches(phrases: list[bytes], first: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +327,12 @@ def _compare_stretches(rows: DataFrame, owners, log_buckets: int) -> DataFrame:
         return pa.table({"packed": pa.array([_join(_u(d[order[some]]), s[order[some]], mask[some])], pa.binary())})
 
     sent = cluster.map_batches(rows, batch, "bucket long, packed binary, raw binary")
-    return cluster.written(sent.groupBy("bucket").applyInArrow(group, "packed binary"))
+    return cluster.written(sent.repartition(1 << log_buckets, "bucket").groupBy("bucket").applyInArrow(group, "packed binary"))
+
+
+def _bits_for(n: int) -> int:
+    """Bits of a table for n hashes: at least 8 for each, up to the bound."""
+    return min(_MOST_BITS, max(_LEAST_BITS, (8 * n).bit_length()))
 
 
 def _bits_of(packed: DataFrame, bits: int, hashes) -> BitTable:
@@ -373,20 +381,25 @@ def cover(ids: np.ndarray, texts: ta.Texts, whole: np.ndarray, part: np.ndarray,
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be an integer, as its order says which document keeps a passage")
     cluster.bounded_batches(spark)
     rows = docs.select("doc_id", cluster.text_or_empty().alias("text"))
-    total = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    total, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     bits = min(_MOST_BITS, max(_LEAST_BITS, (total // 8).bit_length()))
-    log_buckets = max(2, (total // _BUCKET).bit_length())
+    log_buckets = max(_LEAST_BUCKETS, (total // _BUCKET).bit_length())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     shared = spark.sparkContext.broadcast(_shared_triggers(rows, bits, log_buckets))  # 2**bits bits
     found = _compare_phrases(rows, shared, log_buckets)
-    owners = _bits_of(found.where("kind = 1").select("packed"), bits, lambda x: _owned(*_split(x, 2)))
+    # Entries have two or three numbers of 8 bytes; tables are as large as what they hold asks for.
+    n_owners = found.where("kind = 1").agg(F.coalesce(F.sum(F.octet_length("packed")), F.lit(0))).first()[0] // 16
+    owners = _bits_of(found.where("kind = 1").select("packed"), _bits_for(n_owners), lambda x: _owned(*_split(x, 2)))
     owners = spark.sparkContext.broadcast(owners)
     parts = _compare_stretches(rows, owners, log_buckets + 3)  # stretches take far more memory than what is sent
 
     whole, part = found.where("kind = 0").select("packed"), parts
+    bits = _bits_for(n_rows)
     changed = _bits_of(whole, bits, lambda x: ta.mix64(np.unique(_split(x, 2)[0])))
     changed.data |= _bits_of(part, bits, lambda x: ta.mix64(np.unique(_split(x, 3)[0]))).data
     changed = spark.sparkContext.broadcast(changed)
@@ -442,5 +455,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         empty = _result(doc[:0], ta.from_arrow(column[:0]), None)
         return pa.concat_tables([empty, *out])
 
-    done = others.groupBy("group").cogroup(messages.groupBy("group")).applyInArrow(finish, fields)
+    n = 1 << log_buckets
+    done = others.repartition(n, "group").groupBy("group").cogroup(messages.repartition(n, "group").groupBy("group")).applyInArrow(finish, fields)
     return same.unionByName(done)

@@ -347,7 +347,8 @@ def test_shards(odd, corpus):
     for r in rows:
         loads[r.shard] += r.size
         where[texts[r.doc_id]].add(r.shard)
-    assert max(loads.values()) - min(loads.values()) <= max(max(r.size for r in rows), 0.2 * sum(loads.values()) / 40)
+    # The largest documents go to the emptiest shards; bins of the others even out what is left.
+    assert max(loads.values()) - min(loads.values()) <= max(max(r.size for r in rows), 0.02 * sum(loads.values()) / 40)
     assert np.mean([len(x) == 1 for x in where.values()]) > 0.9
 
 
@@ -400,6 +401,11 @@ def test_repeats_of_random_bytes(spark):
     assert Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == Counter((docs[k][0], *v[1:]) for k, v in want.items())
 
 
+def test_repeats_ask_for_integer_ids(spark):
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_packing(odd, corpus):
     from tokenizers import Tokenizer
 
