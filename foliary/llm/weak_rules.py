@@ -101,10 +101,10 @@ def _log_likelihood(cast: np.ndarray, rate: np.ndarray) -> np.ndarray:
     return cast @ np.log(rate) + (1 - cast) @ np.log1p(-rate)
 
 
-#: Bounds and prior means of the rates at which rules vote: detectors of faults seldom
-#: vote on good texts, those of soundness mostly do. They keep the classes from swapping.
-_FAULT_ON_GOOD, _FAULT_ON_BAD = (0.001, 0.02, 0.05), (0.1, 0.3, 0.95)
-_SOUND_ON_GOOD, _SOUND_ON_BAD = (0.7, 0.9, 0.995), (0.02, 0.4, 0.6)
+#: Least, prior mean and greatest of the rates at which rules vote. Detectors of faults vote on less than half
+#: of good texts and those of soundness on more, which keeps the classes from swapping; else rates are free.
+_FAULT_ON_GOOD, _FAULT_ON_BAD = (1e-5, 0.02, 0.5), (1e-5, 0.3, 1 - 1e-5)
+_SOUND_ON_GOOD, _SOUND_ON_BAD = (0.5, 0.9, 1 - 1e-5), (1e-5, 0.4, 1 - 1e-5)
 
 
 def fit(combinations: np.ndarray, counts: np.ndarray, steps: int = 50, strength: float = 50.0) -> Fit:
