@@ -11,7 +11,7 @@ hash of doc_id, a documented bound); their few features reach the driver.
 Scoring is one pass over the texts without a shuffle.
 
 Edge cases: null and empty texts have all counts 0 and get a score like any
-other; labels that are null count as none, several labels of a document count
+other; of rows with equal doc_ids one (of least features) is learnt from; labels that are null count as none, several labels of a document count
 by their mean; without labels of both kinds, the score is 0.5 throughout;
 columns besides doc_id and text are ignored, rows that repeat each get a row.
 """
@@ -120,7 +120,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # few is bounded by `sample`
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, " + ", ".join(f"{n} double" for n in names)
-    rows = cluster.map_batches(chosen, batch, schema).toArrow().sort_by([("doc_id", "ascending"), ("f0", "ascending")])
+    # Rows that share a doc_id are one to learn from, so `sample` bounds what comes to the driver.
+    first = F.min(F.struct("good", *names)).alias("x")
+    rows = cluster.map_batches(chosen, batch, schema).groupBy("doc_id").agg(first).select("doc_id", "x.*").toArrow().sort_by([("doc_id", "ascending"), ("f0", "ascending")])
     x = np.column_stack([rows[n].to_numpy() for n in names]) if rows.num_rows else np.zeros((0, len(names)))
     return x, np.array(rows["good"].to_pylist(), bool)
 

@@ -111,6 +111,42 @@ def test_quality_ranking(spark, corpus):
     assert np.mean([a == b for a, b in held]) >= 0.85
 
 
+def test_pairwise_fit_against_plain_ascent():
+    """The weights that plain gradient ascent on the pairwise logistic likelihood comes to, and the cut at its quantile."""
+    draw = np.random.default_rng(9)
+    good = draw.random(120) < 0.6
+    x = draw.normal(size=(120, 4)) + good[:, None] * np.array([1.0, -0.5, 0.3, 0])
+    model = pairwise_quality.fit(x, good, pairs=10**6, ridge=1.0)
+    z = (x - x.mean(0)) / x.std(0)
+    wins, losses = np.flatnonzero(good), np.flatnonzero(~good)
+    choose = np.random.default_rng(7)
+    n = len(wins) * len(losses)
+    first, second = np.resize(choose.permutation(wins), n), np.resize(choose.permutation(losses), n)
+    choose.shuffle(second)
+    w = [0.0] * 4
+    for _ in range(4000):
+        d = z[first] - z[second]
+        p = 1 / (1 + np.exp(-(d @ np.array(w))))
+        w = [w[k] + 1e-3 * (((1 - p) * d[:, k]).sum() - w[k]) / 5 for k in range(4)]
+    assert np.abs(model.weight - w).max() < 1e-3
+    s = z @ model.weight
+    assert abs(np.mean(s < model.cut) - np.mean(~good)) < 0.02
+    assert abs(model.score(x[[int(np.argmin(np.abs(s - model.cut)))]])[0] - 0.3) < 0.1
+
+
+def test_quality_labels_of_held_out_documents_do_not_matter(spark, corpus):
+    told = labels(spark)
+    other = told.withColumn("quality", F.when(pairwise_quality.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (pairwise_quality.training_rows(corpus[0], x) for x in (told, other))
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and len(a[0])
+
+
+def test_quality_training_is_bounded_by_its_sample(spark):
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.lit("some words here").alias("text"))
+    told = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality long")
+    assert len(pairwise_quality.training_rows(docs, told, 10)[0]) <= 10
+
+
 def test_quality_ranking_of_awkward_documents(spark, odd):
     none = labels(spark).limit(0)
     assert {r.score for r in pairwise_quality.rank_quality(odd[0], none).collect()} == {0.5}
@@ -223,6 +259,19 @@ def test_expectation_maximisation_raises_the_likelihood():
     assert history[-1] > history[0]
 
 
+def test_expectation_maximisation_finds_the_rates():
+    """Votes drawn by known rates: the fit comes back to them, without labels."""
+    draw = np.random.default_rng(4)
+    sound = np.array([r.vote > 0 for r in weak_rules.RULES])
+    on_good, on_bad = np.where(sound, draw.uniform(0.8, 0.98, 10), draw.uniform(0.005, 0.1, 10)), np.where(sound, draw.uniform(0.1, 0.6, 10), draw.uniform(0.2, 0.9, 10))
+    good = draw.random(50_000) < 0.8
+    votes = draw.random((50_000, 10)) < np.where(good[:, None], on_good, on_bad)
+    seen = Counter(map(tuple, votes.tolist()))
+    model = weak_rules.fit(np.array(sorted(seen), float), np.array([seen[k] for k in sorted(seen)], float))
+    assert np.abs(np.array(model.on_good) - on_good).max() < 0.02 and np.abs(np.array(model.on_bad) - on_bad).max() < 0.03 and abs(model.prior - 0.8) < 0.02
+    assert np.mean((model.posterior(votes.astype(float)) >= 0.5) == good) > 0.97
+
+
 def test_licences(spark, corpus):
     rows = {r.doc_id: r for r in licenses.scan(corpus[0]).collect()}
     told = {"apache": "Apache License", "mit": "MIT License", "gpl": "GNU General", "cc": "CC BY"}
