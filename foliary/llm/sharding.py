@@ -37,7 +37,7 @@ _BINS = 1024
 _FINE = 1 << 16
 #: A document is notable from this part of a shard on, so there are at most SHARDS * _NOTABLE of them.
 _NOTABLE = 500
-_SLOTTED = 200_000
+_SLOTTED = 10_000
 
 
 def nodes(docs: DataFrame) -> DataFrame:
