@@ -274,28 +274,49 @@ def _compare_phrases(rows: DataFrame, shared, log_buckets: int) -> DataFrame:
     return cluster.written(sent.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(group, "kind int, packed binary"))
 
 
+#: Suffixes that are sorted at once, about.
+_SORTED = 1 << 18
+
+
 def equal_stretches(phrases: list[bytes], first: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
     """Of a dictionary of phrases and their first documents: the phrase and offset of each stretch that a smaller document has.
 
     The suffixes of at least `match` bytes are sorted by their first `match`;
-    equal neighbours form runs, whose least first document decides.
+    equal neighbours form runs, whose least first document decides. They are
+    sorted in parts of about _SORTED, told by their first and last bytes, so
+    that a phrase-rich trigger takes no more memory than its phrases do.
     """
     size = np.array([len(x) for x in phrases], np.int64)
     n = np.maximum(size - match + 1, 0)
     text = np.frombuffer(b"".join(phrases), np.uint8)
-    of = np.repeat(np.arange(len(phrases)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    of = np.repeat(np.arange(len(phrases), dtype=np.int32), n)
     if not len(of):
-        return of, offset
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, match)[(np.cumsum(size) - size)[of] + offset])
-    suffix = suffix.view(f"S{match}").reshape(-1)
-    order = np.argsort(suffix, kind="stable")
-    ranked = suffix[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    doc = first[of[order]]
-    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-    found = order[doc > least]
+        return of, of
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    offset, place = place.astype(np.int32), place + np.repeat(np.cumsum(size) - size, n)
+    suffix = np.lib.stride_tricks.sliding_window_view(text, match)
+    n_parts = -(-len(of) // _SORTED)
+    part = np.zeros(len(of), np.int16)
+    if n_parts > 1:
+        eight = np.lib.stride_tricks.sliding_window_view(text, 8)
+        key = np.ascontiguousarray(eight[place]).view("<u8").reshape(-1)
+        key = ta.mix64(key) ^ np.ascontiguousarray(eight[place + match - 8]).view("<u8").reshape(-1)
+        part = (ta.mix64(key) % ta.U64(n_parts)).astype(np.int16)
+        del key
+    found = []
+    for k in range(n_parts):
+        mine = np.flatnonzero(part == k) if n_parts > 1 else np.arange(len(of))
+        if not len(mine):
+            continue
+        some = np.ascontiguousarray(suffix[place[mine]]).view(f"S{match}").reshape(-1)
+        order = np.argsort(some, kind="stable")
+        ranked = some[order]
+        new = np.ones(len(ranked), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        doc = first[of[mine[order]]]
+        least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
+        found.append(mine[order[doc > least]])
+    found = np.concatenate([np.zeros(0, np.int64), *found])
     return of[found], offset[found]
 
 
@@ -331,8 +352,8 @@ def _compare_stretches(rows: DataFrame, owners, log_buckets: int) -> DataFrame:
 
 
 def _bits_for(n: int) -> int:
-    """Bits of a table for n hashes: at least 8 for each, up to the bound."""
-    return min(_MOST_BITS, max(_LEAST_BITS, (8 * n).bit_length()))
+    """Bits of a table for n hashes: at least 32 for each, up to the bound."""
+    return min(_MOST_BITS, max(_LEAST_BITS, (32 * n).bit_length()))
 
 
 def _bits_of(packed: DataFrame, bits: int, hashes) -> BitTable:

@@ -450,6 +450,22 @@ def test_repeats_of_random_bytes(spark):
     assert Counter((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == Counter((docs[k][0], *v[1:]) for k, v in want.items())
 
 
+def test_stretches_sorted_in_parts(monkeypatch):
+    draw = random.Random(5)
+    base = "".join(draw.choice("abc") for _ in range(76))
+    phrases = [(base[: draw.randint(0, 30)] + "".join(draw.choice("ab") for _ in range(draw.randint(0, 3))) + base[draw.randint(0, 30) :]).encode()[:76] for _ in range(300)]
+    first = np.array([draw.randint(0, 50) for _ in phrases])
+    least = {}
+    for x, d in zip(phrases, first.tolist(), strict=True):
+        for k in range(len(x) - 49):
+            least[x[k : k + 50]] = min(least.get(x[k : k + 50], d), d)
+    want = {(i, k) for i, x in enumerate(phrases) for k in range(len(x) - 49) if first[i] > least[x[k : k + 50]]}
+    for n in (1 << 18, 100):
+        monkeypatch.setattr(suffix_dedup, "_SORTED", n)
+        of, offset = suffix_dedup.equal_stretches(phrases, first)
+        assert want and set(zip(of.tolist(), offset.tolist(), strict=True)) == want
+
+
 def test_repeats_ask_for_integer_ids(spark):
     with pytest.raises(TypeError):
         suffix_dedup.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
