@@ -3,7 +3,7 @@
 import io
 import zipfile
 
-from foliary.operators import integrity
+from foliary.operators import books, integrity, tables
 from foliary.sources import packages, writers
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
@@ -63,3 +63,39 @@ def test_structure_errors(spark):
     df = spark.createDataFrame([(1, "dtbook.ncx", b"<ncx/>"), (1, "dtbook.xml", b"<a>")], "doc_id long, path string, content binary")
     said = {r.message for r in integrity.xml_structure(packages.xml_nodes(df)).collect()}
     assert said == {"dtbook.ncx: the root is not ncx", "dtbook.ncx: head is missing", "dtbook.ncx: navMap is missing", "dtbook.xml is not well-formed"}
+
+
+def test_cells_of_nested_tables_are_merged_like_others(spark):
+    cells = packages.docx_parts(spark.createDataFrame([(1, docx())], "doc_id long, content binary")).where("kind = 'cell'")
+    spans = tables.merged_spans(cells, ["doc_id", "table_id"]).where("not is_merged_area").collect()
+    assert sorted((r.table_id, r.row, r.g, r.rowspan, r.colspan) for r in spans) == [(0, 0, 0, 1, 2), (0, 1, 0, 1, 1), (0, 1, 1, 1, 1), (1, 0, 0, 1, 1)]
+
+
+def test_text_of_nested_elements(spark):
+    xml = b"<dtbook><book><bodymatter><level1 id='l'><p id='a'> one <em>two <w>three</w></em> four<br/>five<pagenum>9</pagenum> six<imggroup><caption>no</caption></imggroup></p> seven</level1></bodymatter></book></dtbook>"
+    nodes = packages.xml_nodes(spark.createDataFrame([(1, "dtbook.xml", xml)], "doc_id long, path string, content binary"))
+    targets = nodes.where("attrs['id'] is not null or tag = 'pagenum'")
+    got = {r.tag: r.text for r in books.texts(nodes, targets).join(targets.select("node_id", "tag"), "node_id").collect()}
+    assert got == {"p": "one two three four five six", "level1": "one two three four five six seven", "pagenum": "9"}
+
+
+def test_navigation_shows_the_next_level_only(spark):
+    def point(i, level, inner=""):
+        return f"<navPoint id='n{i}' class='level{level}'><navLabel><text>t{i}</text></navLabel><content src='dtbook.smil#smil_par_p{i}'/>{inner}</navPoint>"
+
+    ncx = f"<ncx><navMap>{point(1, 1, point(2, 2, point(3, 4)) + point(4, 3, point(5, 4)))}{point(6, 2)}{point(7, 1)}{point(8, 1)}</navMap></ncx>"
+    book = "<dtbook><book><bodymatter>" + "".join(f"<level1><h1 id='p{i}'>t</h1></level1>" for i in range(1, 8)) + "</bodymatter></book></dtbook>"
+    nodes = packages.xml_nodes(spark.createDataFrame([(1, "dtbook.ncx", ncx.encode()), (1, "dtbook.xml", book.encode())], "doc_id long, path string, content binary"))
+    points = books.nav_points(nodes)
+    files = books.content_files(books.nav_elements(points, nodes))
+    assert sorted((r.nav_id, r.filename) for r in files.collect()) == [("n1", "dtbook-2.xhtml"), ("n7", "dtbook-3.xhtml")]
+    assert sorted((r.nav_id, r.level, r.filename) for r in books.nav_tree(points, files).collect()) == [("n1", 1, "dtbook-2.xhtml"), ("n2", 2, "dtbook-2.xhtml"), ("n7", 1, "dtbook-3.xhtml")]
+
+
+def test_written_books_are_well_formed(spark):
+    book = spark.createDataFrame([(1, "T", "", None, "ko", ""), (2, "empty", "a", "p", "en", "9")], "doc_id long, title string, author string, publisher string, language string, isbn string")
+    rows = [(1, f"p_{i}", k, "x\x01 & y", 0, i) for i, k in enumerate(["p", "h3", "h2", "h4", "h1", "h6", "h2"], 1)]
+    items = spark.createDataFrame(rows, "doc_id long, elem_id string, type string, text string, seg long, sorted_no long")
+    for made in (writers.daisy_entries(book, items), writers.epub_entries(book, items)):
+        nodes = packages.xml_nodes(made.where("path <> 'mimetype' and path not like '%.css'").select("doc_id", "path", "content"))
+        assert nodes.where("error is not null").count() == 0 and nodes.where("file in ('dtbook.xml', 'EPUB/content.xhtml')").select("doc_id").distinct().count() == 2
