@@ -41,6 +41,14 @@ def page_values(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(PAGE), F.lit(1))
 
 
+_MARKER = "array<struct<place:int,rank:int,type:string,value:string,original:string>>"
+
+
+def _may_hold_markers(x: Column) -> Column:
+    """One look that spares most texts the patterns: every marker has one of these signs."""
+    return x.contains("$") | x.contains("#")
+
+
 def markers(x: Column) -> Column:
     """All markers of a text as structs of type, value, original and place, in order of place, then of type as listed."""
 
@@ -51,14 +59,16 @@ def markers(x: Column) -> Column:
         )
         return F.transform(both, make)
 
-    return F.array_sort(F.concat(*(of(i, k, p) for i, (k, p) in enumerate(MARKERS.items()))))
+    found = F.array_sort(F.concat(*(of(i, k, p) for i, (k, p) in enumerate(MARKERS.items()))))
+    return F.when(_may_hold_markers(x), found).otherwise(F.array().cast(_MARKER))
 
 
 def cleaned(x: Column) -> Column:
     """The text without markers; notes, sidebars and producer's notes leave what they hold."""
+    clean = x
     for kind, pattern in MARKERS.items():
-        x = F.regexp_replace(x, pattern, "$1" if kind in KEPT_MARKERS else "")
-    return x
+        clean = F.regexp_replace(clean, pattern, "$1" if kind in KEPT_MARKERS else "")
+    return F.when(_may_hold_markers(x), clean).otherwise(x)
 
 
 def segments(x: Column) -> Column:

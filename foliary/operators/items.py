@@ -68,3 +68,23 @@ def table_anchors(body: DataFrame) -> DataFrame:
     para = F.sum(F.when(F.col("kind") == "p", 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1
     rows = body.withColumn("after_para", para.cast("long")).where("kind = 'table'")
     return rows.withColumn("table_no", F.row_number().over(by).cast("long"))
+
+
+def epub_ids(items: DataFrame) -> DataFrame:
+    """`items` with epub_id and src: numbers start at 1 for e-books, which have no title and author among them, and images have a prefix and a file number of their own."""
+    n = F.col("id_no") - 2
+    prefix = F.when(F.col("type") == "pagenum", "page_").when(F.col("type") == "image", "img_").when(F.col("type") == "table", "table_").otherwise("p_")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.when(F.col("type") == "image", 0).otherwise(1), "id_no"))
+    src = F.when(F.col("type") == "image", F.concat(F.lit("images/image"), nth.cast("string"), F.lit(".jpeg")))
+    return items.withColumns({"epub_id": F.concat(prefix, n.cast("string")), "src": src})
+
+
+def cell_images(cells: DataFrame, images: DataFrame) -> DataFrame:
+    """doc_id, table_id, row, tc, k, src of images in cells, those of nested tables included: named by table, cell and number in the cell.
+
+    `images` has doc_id, table_id, row, tc, rid and ext; only images of cells that exist are named.
+    """
+    k = (F.row_number().over(Window.partitionBy("doc_id", "table_id", "row", "tc").orderBy("rid")) - 1).cast("long")
+    found = images.join(cells.select("doc_id", "table_id", "row", "tc").distinct(), ["doc_id", "table_id", "row", "tc"], "left_semi").withColumn("k", k)
+    name = F.concat(F.lit("table_"), "table_id", F.lit("_cell_"), F.col("row").cast("string"), F.lit("_"), F.col("tc").cast("string"), F.lit("_img_"), F.col("k").cast("string"), F.lit("."), "ext")
+    return found.select("doc_id", "table_id", "row", "tc", "k", name.alias("src"))

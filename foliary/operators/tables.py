@@ -31,21 +31,18 @@ def merged_spans(cells: DataFrame, key: list[str]) -> DataFrame:
     run is tested at its first column only. A continued cell without a restart
     stays a cell of its own.
     """
-    grid = grid_cells(cells, key)
+    # One distribution by table serves all windows, which are by finer keys of it.
+    grid = grid_cells(cells.repartition(*key), key)
     down = Window.partitionBy(*key, "g").orderBy("row")
     new = (F.coalesce(F.col("v_state"), F.lit("")) != "continue") | (F.lag("row").over(down).isNull()) | (F.lag("row").over(down) != F.col("row") - 1)
     grid = grid.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(down))
     island = Window.partitionBy(*key, "g", "island")
-    grid = grid.withColumns({"n": F.count("*").over(island), "top": F.min("row").over(island)})
-    spans = grid.where((F.col("v_state") == "restart") & (F.col("g") == F.col("grid_start"))).select(
-        *(F.col(k).alias(f"s_{k}") for k in key), F.col("row").alias("s_row"), F.col("g").alias("s_g"), F.col("n").alias("s_n"), F.col("colspan").alias("s_colspan")
-    )
-    inside = (F.col("row") > F.col("s_row")) & (F.col("row") < F.col("s_row") + F.col("s_n")) & (F.col("g") >= F.col("s_g")) & (F.col("g") < F.col("s_g") + F.col("s_colspan"))
-    same = F.lit(True)
-    for k in key:
-        same = same & (F.col(k) == F.col(f"s_{k}"))
-    covered = grid.join(spans, same & inside, "left_semi").select(*key, "row", "g", F.lit(True).alias("covered"))
-    out = grid.join(covered, [*key, "row", "g"], "left").withColumn("area", (F.col("g") != F.col("grid_start")) | F.coalesce("covered", F.lit(False)))
+    grid = grid.withColumn("n", F.count("*").over(island))
+    # A restart covers the columns of its cell in the rows of its run: its spans are told to the columns by the table's list of them.
+    span = F.when((F.col("v_state") == "restart") & (F.col("g") == F.col("grid_start")) & (F.col("n") > 1), F.struct("row", "g", "n", "colspan"))
+    grid = grid.withColumn("spans", F.collect_list(span).over(Window.partitionBy(*key)))
+    covered = F.exists("spans", lambda s: (F.col("row") > s["row"]) & (F.col("row") < s["row"] + s["n"]) & (F.col("g") >= s["g"]) & (F.col("g") < s["g"] + s["colspan"]))
+    out = grid.withColumn("area", (F.col("g") != F.col("grid_start")) | covered)
     rowspan = F.when(~F.col("area") & (F.col("v_state") == "restart"), F.col("n")).otherwise(1).cast("long")
     colspan = F.when(~F.col("area"), F.col("colspan")).otherwise(1).cast("long")
     return out.select(*key, "row", "g", rowspan.alias("rowspan"), colspan.alias("colspan"), (~F.col("area") & ((rowspan > 1) | (colspan > 1))).alias("is_merged"), F.col("area").alias("is_merged_area"))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.operators import books, integrity, tables
-from foliary.plans.queries import _FILES, _ITEMS, _LINES, _PARENT, _W, _blocks, _read, content_items_sorted, query
+from foliary.operators import books, integrity, items, tables
+from foliary.plans.queries import _BLOCKS, _FILES, _ITEMS, _LINES, _PARENT, _W, _blocks, _read, content_items_sorted, query
 from foliary.sources import packages, writers
 
 #: Cells: parity of the table, row, place, columns, merge state, text, and for a nested table the cell around it.
@@ -305,3 +305,88 @@ def nested_spans(spark, sf_dir):
     """Merged cells of tables and of those nested in them alike."""
     found = tables.merged_spans(_cells(spark, sf_dir), ["doc_id", "table_id"])
     return found.where("not is_merged_area").select("doc_id", "table_id", "row", "g", "rowspan", "colspan")
+
+
+@query(f"""{_SORTED} SELECT doc_id, (CASE type WHEN 'pagenum' THEN 'page_' WHEN 'image' THEN 'img_' WHEN 'table' THEN 'table_' ELSE 'p_' END) || CAST(id_no - 2 AS VARCHAR) AS epub_id,
+  CASE WHEN type = 'image' THEN 'images/image' || CAST(row_number() OVER (PARTITION BY doc_id, type = 'image' ORDER BY id_no) AS VARCHAR) || '.jpeg' END AS src FROM item_id""")
+def epub_ids(spark, sf_dir):
+    """Ids of items and files of images as e-books number them."""
+    return items.epub_ids(content_items_sorted(spark, sf_dir)).select("doc_id", "epub_id", "src")
+
+
+@query(f"""{_LINES} SELECT doc_id, 't' || CAST((i + 1) // 6 AS VARCHAR) || tail AS table_id, row, tc, CAST(k AS BIGINT) AS k, 'table_t' || CAST((i + 1) // 6 AS VARCHAR) || tail || '_cell_' || CAST(row AS VARCHAR) || '_' || CAST(tc AS VARCHAR) || '_img_' || CAST(k AS VARCHAR) || '.png' AS src
+  FROM lines JOIN (VALUES (1, '', 2, 1, 0), (1, '', 2, 1, 1), (1, '_cell_2_1_nested_0', 0, 0, 0), (1, '_cell_2_1_nested_0', 0, 0, 1)) v(odd, tail, row, tc, k) ON odd = ((i + 1) // 6) % 2 WHERE i % 6 = 5""")
+def cell_image_files(spark, sf_dir):
+    """Files of images in cells, two in the last cell and in the one nested there; images of cells that are not there have none."""
+    cells = _cells(spark, sf_dir)
+    last = cells.where("row = 2 and tc = 1 or parent_id is not null").select("doc_id", "table_id", "row", "tc")
+    gone = last.withColumn("row", F.lit(9).cast("long"))
+    images = last.unionByName(gone).withColumn("rid", F.explode(F.array(F.lit("rId1"), F.lit("rId2")))).withColumn("ext", F.lit("png"))
+    return items.cell_images(cells, images)
+
+
+# Word-processor files made from documents by the same recipe, and read.
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: a paragraph for each line, an image run in every 8th, a table after every 6th."""
+    def tc(text, before="", nested=""):
+        lines = "".join(f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>" for x in text.replace("&", "&amp;").split("\n"))
+        return f"<w:tc><w:tcPr>{before}</w:tcPr>{lines}{nested}</w:tc>"
+
+    merged = {"restart": '<w:vMerge w:val="restart"/>', "continue": "<w:vMerge/>", None: ""}
+
+    def tbl(parity):
+        own, inner = [c for c in _CELL_ROWS if c[0] == parity and not c[6]], {c[6]: c for c in _CELL_ROWS if c[0] == parity and c[6]}
+        rows = {}
+        for _, row, k, span, state, text, _ in own:
+            nested = f"<w:tbl><w:tr>{tc(inner[row, k][5])}</w:tr></w:tbl>" if (row, k) in inner else ""
+            cell = tc(text, (f'<w:gridSpan w:val="{span}"/>' if span > 1 else "") + merged[state], nested)
+            # Every other cell is wrapped, as fields of forms are.
+            rows[row] = rows.get(row, "") + (f"<w:sdt><w:sdtContent>{cell}</w:sdtContent></w:sdt>" if (row + k) % 2 else cell)
+        return "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for _, r in sorted(rows.items())) + "</w:tbl>"
+
+    rows = _blocks(spark, sf_dir)
+    image = F.when(F.col("i") % 8 == 3, F.concat(F.lit('<w:r><a:blip r:embed="rId'), F.col("i").cast("string"), F.lit('"/></w:r>'))).otherwise("")
+    table = F.when(F.col("i") % 12 == 5, tbl(1)).when(F.col("i") % 6 == 5, tbl(0)).otherwise("")
+    words = F.split(T.escaped(T.xml_safe(F.col("text"))), "\n", -1)[0]
+    piece = F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="'), "style", F.lit('"/></w:pPr><w:r><w:t>'), words, F.lit("</w:t></w:r>"), image, F.lit("</w:p>"), table)
+    rel = F.when(F.col("i") % 8 == 3, F.concat(F.lit('<Relationship Id="rId'), F.col("i").cast("string"), F.lit(f'" Type="{_REL}/image" Target="media/image'), F.col("i").cast("string"), F.lit('.png"/>')))
+    lists = F.array_sort(F.collect_list(F.struct("i", piece.alias("x"), rel.alias("r"))))
+    made = rows.groupBy("doc_id").agg(lists.alias("l"))
+    joined = lambda c: F.array_join(F.transform("l", lambda p: p[c]), "")
+    body = F.concat(F.lit(f"<w:document {_W}><w:body>"), joined("x"), F.lit("</w:body></w:document>"))
+    rels = F.concat(F.lit("<Relationships>"), joined("r"), F.lit(f'<Relationship Id="rIdS" Type="{_REL}/styles" Target="styles.xml"/></Relationships>'))
+    return writers.archives(writers._entries(made, [("word/document.xml", body), ("word/_rels/document.xml.rels", rels)]))
+
+
+@query(f"{_BLOCKS} SELECT doc_id, i AS para_idx, i + (i // 6) AS body_idx, style, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0d\\x0e-\\x1f]', '', 'g') AS text FROM blk")
+def docx_paragraphs(spark, sf_dir):
+    """Paragraphs of word-processor files, with their place among all children of the body."""
+    rows = packages.docx_parts(_docx(spark, sf_dir)).where("kind = 'block'")
+    return rows.select("doc_id", "para_idx", "body_idx", "style", "text")
+
+
+@query(f"{_LINES} SELECT doc_id, i AS para_idx, CAST(1 AS BIGINT) AS run_idx, 'rId' || CAST(i AS VARCHAR) AS rid, 'media/image' || CAST(i AS VARCHAR) || '.png' AS target FROM lines WHERE i % 8 = 3")
+def docx_images(spark, sf_dir):
+    """Images of runs with what their relationship points to."""
+    parts = packages.docx_parts(_docx(spark, sf_dir)).persist()
+    rels = parts.where("kind = 'rel'").select("doc_id", "rid", "target")
+    return parts.where("kind = 'image'").select("doc_id", "para_idx", "run_idx", "rid").join(rels, ["doc_id", "rid"])
+
+
+@query(f"{_LINES} SELECT doc_id, i + (i // 6) + 1 AS body_idx, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS table_no FROM lines WHERE i % 6 = 5")
+def docx_tables(spark, sf_dir):
+    """Tables of the body by their place in it; nested ones are parts of their cells."""
+    rows = packages.docx_parts(_docx(spark, sf_dir)).where("kind = 'table'")
+    return rows.select("doc_id", "body_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("body_idx")).cast("long").alias("table_no"))
+
+
+@query(f"""{_LINES}, t AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 + (SELECT count(*) FROM lines b WHERE b.doc_id = a.doc_id AND b.i < a.i AND b.i % 12 = 5) AS id FROM lines a WHERE i % 6 = 5)
+  SELECT doc_id, id + own AS table_id, CASE WHEN own = 1 THEN id END AS parent_table, row, tc, colspan, v_state, text FROM t JOIN (VALUES {", ".join(f"({p}, {int(bool(a))}, {r}, {k}, {c}, {repr(v) if v else 'NULL'}, '{' '.join(x for x in t.split(chr(10))) if not a else t}')" for p, r, k, c, v, t, a in _CELL_ROWS)}) v(odd, own, row, tc, colspan, v_state, text) ON odd = ((i + 1) // 6) % 2""")
+def docx_cells(spark, sf_dir):
+    """Cells of tables and of those nested in them, wrapped or not, with spans, merge states and texts."""
+    rows = packages.docx_parts(_docx(spark, sf_dir)).where("kind = 'cell'")
+    return rows.select("doc_id", "table_id", "parent_table", "row", "tc", "colspan", "v_state", "text")

@@ -117,11 +117,20 @@ def _paragraph(p: ElementTree.Element) -> tuple[str, str, list]:
     return (style.get(f"{W}val") if style is not None else "Normal"), "".join(text), images
 
 
+def _row_cells(row: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Cells of a row, those in content controls included; not those of tables nested in its cells."""
+    for x in row:
+        if x.tag == f"{W}tc":
+            yield x
+        elif x.tag in (f"{W}sdt", f"{W}sdtContent"):
+            yield from _row_cells(x)
+
+
 def _table(t: ElementTree.Element, number: Iterator[int], parent: int | None, out: list) -> int:
     """Appends cell rows (table_id, parent_table, row, tc, colspan, v_state, text, nested) of a table and those nested in it."""
     own = next(number)
     for r, row in enumerate(t.findall(f"{W}tr")):
-        cells = [c for x in row for c in ([x] if x.tag == f"{W}tc" else x.iter(f"{W}tc") if x.tag == f"{W}sdt" else [])]
+        cells = list(_row_cells(row))
         for k, cell in enumerate(cells):
             span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
             state = None if merge is None else merge.get(f"{W}val") or "continue"
