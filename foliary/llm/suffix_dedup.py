@@ -103,7 +103,8 @@ def parse(texts: ta.Texts, match: int = MATCH, width: int = TRIGGER) -> Phrases:
     last = np.flatnonzero(valid & following)
     end = last + match
     phrase = ta.mix64((total[end] - total[first]) * inverse[first] + (end - first).astype(ta.U64) * _MIX)
-    return Phrases(np.searchsorted(offsets, first, "right") - 1, first, end, gram[at[first]], phrase, at[first] - first)
+    # Least hashes are small numbers; mixed again they fill buckets and tables evenly.
+    return Phrases(np.searchsorted(offsets, first, "right") - 1, first, end, ta.mix64(gram[at[first]]), phrase, at[first] - first)
 
 
 def _parsed(batch: pa.RecordBatch):
