@@ -56,23 +56,37 @@ def sizes(docs: DataFrame) -> DataFrame:
     return cluster.map_batches(docs.select("doc_id", "source", "text"), batch, f"doc_id {kind}, source string, size long")
 
 
-def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """source_size and target of each source, from source and source_size.
+def _before(rows: DataFrame, order: list, parts: int, **values) -> DataFrame:
+    """`rows` with sums of `values` over all rows ahead in `order`, found within ranges of it and by sums over the ranges."""
+    placed = rows.repartitionByRange(parts, *order).withColumns({f"own_{k}": v for k, v in values.items()} | {"part": F.spark_partition_id()})
+    placed = cluster.written(placed)  # so that ranges are drawn once
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    sums = placed.groupBy("part").agg(*(F.sum(f"own_{k}").alias(k) for k in values))
+    sums = sums.select("part", *(F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"part_{k}") for k in values))
+    out = placed.withColumns({k: F.coalesce(F.sum(f"own_{k}").over(within), F.lit(0)) for k in values}).join(F.broadcast(sums), "part")
+    return out.select(*rows.columns, *((F.col(k) + F.col(f"part_{k}")).alias(k) for k in values))
+
+
+def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, parts: int = 1) -> DataFrame:
+    """source_size and target of each source, from source and source_size; sorted in `parts` ranges.
 
     Weights repeat over the sources by code point, null last. A target is
     min(most * source_size, level * weight) with the level at which they come
     to `share` of all sizes: what resharing the excess again and again ends in.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
-    rows = by_source.withColumn("weight", weight.cast("double")).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, on = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    wanted = F.lit(share) * F.sum("source_size").over(Window.partitionBy())
+    name = F.col("source").asc_nulls_last()
+    rows = _before(by_source.select("source", "source_size"), [name], parts, place=F.lit(1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = rows.withColumns({"weight": weight.cast("double"), "cap": F.lit(float(most)) * F.col("source_size")}).drop("place").withColumn("ratio", F.col("cap") / F.col("weight"))
+    rows = _before(rows, [F.col("ratio"), name], parts, caps=F.col("cap"), weights=F.col("weight"))
+    total = rows.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("all_weights"))  # one row, as are the levels below
+    rows = rows.crossJoin(F.broadcast(total))
     # If the sources before this one are at their caps, the others' level is this.
-    rows = rows.withColumn("level", (wanted - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(on))
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(Window.partitionBy())
-    return rows.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap"))).alias("target"))
+    rows = rows.withColumn("level", (F.lit(share) * F.col("all") - F.col("caps")) / (F.col("all_weights") - F.col("weights")))
+    level = rows.agg(F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).alias("found"))
+    rows = rows.crossJoin(F.broadcast(level))
+    return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("found") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
 def _by_source(rows: DataFrame, small: DataFrame, n_sources: int | None = None) -> DataFrame:
@@ -177,7 +191,7 @@ def plan_mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     histogram = cluster.written(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     by_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     n = by_source.count()
-    plan = multipliers(histogram, targets(by_source, weights, share), n)
+    plan = multipliers(histogram, targets(by_source, weights, share, parts=1 + n // _BROADCAST), n)
     none = F.array().cast("array<struct<gap:double,cut:int>>")
     plan = plan.select("source", "source_size", "target", "multiplier", "mean", "full", none.alias("repairs"))
     for _ in range(repairs):
@@ -204,7 +218,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repairs: int = REPAIRS) -> DataFrame:
-    """The mix itself: each document with all its columns, as many times as it is taken. Texts are not shuffled."""
+    """The mix itself: each document with all its columns, as many times as it is taken. Texts are not shuffled.
+
+    Documents of size 0 (null, empty or blank texts) may be taken once or twice, as they take no words; repeated
+    rows are taken alike; columns keep their names, whatever these are; an empty table stays empty.
+    """
     plan, n = plan_mix(cluster.written(sizes(docs)), weights, share, repairs)
     at = docs.columns.index("text")
 

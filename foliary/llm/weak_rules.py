@@ -180,7 +180,7 @@ def judge(docs: DataFrame, model: Fit | None = None, threshold: float = 0.5) ->
 
 
 def keep(docs: DataFrame, model: Fit | None = None, threshold: float = 0.5) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns. Null and empty texts go; repeated rows stay or go together; an empty table stays empty."""
     model = model or fit_votes(docs)
     at = docs.columns.index("text")
 

@@ -96,6 +96,33 @@ def test_mix_solves_the_dual(corpus):
         assert abs(sum(rates[name, n] * n for n in own) - goal[name]) <= 2e-6 * max(goal[name], 1)
 
 
+def test_targets_in_ranges(spark):
+    """Weights by code point, null last, and capped targets, whatever the number of ranges that sources are sorted in."""
+    draw = random.Random(17)
+    own = {f"{chr(0x41 + i % 7)}{i}é"[: draw.randint(2, 4)]: draw.randint(0, 10_000) for i in range(300)} | {None: 77, "": 5, "\U0001F600": 9, "\uffff": 3}
+    df = spark.createDataFrame(list(own.items()), "source string, source_size long")
+    names = sorted(own, key=lambda n: (n is None, (n or "").encode()))
+    weight, capped = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}, set()
+    while True:
+        rest = 1.5 * sum(own.values()) - sum(2 * own[n] for n in capped)
+        want = {n: 2 * own[n] if n in capped else rest * weight[n] / sum(weight[m] for m in names if m not in capped) for n in names}
+        over = {n for n in names if want[n] > 2 * own[n]} - capped
+        if not over:
+            break
+        capped |= over
+    for parts in (1, 7):
+        got = {r.source: r.target for r in mixing.targets(df, parts=parts).collect()}
+        assert got.keys() == own.keys() and all(abs(got[n] - want[n]) <= 1e-9 * max(want[n], 1) for n in names)
+
+
+def test_mix_takes_awkward_documents(odd):
+    rows, taken = mixing.mix(odd[0]).collect(), Counter(r.doc_id for r in mixing.take(odd[0]).collect())
+    want = Counter()
+    for r in rows:
+        want[r.doc_id] += r.copies
+    assert taken == +want and mixing.take(odd[0]).columns == odd[0].columns
+
+
 def test_mix_of_a_source_far_above_its_target(spark):
     docs = [(i, " ".join(["w"] * (1 + i % 3 + 3000 * (i % 50 == 0))), "hot") for i in range(2000)] + [(5000 + i, "a b c", f"s{i % 40}") for i in range(80)]
     rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
@@ -149,6 +176,7 @@ def test_quality_training_is_bounded_by_its_sample(spark):
 
 def test_quality_ranking_of_awkward_documents(spark, odd):
     none = labels(spark).limit(0)
+    assert pairwise_quality.rank_quality(odd[0].limit(0), labels(spark)).count() == 0
     assert {r.score for r in pairwise_quality.rank_quality(odd[0], none).collect()} == {0.5}
     model = pairwise_quality.fit(*pairwise_quality.training_rows(spark.read.parquet(f"{SF}/documents.parquet"), labels(spark)))
     rows = pairwise_quality.score(odd[0], model).collect()
@@ -279,6 +307,12 @@ def test_licences(spark, corpus):
         assert rows[i].families == ",".join(sorted(k for k, v in told.items() if v in (t or "")))
 
 
+def test_licences_of_awkward_documents(odd):
+    rows = licenses.scan(odd[0]).collect()
+    want = Counter((i, sum(1 for x in (t or "").split("\n") if x)) for i, t in odd[1])
+    assert Counter((r.doc_id, r.n_paragraphs) for r in rows) == want and not any(r.n_licensed for r in rows)
+
+
 def test_licence_training_is_held_out():
     model = licenses.train(["the cat sat on the mat", "le chat est là", "ein Haus am See"])
     texts, of = licenses._made(99, 6)
