@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliary import convert
 from foliary.functions import text as T
 from foliary.operators import books, integrity, items, tables
 from foliary.plans.queries import _BLOCKS, _FILES, _ITEMS, _LINES, _PARENT, _W, _blocks, _read, content_items_sorted, query
@@ -230,7 +231,7 @@ _MADE_FILES = "(VALUES (0, 'mimetype'), (1, 'META-INF/container.xml'), (2, 'EPUB
     UNION ALL SELECT doc_id, 5 + row_number() OVER (PARTITION BY doc_id ORDER BY ord), 'EPUB/dtbook-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) + 1 AS VARCHAR) || '.xhtml' FROM tree WHERE level = 1
     UNION ALL SELECT doc_id, 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY {_IMAGE}), 'EPUB/images/' || {_IMAGE} FROM item_id WHERE type = 'image')
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, path FROM e""")
-def daisy_to_epub(spark, sf_dir):
+def talking_book_to_ebook(spark, sf_dir):
     """Archives of e-books made from archives of talking books, unzipped again."""
     made = books.epub_entries(_unzipped(spark, sf_dir))
     return packages.zip_entries(writers.archives(made)).select("doc_id", "ord", "path")
@@ -359,7 +360,9 @@ def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform("l", lambda p: p[c]), "")
     body = F.concat(F.lit(f"<w:document {_W}><w:body>"), joined("x"), F.lit("</w:body></w:document>"))
     rels = F.concat(F.lit("<Relationships>"), joined("r"), F.lit(f'<Relationship Id="rIdS" Type="{_REL}/styles" Target="styles.xml"/></Relationships>'))
-    return writers.archives(writers._entries(made, [("word/document.xml", body), ("word/_rels/document.xml.rels", rels)]))
+    texts = writers._entries(made, [("word/document.xml", body), ("word/_rels/document.xml.rels", rels)])
+    media = rows.where("i % 8 = 3").select("doc_id", (F.col("i") + 2).cast("int").alias("entry_ord"), F.concat(F.lit("word/media/image"), F.col("i").cast("string"), F.lit(".png")).alias("path"), F.concat_ws("_", F.lit("img"), F.col("doc_id").cast("string"), F.col("i").cast("string")).cast("binary").alias("content"))
+    return writers.archives(texts.unionByName(media))
 
 
 @query(f"{_BLOCKS} SELECT doc_id, i AS para_idx, i + (i // 6) AS body_idx, style, regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0d\\x0e-\\x1f]', '', 'g') AS text FROM blk")
@@ -390,3 +393,28 @@ def docx_cells(spark, sf_dir):
     """Cells of tables and of those nested in them, wrapped or not, with spans, merge states and texts."""
     rows = packages.docx_parts(_docx(spark, sf_dir)).where("kind = 'cell'")
     return rows.select("doc_id", "table_id", "parent_table", "row", "tc", "colspan", "v_state", "text")
+
+
+_DOCX_IMAGE = "SELECT doc_id, 4 + row_number() OVER (PARTITION BY doc_id ORDER BY elem_id) AS ord, elem_id || '.png' AS path, sha256('img_' || CAST(doc_id AS VARCHAR) || '_' || CAST(para AS VARCHAR)) AS sha256 FROM item_id WHERE type = 'image'"
+
+
+@query(f"{_SORTED} SELECT doc_id, CAST(k AS BIGINT) AS ord, path, NULL AS sha256 FROM documents, ({_FILES}) f(k, path) UNION ALL {_DOCX_IMAGE}")
+def word_to_talking_book(spark, sf_dir):
+    """From word-processor files to talking books, unzipped again."""
+    made = packages.zip_entries(convert.word_to_talking_book(_docx(spark, sf_dir), _book(spark, sf_dir)))
+    return made.select("doc_id", "ord", "path", F.when(F.col("ord") >= len(integrity.REQUIRED), F.sha2("content", 256)).alias("sha256"))
+
+
+@query(f"{_TABLES} SELECT doc_id, 'table_t' || CAST(no AS VARCHAR) || CASE WHEN odd = 0 AND place = 5 THEN '_cell_1_1_p_2' ELSE tail END AS id, text, CAST(rowspan AS VARCHAR) AS rowspan, CAST(colspan AS VARCHAR) AS colspan FROM tbl JOIN {_SHOWN_SQL} ON odd = no % 2")
+def word_to_book_cells(spark, sf_dir):
+    """Paragraphs of cells from word-processor file to talking book."""
+    entries = packages.zip_entries(convert.word_to_talking_book(_docx(spark, sf_dir), _book(spark, sf_dir)))
+    nodes = packages.xml_nodes(entries.where("path = 'dtbook.xml'")).persist()
+    cells = nodes.where("tag = 'td'").select("doc_id", F.col("node_id").alias("parent_id"), *(F.coalesce(F.col("attrs")[a], F.lit("1")).alias(a) for a in ("rowspan", "colspan")))
+    return nodes.where("tag = 'p'").select("doc_id", "parent_id", F.col("attrs")["id"].alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(cells, ["doc_id", "parent_id"]).drop("parent_id")
+
+
+@query(f"{_SORTED} SELECT doc_id, CAST(k AS BIGINT) AS ord, path FROM documents, {_EPUB_FILES} UNION ALL SELECT doc_id, ord + 2, 'EPUB/images/' || path FROM ({_DOCX_IMAGE})")
+def word_to_ebook(spark, sf_dir):
+    """From word-processor files to e-books, unzipped again."""
+    return packages.zip_entries(convert.word_to_ebook(_docx(spark, sf_dir), _book(spark, sf_dir))).select("doc_id", "ord", "path")

@@ -126,18 +126,24 @@ def _row_cells(row: ElementTree.Element) -> Iterator[ElementTree.Element]:
             yield from _row_cells(x)
 
 
-def _table(t: ElementTree.Element, number: Iterator[int], parent: int | None, out: list) -> int:
-    """Appends cell rows (table_id, parent_table, row, tc, colspan, v_state, text, nested) of a table and those nested in it."""
+def _table(t: ElementTree.Element, number: Iterator[int], parent: int | None, out: list, base: str = "t", around: tuple = (None, None, None)) -> int:
+    """Appends cell rows (table_id, parent_table, row, tc, colspan, v_state, text, base, parent_base, parent_row, parent_tc) of a table and those nested in it.
+
+    `base` names a table by where it is: the cell of the table around it, and its number there.
+    """
     own = next(number)
     for r, row in enumerate(t.findall(f"{W}tr")):
-        cells = list(_row_cells(row))
-        for k, cell in enumerate(cells):
+        column = 0
+        for k, cell in enumerate(_row_cells(row)):
             span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
             state = None if merge is None else merge.get(f"{W}val") or "continue"
             paragraphs = [_paragraph(p)[1] for p in cell.findall(f"{W}p")]
             kept = [p for i, p in enumerate(paragraphs) if i == 0 or p != paragraphs[i - 1]]
-            nested = [_table(x, number, own, out) for x in cell.findall(f"{W}tbl")]
-            out.append((own, parent, r, k, int(span.get(f"{W}val")) if span is not None else 1, state, " ".join(kept), nested))
+            width = int(span.get(f"{W}val")) if span is not None else 1
+            out.append((own, parent, r, k, width, state, " ".join(kept), "\n".join(kept), base, *around))
+            for s, nested in enumerate(cell.findall(f"{W}tbl")):
+                _table(nested, number, own, out, f"{base}_cell_{r}_{column}_nested_{s}", (base, r, k))
+            column += width
     return own
 
 
@@ -146,13 +152,15 @@ def docx_parts(packages: DataFrame) -> DataFrame:
 
     Nested tables are flattened with the id of the table around them. Columns not of a kind are null.
     """
-    names = ["doc_id", "kind", "body_idx", "para_idx", "style", "text", "run_idx", "rid", "target", "table_id", "parent_table", "row", "tc", "colspan", "v_state"]
+    names = ["doc_id", "kind", "body_idx", "para_idx", "style", "text", "run_idx", "rid", "target", "table_id", "parent_table", "row", "tc", "colspan", "v_state", "lines", "base", "parent_base", "parent_row", "parent_tc"]
+
+    strings = ("style", "text", "rid", "target", "v_state", "lines", "base", "parent_base")
 
     def frame_of(rows: list[dict]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=names)
-        for c in ("body_idx", "para_idx", "run_idx", "table_id", "parent_table", "row", "tc", "colspan"):
+        for c in ("body_idx", "para_idx", "run_idx", "table_id", "parent_table", "row", "tc", "colspan", "parent_row", "parent_tc"):
             frame[c] = frame[c].astype("Int64")
-        for c in ("style", "text", "rid", "target", "v_state"):
+        for c in strings:
             frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
         return frame
 
@@ -172,7 +180,7 @@ def docx_parts(packages: DataFrame) -> DataFrame:
                 for rel in rels:
                     if "image" in rel.get("Type", ""):
                         add("rel", rid=rel.get("Id"), target=rel.get("Target"))
-                para, number = 0, iter(range(1 << 31))
+                para, number, tables = 0, iter(range(1 << 31)), 0
                 for at, child in enumerate(body if body is not None else []):
                     if child.tag == f"{W}p":
                         style, text, images = _paragraph(child)
@@ -181,11 +189,11 @@ def docx_parts(packages: DataFrame) -> DataFrame:
                             add("image", para_idx=para, run_idx=run, rid=rid)
                         para += 1
                     elif child.tag == f"{W}tbl":
-                        cells: list = []
-                        add("table", body_idx=at, table_id=_table(child, number, None, cells))
-                        for own, up, row, tc, span, state, text, _ in cells:
-                            add("cell", table_id=own, parent_table=up, row=row, tc=tc, colspan=span, v_state=state, text=text)
+                        cells, tables = [], tables + 1
+                        add("table", body_idx=at, table_id=_table(child, number, None, cells, f"t{tables}"))
+                        for own, up, row, tc, span, state, text, lines, base, outer, outer_row, outer_tc in cells:
+                            add("cell", table_id=own, parent_table=up, row=row, tc=tc, colspan=span, v_state=state, text=text, lines=lines, base=base, parent_base=outer, parent_row=outer_row, parent_tc=outer_tc)
                 yield frame_of(rows)
 
-    kinds = {"doc_id": "long", "kind": "string"} | {c: "string" if c in ("style", "text", "rid", "target", "v_state") else "long" for c in names[2:]}
+    kinds = {"doc_id": "long", "kind": "string"} | {c: "string" if c in strings else "long" for c in names[2:]}
     return _few_rows(packages).select("doc_id", "content").mapInPandas(read, ", ".join(f"{k} {v}" for k, v in kinds.items()))

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+from foliary import convert
 from foliary.operators import books, integrity, tables
 from foliary.sources import packages, writers
 
@@ -99,3 +100,18 @@ def test_written_books_are_well_formed(spark):
     for made in (writers.daisy_entries(book, items), writers.epub_entries(book, items)):
         nodes = packages.xml_nodes(made.where("path <> 'mimetype' and path not like '%.css'").select("doc_id", "path", "content"))
         assert nodes.where("error is not null").count() == 0 and nodes.where("file in ('dtbook.xml', 'EPUB/content.xhtml')").select("doc_id").distinct().count() == 2
+
+
+def test_folders_are_compared(spark, tmp_path):
+    for name, files in {"old": {"a.txt": b"1\n2", "b.bin": b"0\n\x00", "c.txt": b"same", "x.log": b"1"}, "new": {"a.txt": b"1\n3", "b.bin": b"0\n\x00\x01", "c.txt": b"same", "d/e.txt": b"new", "x.log": b"2"}}.items():
+        for path, content in files.items():
+            (tmp_path / name / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / name / path).write_bytes(content)
+    rows = {r.path: (r.status, bool(r.diff)) for r in convert.folder_diff(spark, str(tmp_path / "old"), str(tmp_path / "new"), ("*.log",)).collect()}
+    assert rows == {"a.txt": ("modified", True), "b.bin": ("modified", False), "c.txt": ("same", False), "d/e.txt": ("added", False)}
+
+
+def test_unreadable_files_give_books_without_content(spark):
+    book = spark.createDataFrame([(1, "T", "a", "p", "ko", "1")], "doc_id long, title string, author string, publisher string, language string, isbn string")
+    entries = packages.zip_entries(convert.word_to_talking_book(spark.createDataFrame([(1, b"broken")], "doc_id long, content binary"), book))
+    assert integrity.xml_structure(packages.xml_nodes(entries.where("path <> 'dtbook.res'"))).count() == 0 and entries.count() == 5
