@@ -40,7 +40,7 @@ END_ID = 0
 #: Pieces of one length that are ranked together, about.
 _RANKED = 2_000
 #: Words and parts of words whose ids a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 #: The tokenizer's own split, fixed value.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of ASCII and precomposed Latin letters: lower-casing and normalising them needs no context.
