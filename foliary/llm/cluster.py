@@ -26,14 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, as texts may be long.
-
-    Results are lazy, so the session keeps these settings; smaller ones of its own stay.
-    """
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        own = spark.conf.get(name) or ""
-        if not own.isdigit() or not 0 < int(own) <= most:
-            spark.conf.set(name, str(most))
+    """Keeps Arrow batches small, as texts may be long. Results are lazy, so the session keeps these settings until others are made."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
