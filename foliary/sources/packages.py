@@ -28,10 +28,8 @@ _BATCH = 16
 
 
 def _few_rows(df: DataFrame) -> DataFrame:
-    """Batches of few packages; the session keeps the setting, as results are lazy, unless its own is smaller."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") or 0) <= _BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH))
+    """Batches of few packages. Results are lazy, so the session keeps the setting until another is made."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_BATCH))
     return df
 
 
