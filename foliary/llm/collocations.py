@@ -43,7 +43,7 @@ from foliary.llm import cluster
 from foliary.llm import textarrays as ta
 
 #: Bytes of text that a task takes at once.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 #: Bits of the table of frequent phrases: so many for each, and at most 2 to the power of MOST_BITS.
 BITS_EACH = 32
 MOST_BITS = 28
@@ -165,6 +165,12 @@ def _table(frequent: DataFrame, n: int) -> np.ndarray | None:
     return out.view(ta.U64)
 
 
+def score(a: str, left: str, right: str) -> str:
+    """1000000 a a / (left right), rounded down: an expression over longs that is exact in decimals of 38 digits, for counts below 10^16."""
+    exact = lambda c: f"cast({c} as decimal(16,0))"
+    return f"(cast(1000000 as decimal(7,0)) * ({exact(a)} * {exact(a)})) div ({exact(left)} * {exact(right)})"
+
+
 def mine(documents: DataFrame, max_words: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's first `top` phrases of 2 to `max_words` words.
 
@@ -188,8 +194,7 @@ def mine(documents: DataFrame, max_words: int = 3, least: int = 10, share: int =
     cuts = cuts.withColumns({"head": F.array_join(F.slice(parts, F.lit(1), F.col("k")), " "), "tail": F.array_join(F.slice(parts, F.col("k") + 1, F.col("words") - F.col("k")), " ")})
     cuts = cuts.join(frequent.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
     cuts = cuts.join(frequent.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
-    exact = lambda c: F.col(c).cast("decimal(16,0)")
-    cuts = cuts.withColumns({"above": F.lit(1_000_000).cast("decimal(7,0)") * (exact("a") * exact("a")), "below": exact("l") * exact("r")}).withColumn("score", F.expr("above div below"))
+    cuts = cuts.withColumn("score", F.expr(score("a", "l", "r")))
     scored = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a")).alias("x")).select("lang", "phrase", "x.*")
     # Each phrase's longest parts: what it has without its last and without its first word.
     longer = candidates.where("words > 2").select("lang", F.col("a").alias("longer"), F.expr("explode(array(substring_index(phrase, ' ', words - 1), substr(phrase, instr(phrase, ' ') + 1)))").alias("phrase"))
