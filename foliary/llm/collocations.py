@@ -43,7 +43,7 @@ from foliary.llm import cluster
 from foliary.llm import textarrays as ta
 
 #: Bytes of text that a task takes at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Bits of the table of frequent phrases: so many for each, and at most 2 to the power of MOST_BITS.
 BITS_EACH = 32
 MOST_BITS = 28
