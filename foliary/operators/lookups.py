@@ -24,6 +24,34 @@ def nearest_ancestor(ancestors: DataFrame, kinds: tuple[str, ...] = ("cell", "ta
     return ancestors.where(F.col("kind").isin(*kinds)).groupBy("doc_id", "node").agg(F.min_by(F.struct("ancestor", "kind"), F.struct("distance", "ancestor")).alias("x")).select("doc_id", "node", "x.ancestor", "x.kind")
 
 
+#: Elements that an image may stand in, and what they are called; fixed values.
+OWNERS = {"tc": "cell", "tbl": "table", "p": "paragraph"}
+
+
+def nearest_by_path(nodes: DataFrame, inner: DataFrame, tags: tuple[str, ...]) -> DataFrame:
+    """`inner` (doc_id, node_id, ancestors, others) with near, the nearest element around each whose tag is the first of `tags` that any around it has, and its tag.
+
+    The elements around a node are on its path, so this is an equi-join of paths
+    with the elements of these tags, and a greatest node id by node.
+    """
+    around = inner.select("doc_id", "node_id", F.explode("ancestors").alias("near"))
+    rank = F.array_position(F.array(*(F.lit(t) for t in tags)), F.col("tag"))
+    found = around.join(nodes.where(F.col("tag").isin(*tags)).select("doc_id", F.col("node_id").alias("near"), "tag"), ["doc_id", "near"])
+    best = found.groupBy("doc_id", "node_id").agg(F.max(F.struct((-rank).alias("rank"), "near", "tag")).alias("x")).select("doc_id", "node_id", "x.near", F.col("x.tag").alias("near_tag"))
+    return inner.join(best, ["doc_id", "node_id"], "left")
+
+
+def image_owners(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, rid, owner, owner_node, first: each image of a word-processor file's XML, the cell around it, else the table, else the paragraph, and the first text there."""
+    rid = F.coalesce(F.when(F.col("tag") == "blip", F.col("attrs")["embed"]), F.when(F.col("tag") == "imagedata", F.col("attrs")["id"]))
+    images = nodes.where("tag in ('blip', 'imagedata')").select("doc_id", "node_id", "ancestors", rid.alias("rid")).where("rid is not null")
+    owned = nearest_by_path(nodes, images, tuple(OWNERS)).withColumnRenamed("near", "owner_node")
+    texts = nodes.where("tag = 't' and text is not null").select("doc_id", F.col("node_id").alias("t"), "text", F.explode("ancestors").alias("owner_node"))
+    first = texts.join(owned.select("doc_id", "owner_node").distinct(), ["doc_id", "owner_node"], "left_semi").groupBy("doc_id", "owner_node").agg(F.min_by("text", "t").alias("first"))
+    name = F.element_at(F.create_map(*(F.lit(x) for pair in OWNERS.items() for x in pair)), F.col("near_tag"))
+    return owned.join(first, ["doc_id", "owner_node"], "left").select("doc_id", "node_id", "rid", name.alias("owner"), "owner_node", "first")
+
+
 def by_owner(images: DataFrame, owners: DataFrame, key: list[str]) -> DataFrame:
     """`owners` with images: the list of theirs, empty if none."""
     lists = images.groupBy(*key).agg(F.sort_array(F.collect_list("rid")).alias("images"))

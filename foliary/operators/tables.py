@@ -6,7 +6,7 @@ v_state: `restart`, `continue` or null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
@@ -38,11 +38,11 @@ def merged_spans(cells: DataFrame, key: list[str]) -> DataFrame:
     grid = grid.withColumn("island", F.sum(F.when(new, 1).otherwise(0)).over(down))
     island = Window.partitionBy(*key, "g", "island")
     grid = grid.withColumn("n", F.count("*").over(island))
-    # A restart covers the columns of its cell in the rows of its run: its spans are told to the columns by the table's list of them.
-    span = F.when((F.col("v_state") == "restart") & (F.col("g") == F.col("grid_start")) & (F.col("n") > 1), F.struct("row", "g", "n", "colspan"))
-    grid = grid.withColumn("spans", F.collect_list(span).over(Window.partitionBy(*key)))
-    covered = F.exists("spans", lambda s: (F.col("row") > s["row"]) & (F.col("row") < s["row"] + s["n"]) & (F.col("g") >= s["g"]) & (F.col("g") < s["g"] + s["colspan"]))
-    out = grid.withColumn("area", (F.col("g") != F.col("grid_start")) | covered)
+    # A restart covers the columns of its cell in the rows of its run: every place that it covers is a row beside the grid's own.
+    restarts = grid.where((F.col("v_state") == "restart") & (F.col("g") == F.col("grid_start")) & (F.col("n") > 1))
+    below = restarts.withColumn("r", F.explode(F.expr("sequence(row + 1, row + n - 1)"))).withColumn("p", F.explode(F.expr("sequence(g, g + colspan - 1)")))
+    covered = below.select(*key, F.col("r").cast("long").alias("row"), F.col("p").cast("long").alias("g")).distinct().withColumn("covered", F.lit(True))
+    out = grid.join(covered, [*key, "row", "g"], "left").withColumn("area", (F.col("g") != F.col("grid_start")) | F.coalesce("covered", F.lit(False)))
     rowspan = F.when(~F.col("area") & (F.col("v_state") == "restart"), F.col("n")).otherwise(1).cast("long")
     colspan = F.when(~F.col("area"), F.col("colspan")).otherwise(1).cast("long")
     return out.select(*key, "row", "g", rowspan.alias("rowspan"), colspan.alias("colspan"), (~F.col("area") & ((rowspan > 1) | (colspan > 1))).alias("is_merged"), F.col("area").alias("is_merged_area"))
@@ -66,54 +66,89 @@ def lookup(grid: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
     return found.withColumns({"rowspan": F.coalesce("rowspan", F.lit(1)).cast("long"), "colspan": F.coalesce("colspan", F.lit(1)).cast("long"), "is_merged": F.coalesce("is_merged", F.lit(False))})
 
 
-def rendered(cells: DataFrame, nested: int = 1) -> DataFrame:
-    """doc_id, table_id, html and pars (reading units) of tables at the top, those within their cells included.
+#: Places in a cell: behind all paragraphs where nested tables have none of their own, then images, then the end.
+_NESTED, _IMAGES, _END = 1 << 40, 1 << 41, 1 << 42
+#: The alternative text of images in cells, a fixed value before their number.
+CELL_IMAGE = "표 셀 이미지"
 
-    Cells are as above, with doc_id, table_id, parent_id, parent_row and parent_tc
-    (of the cell around a nested table; null at the top) and text, whose lines are
-    paragraphs. Tables are put together from the innermost out, `nested` levels down.
-    """
+
+def _outer_cells() -> Column:
+    """The cells around a table, as its id has them: structs of table_id, row and the column g."""
+    parts = F.split("table_id", "_cell_")
+    number = lambda i, n: F.regexp_extract(F.element_at(parts, i + 1), "^([0-9]+)_([0-9]+)_", n).cast("long")
+    cell = lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "_cell_").alias("table_id"), number(i, 1).alias("row"), number(i, 2).alias("g"))
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), cell))
+
+
+def _told_path() -> Column:
+    """The path to a table from its id; nested tables stand behind the paragraphs of their cell, in order of their numbers."""
+    numbers = F.transform(F.regexp_extract_all("table_id", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
+    return F.transform(numbers, lambda x, i: F.when((i > 0) & (i % 3 == 0), x + _NESTED).otherwise(x))
+
+
+def contents_of(cells: DataFrame) -> DataFrame:
+    """doc_id, table_id, row, tc, seq, k, text: the lines of cells' texts as paragraphs."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("k", "line")
+    rows = cells.select("doc_id", "table_id", "row", "tc", lines)
+    return rows.select("doc_id", "table_id", "row", "tc", F.col("k").cast("long").alias("seq"), F.col("k").cast("long").alias("k"), F.col("line").alias("text"))
+
+
+def shown(cells: DataFrame) -> DataFrame:
+    """`cells` that are shown, with path, column g and the spans r and c: those under a merged cell go, with all tables nested in them."""
     key = ["doc_id", "table_id"]
-    around = cells.select(*key, "parent_id", "parent_row", "parent_tc").distinct()
-    spans = merged_spans(cells, key).withColumnRenamed("g", "grid_start").select(*key, "row", "grid_start", F.col("rowspan").alias("r"), F.col("colspan").alias("c"), "is_merged_area")
-    placed = grid_starts(cells, key).drop("colspan").join(spans, [*key, "row", "grid_start"]).where("not is_merged_area")
-    cell_id = F.concat("table_id", F.lit("_cell_"), F.col("row").cast("string"), F.lit("_"), F.col("grid_start").cast("string"), F.lit("_p_"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    spans = merged_spans(cells, key).select(*key, "row", "g", F.col("rowspan").alias("r"), F.col("colspan").alias("c"), "is_merged_area")
+    told = cells if "path" in cells.columns else cells.withColumn("path", _told_path())
+    placed = grid_starts(told, key).drop("colspan").withColumnRenamed("grid_start", "g").join(spans, [*key, "row", "g"])
+    hidden = placed.where("is_merged_area").select("doc_id", F.struct("table_id", "row", "g").alias("cell"))
+    lost = placed.select(*key).distinct().select(*key, F.explode(_outer_cells()).alias("cell")).join(hidden, ["doc_id", "cell"], "left_semi").select(*key).distinct()
+    return placed.where("not is_merged_area").join(lost, key, "left_anti")
+
+
+def cell_images(cells: DataFrame, images: DataFrame) -> DataFrame:
+    """`images` (doc_id, table_id, row, tc, k, ext, others) of cells that are shown, with elem_id: named by table, row, column and number."""
+    at = shown(cells).select("doc_id", "table_id", "row", "tc", "g")
+    name = F.concat(F.lit("table_"), "table_id", F.lit("_cell_"), F.col("row").cast("string"), F.lit("_"), F.col("g").cast("string"), F.lit("_img_"), F.col("k").cast("string"))
+    return images.join(at, ["doc_id", "table_id", "row", "tc"]).withColumn("elem_id", name)
 
-    def paragraph(line, k):
-        own = F.concat(cell_id, k.cast("string"))
-        return F.concat(F.lit('<p id="table_'), own, F.lit('" smilref="dtbook.smil#smil_par_'), own, F.lit('">'), T.escaped(T.xml_safe(T.strip(line))), F.lit("</p>"))
 
-    def par(line, k):
-        own = F.concat(cell_id, k.cast("string"))
-        said = F.concat(F.lit('<par id="smil_par_'), own, F.lit('" class="p"><text src="dtbook.xml#table_'), own, F.lit('"/></par>'))
-        return F.when(T.strip(line) != "", said)
+def rendered(cells: DataFrame, contents: DataFrame | None = None, images: DataFrame | None = None, folder: str = "") -> DataFrame:
+    """doc_id, table_id, html and pars (reading units) of tables at the top, with all tables nested in their cells, to any depth.
 
+    `cells` are as above, with doc_id and table_id, and path or, for tables whose
+    place in their cell is not known, none. `contents` (doc_id, table_id, row, tc,
+    seq, k, text) are the paragraphs of cells, by default the lines of the cells'
+    text; `images` (doc_id, table_id, row, tc, k, ext) follow what else a cell holds.
+
+    Every tag and paragraph is a row with its path from the top: the number of the
+    table, then row, column and place in the cell of each table on the way. Paths
+    sort in document order, so one ordered aggregation by table at the top puts
+    tables of any depth together. A table is one string in the end.
+    """
+    key = ["doc_id", "table_id"]
+    kept = shown(cells)
+    at_cell = F.concat("path", F.array("row", "g"))
+    piece = lambda at, x, u=None: F.struct(at.alias("at"), x.alias("x"), (F.lit(None).cast("string") if u is None else u).alias("u"))
+    edge = lambda at, place: F.concat(at, F.array(F.lit(place).cast("long")))
+    both = lambda at, begin, end: F.explode(F.array(piece(edge(at, -1), begin), piece(edge(at, _END), F.lit(end)))).alias("p")
     attr = lambda c, name: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
-    placed = placed.select(
-        *key, "row", "tc", F.concat(F.lit("<td"), attr("r", "rowspan"), attr("c", "colspan"), F.lit(">")).alias("begin"),
-        F.array_join(F.transform(lines, paragraph), "").alias("said"), F.array_join(F.transform(lines, par), "\n").alias("pars"),
-    )
-    inner = None
-    for level in range(nested, -1, -1):
-        here = placed.where(F.size(F.split("table_id", "_nested_")) == level + 1)
-        if inner is None:
-            here = here.withColumns({"inside": F.lit(""), "inside_pars": F.lit(None).cast("string")})
-        else:
-            here = here.join(inner, [*key, "row", "tc"], "left").withColumn("inside", F.coalesce("inside", F.lit("")))
-        cell = F.concat("begin", "said", "inside", F.lit("</td>"))
-        unit = F.nullif(F.concat_ws("\n", F.nullif("pars", F.lit("")), F.nullif("inside_pars", F.lit(""))), F.lit(""))
-        ordered = F.array_sort(F.collect_list(F.struct("tc", cell.alias("x"), unit.alias("u"))))
-        rows = here.groupBy(*key, "row").agg(ordered.alias("cells"))
-        rows = rows.select(*key, "row", F.concat(F.lit("<tr>"), F.array_join(F.transform("cells", lambda x: x["x"]), ""), F.lit("</tr>")).alias("tr"), F.array_join(F.transform("cells", lambda x: x["u"]), "\n").alias("u"))
-        out = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row", "tr", "u"))).alias("rows"))
-        html = F.concat(F.lit("<table><tbody>"), F.array_join(F.transform("rows", lambda x: x["tr"]), ""), F.lit("</tbody></table>"))
-        out = out.select(*key, html.alias("html"), F.array_join(F.transform("rows", lambda x: F.nullif(x["u"], F.lit(""))), "\n").alias("pars"))
-        # Tables of one cell stand in their order.
-        lists = F.array_sort(F.collect_list(F.struct("table_id", "html", "pars")))
-        within = out.join(around, key).where("parent_id is not null").groupBy("doc_id", "parent_id", "parent_row", "parent_tc").agg(lists.alias("l"))
-        inner = within.select(
-            "doc_id", F.col("parent_id").alias("table_id"), F.col("parent_row").alias("row"), F.col("parent_tc").alias("tc"),
-            F.array_join(F.transform("l", lambda x: x["html"]), "").alias("inside"), F.array_join(F.transform("l", lambda x: x["pars"]), "\n").alias("inside_pars"),
-        )
-    return out
+    parts = [
+        kept.select(*key, "path").distinct().select(*key, both(F.col("path"), F.lit("<table><tbody>"), "</tbody></table>")),
+        kept.select(*key, "path", "row").distinct().select(*key, both(F.concat("path", F.array("row")), F.lit("<tr>"), "</tr>")),
+        kept.select(*key, both(at_cell, F.concat(F.lit("<td"), attr("r", "rowspan"), attr("c", "colspan"), F.lit(">")), "</td>")),
+    ]
+    held = (contents_of(cells) if contents is None else contents.select(*key, "row", "tc", "seq", "k", "text")).join(kept.select(*key, "row", "tc", "g", "path"), [*key, "row", "tc"])
+    own = F.concat("table_id", F.lit("_cell_"), F.col("row").cast("string"), F.lit("_"), F.col("g").cast("string"), F.lit("_p_"), F.col("k").cast("string"))
+    said = T.strip(F.coalesce("text", F.lit("")))
+    html = F.concat(F.lit('<p id="table_'), own, F.lit('" smilref="dtbook.smil#smil_par_'), own, F.lit('">'), T.escaped(T.xml_safe(said)), F.lit("</p>"))
+    unit = F.when(said != "", F.concat(F.lit('<par id="smil_par_'), own, F.lit('" class="p"><text src="dtbook.xml#table_'), own, F.lit('"/></par>')))
+    parts.append(held.select(*key, piece(F.concat(at_cell, F.array("seq")), html, unit).alias("p")))
+    if images is not None:
+        found = images.select(*key, "row", "tc", "k", "ext").join(kept.select(*key, "row", "tc", "g", "path"), [*key, "row", "tc"])
+        name = F.concat(F.lit(f"{folder}table_"), "table_id", F.lit("_cell_"), F.col("row").cast("string"), F.lit("_"), F.col("g").cast("string"), F.lit("_img_"), F.col("k").cast("string"), F.lit("."), "ext")
+        img = F.concat(F.lit('<img src="'), name, F.lit(f'" alt="{CELL_IMAGE} '), (F.col("k") + 1).cast("string"), F.lit('"/>'))
+        parts.append(found.select(*key, piece(F.concat(at_cell, F.array(F.lit(_IMAGES).cast("long"), F.col("k"))), img).alias("p")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    out = rows.groupBy("doc_id", F.substring_index("table_id", "_cell_", 1).alias("table_id")).agg(F.array_sort(F.collect_list("p")).alias("l"))
+    return out.select(*key, F.array_join(F.transform("l", lambda p: p["x"]), "").alias("html"), F.array_join(F.transform("l", lambda p: p["u"]), "\n").alias("pars"))

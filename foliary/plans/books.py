@@ -14,7 +14,7 @@ from foliary import convert
 from foliary.functions import text as T
 from foliary.operators import books, integrity, items, tables
 from foliary.plans.queries import _BLOCKS, _FILES, _ITEMS, _LINES, _PARENT, _W, _blocks, _read, content_items_sorted, query
-from foliary.sources import packages, writers
+from foliary.sources import packages, store, writers
 
 #: Cells: parity of the table, row, place, columns, merge state, text, and for a nested table the cell around it.
 _CELL_ROWS = (
@@ -76,12 +76,12 @@ def _daisy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unzipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.zip_entries(writers.archives(_daisy(spark, sf_dir))).persist()
+    return store.written(packages.zip_entries(writers.archives(_daisy(spark, sf_dir))))
 
 
 def _nodes(spark: SparkSession, sf_dir: str, *files: str) -> DataFrame:
     """Elements of files of the books, straight from what is written; other queries go through archives."""
-    return packages.xml_nodes(_daisy(spark, sf_dir).where(F.col("path").isin(*files))).persist()
+    return store.written(packages.xml_nodes(_daisy(spark, sf_dir).where(F.col("path").isin(*files))))
 
 
 @query(f"""{_SORTED} SELECT doc_id, CAST(k AS BIGINT) AS ord, path, CASE WHEN k < 5 THEN NULL ELSE '' END AS sha256 FROM documents, ({_FILES}) f(k, path)
@@ -375,7 +375,7 @@ def docx_paragraphs(spark, sf_dir):
 @query(f"{_LINES} SELECT doc_id, i AS para_idx, CAST(1 AS BIGINT) AS run_idx, 'rId' || CAST(i AS VARCHAR) AS rid, 'media/image' || CAST(i AS VARCHAR) || '.png' AS target FROM lines WHERE i % 8 = 3")
 def docx_images(spark, sf_dir):
     """Images of runs with what their relationship points to."""
-    parts = packages.docx_parts(_docx(spark, sf_dir)).persist()
+    parts = store.written(packages.docx_parts(_docx(spark, sf_dir)))
     rels = parts.where("kind = 'rel'").select("doc_id", "rid", "target")
     return parts.where("kind = 'image'").select("doc_id", "para_idx", "run_idx", "rid").join(rels, ["doc_id", "rid"])
 
@@ -409,7 +409,7 @@ def word_to_talking_book(spark, sf_dir):
 def word_to_book_cells(spark, sf_dir):
     """Paragraphs of cells from word-processor file to talking book."""
     entries = packages.zip_entries(convert.word_to_talking_book(_docx(spark, sf_dir), _book(spark, sf_dir)))
-    nodes = packages.xml_nodes(entries.where("path = 'dtbook.xml'")).persist()
+    nodes = store.written(packages.xml_nodes(entries.where("path = 'dtbook.xml'")))
     cells = nodes.where("tag = 'td'").select("doc_id", F.col("node_id").alias("parent_id"), *(F.coalesce(F.col("attrs")[a], F.lit("1")).alias(a) for a in ("rowspan", "colspan")))
     return nodes.where("tag = 'p'").select("doc_id", "parent_id", F.col("attrs")["id"].alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(cells, ["doc_id", "parent_id"]).drop("parent_id")
 

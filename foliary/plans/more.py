@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
 from foliary.operators import blocks, diff, integrity, jobs, runs
 from foliary.plans.queries import _FINDINGS, _JOBS, _LATEST, _LINES, _events, _findings, _read, job_latest, query
-from foliary.sources import packages
+from foliary.sources import packages, store
 from foliary.streaming import jobs as stream
 
 # Uploads: an event is a file of a batch.
@@ -238,9 +235,7 @@ def job_times(spark, sf_dir):
 
 # Streams: what is there is run to its end; results are tables in a folder of the query's own.
 def _folder(spark: SparkSession) -> str:
-    """A folder of one run, in the one that the cluster shares; without one, as in tests, under the session's warehouse."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    return store.new_folder(spark, "stream")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

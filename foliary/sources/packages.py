@@ -124,41 +124,72 @@ def _row_cells(row: ElementTree.Element) -> Iterator[ElementTree.Element]:
             yield from _row_cells(x)
 
 
-def _table(t: ElementTree.Element, number: Iterator[int], parent: int | None, out: list, base: str = "t", around: tuple = (None, None, None)) -> int:
-    """Appends cell rows (table_id, parent_table, row, tc, colspan, v_state, text, base, parent_base, parent_row, parent_tc) of a table and those nested in it.
+def _cell_blocks(cell: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Paragraphs and tables of a cell in their order, content controls opened at every level."""
+    for x in cell:
+        if x.tag in (f"{W}p", f"{W}tbl"):
+            yield x
+        elif x.tag in (f"{W}sdt", f"{W}sdtContent"):
+            yield from _cell_blocks(x)
+
 
-    `base` names a table by where it is: the cell of the table around it, and its number there.
+def _table(t: ElementTree.Element, number: Iterator[int], parent: int | None, out: list[dict], base: str, path: list[int], around: dict) -> int:
+    """Appends cells, and what they hold, of a table and those nested in it to any depth; returns the table's number.
+
+    `base` names a table by where it is: the cell of the table around it, and its number there. `path` leads to it:
+    the number of the table at the top, then row, column and place in the cell of each table on the way.
     """
     own = next(number)
     for r, row in enumerate(t.findall(f"{W}tr")):
         column = 0
-        for k, cell in enumerate(_row_cells(row)):
+        for c, cell in enumerate(_row_cells(row)):
             span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
             state = None if merge is None else merge.get(f"{W}val") or "continue"
-            paragraphs = [_paragraph(p)[1] for p in cell.findall(f"{W}p")]
-            kept = [p for i, p in enumerate(paragraphs) if i == 0 or p != paragraphs[i - 1]]
             width = int(span.get(f"{W}val")) if span is not None else 1
-            out.append((own, parent, r, k, width, state, " ".join(kept), "\n".join(kept), base, *around))
-            for s, nested in enumerate(cell.findall(f"{W}tbl")):
-                _table(nested, number, own, out, f"{base}_cell_{r}_{column}_nested_{s}", (base, r, k))
+            at = {"base": base, "row": r, "tc": c}
+            made = {"kind": "cell", "table_id": own, "parent_table": parent, "colspan": width, "v_state": state, "path": path} | at | around
+            out.append(made)
+            kept, images, nested = [], 0, 0
+            for seq, block in enumerate(_cell_blocks(cell)):
+                if block.tag == f"{W}tbl":
+                    name = f"{base}_cell_{r}_{column}_nested_{nested}"
+                    nested += 1
+                    out.append({"kind": "content", "seq": seq, "style": "table", "text": name} | at)
+                    _table(block, number, own, out, name, [*path, r, column, seq], {"parent_base": base, "parent_row": r, "parent_tc": c})
+                    continue
+                _, text, found = _paragraph(block)
+                if not kept or text != kept[-1]:
+                    out.append({"kind": "content", "seq": seq, "k": len(kept), "style": "p", "text": text} | at)
+                    kept.append(text)
+                for _, rid in found:
+                    out.append({"kind": "cell_image", "seq": seq, "k": images, "rid": rid} | at)
+                    images += 1
+            made |= {"text": " ".join(kept), "lines": "\n".join(kept)}
             column += width
     return own
 
 
 def docx_parts(packages: DataFrame) -> DataFrame:
-    """One flat table of word-processor files (doc_id, content): kind is block, table, cell, image, rel or error.
+    """One flat table of word-processor files (doc_id, content): kind is block, table, cell, content, cell_image, image, rel or error.
 
-    Nested tables are flattened with the id of the table around them. Columns not of a kind are null.
+    Nested tables are flattened with the id of the table around them. What a cell
+    holds is in order of `seq`: paragraphs (style `p`, with their number k) and
+    tables (style `table`, whose text is the base of it); a paragraph like the one
+    ahead is left out. Images of a cell are numbered by k. Columns not of a kind
+    are null.
     """
-    names = ["doc_id", "kind", "body_idx", "para_idx", "style", "text", "run_idx", "rid", "target", "table_id", "parent_table", "row", "tc", "colspan", "v_state", "lines", "base", "parent_base", "parent_row", "parent_tc"]
+    names = [
+        "doc_id", "kind", "body_idx", "para_idx", "style", "text", "run_idx", "rid", "target", "table_id", "parent_table", "row", "tc", "colspan", "v_state", "lines", "base", "parent_base", "parent_row", "parent_tc",
+        "seq", "k", "path",
+    ]
 
     strings = ("style", "text", "rid", "target", "v_state", "lines", "base", "parent_base")
 
     def frame_of(rows: list[dict]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=names)
-        for c in ("body_idx", "para_idx", "run_idx", "table_id", "parent_table", "row", "tc", "colspan", "parent_row", "parent_tc"):
+        for c in ("body_idx", "para_idx", "run_idx", "table_id", "parent_table", "row", "tc", "colspan", "parent_row", "parent_tc", "seq", "k"):
             frame[c] = frame[c].astype("Int64")
-        for c in strings:
+        for c in (*strings, "path"):
             frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
         return frame
 
@@ -188,10 +219,9 @@ def docx_parts(packages: DataFrame) -> DataFrame:
                         para += 1
                     elif child.tag == f"{W}tbl":
                         cells, tables = [], tables + 1
-                        add("table", body_idx=at, table_id=_table(child, number, None, cells, f"t{tables}"))
-                        for own, up, row, tc, span, state, text, lines, base, outer, outer_row, outer_tc in cells:
-                            add("cell", table_id=own, parent_table=up, row=row, tc=tc, colspan=span, v_state=state, text=text, lines=lines, base=base, parent_base=outer, parent_row=outer_row, parent_tc=outer_tc)
+                        add("table", body_idx=at, table_id=_table(child, number, None, cells, f"t{tables}", [tables], {}))
+                        rows += [{"doc_id": doc_id} | x for x in cells]
                 yield frame_of(rows)
 
-    kinds = {"doc_id": "long", "kind": "string"} | {c: "string" if c in strings else "long" for c in names[2:]}
+    kinds = {"doc_id": "long", "kind": "string"} | {c: "string" if c in strings else "array<long>" if c == "path" else "long" for c in names[2:]}
     return _few_rows(packages).select("doc_id", "content").mapInPandas(read, ", ".join(f"{k} {v}" for k, v in kinds.items()))

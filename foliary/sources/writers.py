@@ -28,6 +28,7 @@ RESOURCES = (("nsuri", _NCX, ("navPoint", "pageTarget", "navTarget", "navMap", "
 #: Files of a talking book that its package lists.
 LISTED = (("xml", "application/x-dtbook+xml"), ("opf", "text/xml"), ("smil", "application/smil"), ("ncx", "application/x-dtbncx+xml"), ("res", "application/x-dtbresource+xml"))
 UNTITLED = "제목 없음"
+IMAGE = "이미지"  # the alternative text of images, before their number
 STYLE = "body{line-height:1.6}figure{margin:1em 0}table{border-collapse:collapse}"
 CONTAINER = f'{_HEAD}<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="EPUB/package.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
 
@@ -56,7 +57,7 @@ def with_defaults(book: DataFrame) -> DataFrame:
 
 
 def placed_items(items: DataFrame) -> DataFrame:
-    """`items` with level (0 if no heading), first (of its document), was_open (an array: whether a section of each level is open ahead), depth and before (open sections after and ahead of a heading), h_no and p_no (running numbers of headings and pages)."""
+    """`items` with level (0 if no heading), first (of its document), was_open (an array: whether a section of each level is open ahead), depth and before (open sections after and ahead of a heading), h_no, p_no and i_no (running numbers of headings, pages and images)."""
     ahead = Window.partitionBy("doc_id").orderBy("sorted_no").rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy("doc_id").orderBy("sorted_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = items.withColumn("level", T.heading_level(F.when(F.col("type").rlike("^h[1-6]$"), F.col("type")).otherwise("p")))
@@ -66,6 +67,7 @@ def placed_items(items: DataFrame) -> DataFrame:
     rows = rows.withColumn("depth", F.when(F.col("level") > 0, depth))
     return rows.withColumns({
         "before": F.coalesce(F.last("depth", True).over(ahead), F.lit(0)), "h_no": F.count(F.when(F.col("level") > 0, 1)).over(so_far), "p_no": F.count(F.when(F.col("type") == "pagenum", 1)).over(so_far),
+        "i_no": F.count(F.when(F.col("type") == "image", 1)).over(so_far),
     })
 
 
@@ -122,12 +124,12 @@ def _image_entries(images: DataFrame, folder: str, first: int) -> DataFrame:
     return images.select("doc_id", place.alias("entry_ord"), _s(folder, F.col("elem_id"), ".", F.col("ext")).alias("path"), F.col("content").cast("binary").alias("content"))
 
 
-def _with_parts(items: DataFrame, cells: DataFrame | None, images: DataFrame | None) -> DataFrame:
+def _with_parts(items: DataFrame, cells: DataFrame | None, images: DataFrame | None, contents: DataFrame | None, cell_images: DataFrame | None, folder: str = "") -> DataFrame:
     """`items` with html and pars of their table and ext of their image. Tables are told by `seg`, their number in the document."""
     if cells is None:
         rows = items.withColumns({"html": F.lit(None).cast("string"), "pars": F.lit(None).cast("string")})
     else:
-        made = tables.rendered(cells).select("doc_id", F.regexp_extract("table_id", "^t([0-9]+)$", 1).cast("long").alias("table_no"), "html", "pars").withColumnRenamed("doc_id", "d")
+        made = tables.rendered(cells, contents, cell_images, folder).select("doc_id", F.regexp_extract("table_id", "^t([0-9]+)$", 1).cast("long").alias("table_no"), "html", "pars").withColumnRenamed("doc_id", "d")
         rows = items.join(made, (F.col("doc_id") == F.col("d")) & (F.col("seg") == F.col("table_no")) & (F.col("type") == "table"), "left").drop("d", "table_no")
     if images is None:
         return rows.withColumn("ext", F.lit("jpeg"))
@@ -135,18 +137,42 @@ def _with_parts(items: DataFrame, cells: DataFrame | None, images: DataFrame | N
     return rows.join(known, (F.col("doc_id") == F.col("d")) & (F.col("elem_id") == F.col("e")), "left").withColumn("ext", F.coalesce("own_ext", F.lit("jpeg"))).drop("d", "e", "own_ext")
 
 
-def daisy_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01", cells: DataFrame | None = None, images: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+def _all_images(cells: DataFrame | None, images: DataFrame | None, cell_images: DataFrame | None) -> DataFrame | None:
+    """doc_id, elem_id, ext, content of images between paragraphs and of those in cells that are shown."""
+    if cells is None or cell_images is None:
+        return images
+    named = tables.cell_images(cells, cell_images).select("doc_id", "elem_id", "ext", "content")
+    return named if images is None else images.select("doc_id", "elem_id", "ext", "content").unionByName(named)
+
+
+def _listed_images(made: DataFrame, images: DataFrame | None, folder: str) -> tuple[DataFrame, Column]:
+    """`made` with what the manifest has of images in cells, and that as a column."""
+    if images is None:
+        return made, F.lit("")
+    of_cells = images.where("elem_id like 'table%'")
+    item = _s('<item id="img_', F.col("elem_id"), f'" href="{folder}', F.col("elem_id"), ".", F.col("ext"), '" media-type="', T.mime_type(F.col("ext")), '"/>')
+    listed = of_cells.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(item)), "").alias("cell_items"))
+    return made.join(listed, "doc_id", "left"), F.coalesce("cell_items", F.lit(""))
+
+
+def daisy_entries(
+    book: DataFrame, items: DataFrame, as_of: str = "1970-01-01", cells: DataFrame | None = None, images: DataFrame | None = None, notes: DataFrame | None = None, contents: DataFrame | None = None,
+    cell_images: DataFrame | None = None,
+) -> DataFrame:
     """The files of a talking book, its five texts and then its images.
 
     `book`: doc_id, title, author, publisher, language, isbn; `items`: doc_id, elem_id, type, text, seg, sorted_no;
-    `cells`: as `tables.rendered` takes them; `images`: doc_id, elem_id, ext, content; `notes`: doc_id, ord, elem_id, text.
+    `cells` and `contents`: as `tables.rendered` takes them; `images`: doc_id, elem_id, ext, content; `cell_images`:
+    doc_id, table_id, row, tc, k, ext, content; `notes`: doc_id, ord, elem_id, text.
     """
-    rows = placed_items(_with_parts(items, cells, images))
+    rows = placed_items(_with_parts(items, cells, images, contents, cell_images))
+    images = _all_images(cells, images, cell_images)
+    alt = _s(f'alt="{IMAGE} ', F.col("i_no").cast("string"), '"')
     words, id_, kind, page = _words(F.col("text")), F.col("elem_id"), F.col("type") == "pagenum", F.col("p_no").cast("string")
     src = _s(id_, ".", F.col("ext"))
     element = (
         F.when(kind, _s('<pagenum id="', id_, '" page="normal" smilref="dtbook.smil#', _par(id_), '">', words, "</pagenum>"))
-        .when(F.col("type") == "image", _s('<imggroup id="', id_, '"><img id="', id_, '_img" src="', src, '" alt="image"/><caption id="', id_, '_caption">', words, "</caption></imggroup>"))
+        .when(F.col("type") == "image", _s('<imggroup id="', id_, '"><img id="', id_, '_img" src="', src, '" ', alt, '/><caption id="', id_, '_caption">', words, "</caption></imggroup>"))
         .when(F.col("type") == "table", _s('<table id="', id_, '">', F.coalesce(F.regexp_replace("html", "^<table>|</table>$", ""), F.lit("<tbody><tr><td></td></tr></tbody>")), "</table>"))
         .otherwise(_s("<", F.col("type"), ' id="', id_, '" smilref="dtbook.smil#', _par(id_), '">', words, "</", F.col("type"), ">"))
     )
@@ -164,7 +190,7 @@ def daisy_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01",
     else:
         listed = F.array_sort(F.collect_list(F.struct("ord", "elem_id", _words(F.col("text")).alias("text"))))
         made = made.join(notes.groupBy("doc_id").agg(listed.alias("targets")), "doc_id", "left")
-    made = with_defaults(book).join(made, "doc_id", "left")
+    made, of_cells = _listed_images(with_defaults(book).join(made, "doc_id", "left"), images, "")
     title, author, text = _words(F.col("title")), _words(F.col("author")), lambda c: F.coalesce(c, F.lit(""))
     uid = F.col("isbn")
     heads = F.coalesce("headings", F.lit(0))
@@ -179,7 +205,7 @@ def daisy_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01",
     dtbook = _s(_HEAD, f'<dtbook xmlns="{_DTBOOK}" version="2005-3"><head>', meta, "</head><book><frontmatter><doctitle>", title, "</doctitle><docauthor>", author, "</docauthor></frontmatter>", body, "</book></dtbook>")
     dc = _s("<metadata><dc-metadata><Title>", title, "</Title><Creator>", author, "</Creator><Publisher>", _words(F.col("publisher")), "</Publisher><Language>", F.col("language"), '</Language><Identifier id="uid">', uid, "</Identifier></dc-metadata></metadata>")
     fixed = "".join(f'<item id="{i}" href="dtbook.{i}" media-type="{m}"/>' for i, m in LISTED)
-    opf = _s(_HEAD, f'<package xmlns="{_OPF}" unique-identifier="uid">', dc, f"<manifest>{fixed}", text(_joined("image", "")), '</manifest><spine><itemref idref="smil"/></spine></package>')
+    opf = _s(_HEAD, f'<package xmlns="{_OPF}" unique-identifier="uid">', dc, f"<manifest>{fixed}", text(_joined("image", "")), of_cells, '</manifest><spine><itemref idref="smil"/></spine></package>')
     smil = _s(_HEAD, f'<smil xmlns="{_SMIL}"><head><meta name="dtb:uid" content="', uid, '"/></head><body><seq id="mseq">\n', text(_joined("smil")), "\n</seq></body></smil>")
     ncx = _s(
         _HEAD, f'<ncx xmlns="{_NCX}" version="2005-1"><head><meta name="dtb:uid" content="', uid, '"/><meta name="dtb:depth" content="', F.coalesce("deepest", F.lit(1)).cast("string"), '"/><meta name="dtb:totalPageCount" content="', n_pages.cast("string"),
@@ -208,14 +234,18 @@ def package_file(manifest: Column, spine: Column, as_of: str) -> Column:
     )
 
 
-def epub_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01T00:00:00Z", cells: DataFrame | None = None, images: DataFrame | None = None) -> DataFrame:
+def epub_entries(
+    book: DataFrame, items: DataFrame, as_of: str = "1970-01-01T00:00:00Z", cells: DataFrame | None = None, images: DataFrame | None = None, contents: DataFrame | None = None, cell_images: DataFrame | None = None,
+) -> DataFrame:
     """The files of an e-book: the type first, then container, package, navigation, title page, content, style and images."""
-    rows = placed_items(_with_parts(items, cells, images))
+    rows = placed_items(_with_parts(items, cells, images, contents, cell_images, "images/"))
+    images = _all_images(cells, images, cell_images)
+    alt = _s(f'alt="{IMAGE} ', F.col("i_no").cast("string"), '"')
     id_, kind = F.col("elem_id"), F.col("type")
     src = _s("images/", id_, ".", F.col("ext"))
     piece = (
         F.when(kind == "pagenum", _s('<span id="', id_, '" role="doc-pagebreak" epub:type="pagebreak" aria-label="', _words(F.col("text")), '"></span>'))
-        .when(kind == "image", _s('<figure id="', id_, '"><img src="', src, '" alt="image"/></figure>'))
+        .when(kind == "image", _s('<figure id="', id_, '"><img src="', src, '" ', alt, '/></figure>'))
         .when(kind == "table", _s('<table id="', id_, '">', F.coalesce(F.regexp_replace(F.regexp_replace("html", ' smilref="[^"]*"', ""), "^<table>|</table>$", ""), F.lit("<tbody><tr><td></td></tr></tbody>")), "</table>"))
         .when(F.col("text") == "", _s('<p id="', id_, '"><br/></p>'))
         .otherwise(_s("<", kind, ' id="', id_, '">', T.inline_markup(T.xml_safe(F.col("text"))), "</", kind, ">"))
@@ -225,12 +255,12 @@ def epub_entries(book: DataFrame, items: DataFrame, as_of: str = "1970-01-01T00:
         "content": piece, "nav": F.when(F.col("level") > 0, _nested(link("toc_"), "</li>", ("<ol>", "</ol>"))), "page": F.when(kind == "pagenum", _s(link("page_"), "</li>")),
         "image": F.when(kind == "image", _s('<item id="img_', id_, '" href="', src, '" media-type="', T.mime_type(F.col("ext")), '"/>')),
     })
-    made = with_defaults(book).join(made, "doc_id", "left")
+    made, of_cells = _listed_images(with_defaults(book).join(made, "doc_id", "left"), images, "images/")
     title, text = _words(F.col("title")), lambda c: F.coalesce(c, F.lit(""))
     head = _s(_HEAD, f'<html xmlns="{_XHTML}" xmlns:epub="{_OPS}" xml:lang="', F.col("language"), '"><head><title>', title, '</title><link rel="stylesheet" type="text/css" href="style.css"/></head><body>')
     ends = F.when(F.col("end_depth") > 0, _s("</li>", F.repeat(F.lit("</ol></li>"), (F.col("end_depth") - 1).cast("int")))).otherwise("")
     nav = _s(head, '<nav epub:type="toc" role="doc-toc"><ol><li id="toc_title"><a href="title.xhtml">', title, "</a></li>", text(_joined("nav")), ends, '</ol></nav><nav epub:type="page-list" role="doc-pagelist"><ol>', text(_joined("page")), "</ol></nav></body></html>")
-    manifest = _s('<item id="title" href="title.xhtml" media-type="application/xhtml+xml"/><item id="content" href="content.xhtml" media-type="application/xhtml+xml"/>', text(_joined("image", "")))
+    manifest = _s('<item id="title" href="title.xhtml" media-type="application/xhtml+xml"/><item id="content" href="content.xhtml" media-type="application/xhtml+xml"/>', text(_joined("image", "")), of_cells)
     package = package_file(manifest, F.lit('<itemref idref="title"/><itemref idref="content"/>'), as_of)
     content = _s(head, "\n", text(_joined("content")), "\n</body></html>")
     out = _entries(made, [

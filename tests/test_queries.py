@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from foliary.plans import books, more  # noqa: F401  (they add their queries)
+from foliary.plans import books, more, nested  # noqa: F401  (they add their queries)
 from foliary.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
