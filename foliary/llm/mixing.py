@@ -6,7 +6,7 @@ and no rate exceeds 2: the convex dual has one multiplier for each source, and
 rates are exponentially tilted, min(2, exp(multiplier * size / mean size)).
 Newton steps, kept within a bracket, find the multipliers; each is an
 aggregation over how many documents of each size a source has. Rates are then
-rounded into whole copies by a fixed hash, and a few passes give or take single
+rounded into whole copies by a fixed hash of id and text, and a few passes give or take single
 copies where the rounded words still miss the target.
 
 Scale: one pass over the texts counts words; all else works on a narrow table,
@@ -16,8 +16,10 @@ joined by source; nothing about single documents reaches the driver.
 
 Edge cases: null and empty texts have size 0 and are taken 0 words; null is a
 source of its own, the last; a source with no words has target 0; an empty
-table gives an empty result; repeated rows are rounded alike; other columns
-are ignored.
+table gives an empty result; other columns are ignored. Rows that share a doc_id
+(null ids too) are documents of their own, rounded by their texts; rows that share
+the text as well are numbered where they are read and rounded in even steps, so
+that part of them turns and not all.
 """
 
 from __future__ import annotations
@@ -45,15 +47,34 @@ _EXACT = "decimal(28,8)"
 _BROADCAST = 50_000
 
 
+#: Of the golden ratio's part after the point, 40 bits: steps of it fall evenly.
+_EVEN = 679_535_556_991
+
+
+def _words_and_places(text: pa.Array, row: pa.Array, seen: dict[int, int]) -> tuple[pa.Array, pa.Array]:
+    """Words of each text, and how many rows like it (by the hash `row`) the task has seen; `seen` counts them."""
+    n = [np.diff(ta.words(ta.from_arrow(text[i:j]))[2]) for i, j in ta.slices(text)]
+    places = []
+    for x in row.to_pylist():
+        places.append(seen.get(x, 0))
+        seen[x] = places[-1] + 1
+    return pa.array(np.concatenate(n), pa.int64()), pa.array(places, pa.int64())
+
+
+def _row(doc_id: str = "doc_id", text: str = "text"):
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size of each document: its words."""
+    """doc_id, source and size of each document, its words, with row (a hash of id and text) and nth (its place among rows alike in the task)."""
+    seen: dict[int, int] = {}  # every task has its own
 
     def batch(b: pa.RecordBatch) -> pa.Table:
-        n = [np.diff(ta.words(ta.from_arrow(b.column(2)[i:j]))[2]) for i, j in ta.slices(b.column(2))]
-        return pa.table({"doc_id": b.column(0), "source": b.column(1), "size": pa.array(np.concatenate(n), pa.int64())})
+        size, nth = _words_and_places(b.column(2), b.column(3), seen)
+        return pa.table({"doc_id": b.column(0), "source": b.column(1), "size": size, "row": b.column(3), "nth": nth})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cluster.map_batches(docs.select("doc_id", "source", "text"), batch, f"doc_id {kind}, source string, size long")
+    return cluster.map_batches(docs.select("doc_id", "source", "text", _row().alias("row")), batch, f"doc_id {kind}, source string, size long, row long, nth long")
 
 
 def _before(rows: DataFrame, order: list, parts: int, **values) -> DataFrame:
@@ -149,14 +170,15 @@ def multipliers(histogram: DataFrame, goals: DataFrame, n_sources: int) -> DataF
 
 
 def _choices(sized: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
-    """`sized` (doc_id, source, size and others) with the columns of `plan`, and rate, reach, copies and `turned`.
+    """`sized` (source, size, row, nth and others) with the columns of `plan`, and rate, reach, copies and `turned`.
 
     The repairs that the plan has so far are applied in turn.
     """
     rows = _by_source(sized, plan, n_sources)
     rate = F.when(F.col("full"), F.lit(float(MOST))).otherwise(_rate(F.col("multiplier"), F.col("size"), F.col("mean")))
-    # A number from 0 to 1 that the document fixes; it decides which way a rate is rounded.
-    draw = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "size"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # A number from 0 to 1 that the document fixes; it decides which way a rate is rounded. Rows alike take even steps from it.
+    step = F.pmod(F.col("nth"), F.lit(1 << 20)) * F.lit(_EVEN)
+    draw = F.pmod(F.pmod(F.xxhash64(F.lit("copies"), "row", "size"), F.lit(1 << 40)) + step, F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = rows.withColumn("rate", F.round(rate, 9)).withColumn("reach", F.col("rate") + draw)
     start = F.struct(F.least(F.floor("reach"), F.lit(MOST)).cast("int").alias("copies"), F.lit(False).alias("turned"))
 
@@ -220,21 +242,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repairs: int = REPAIRS) -> DataFrame:
     """The mix itself: each document with all its columns, as many times as it is taken. Texts are not shuffled.
 
-    Documents of size 0 (null, empty or blank texts) may be taken once or twice, as they take no words; repeated
-    rows are taken alike; columns keep their names, whatever these are; an empty table stays empty.
+    Documents of size 0 (null, empty or blank texts) may be taken once or twice, as they take no words; rows
+    that share id and text may be taken unlike; columns keep their names, whatever these are; an empty table stays empty.
     """
     plan, n = plan_mix(cluster.written(sizes(docs)), weights, share, repairs)
-    at = docs.columns.index("text")
+    at, seen = docs.columns.index("text"), {}
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        count = [np.diff(ta.words(ta.from_arrow(b.column(at)[i:j]))[2]) for i, j in ta.slices(b.column(at))]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(count), pa.int64())], [*b.schema.names, "__size"])
+        return pa.RecordBatch.from_arrays([*b.columns, *_words_and_places(b.column(at), b.column(len(b.columns) - 1), seen)], [*b.schema.names, "__size", "__nth"])
 
-    inner = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)))
+    inner = docs.select(*(F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(docs.columns)))
+    inner = inner.withColumn("__row", _row(f"__{docs.columns.index('doc_id')}", f"__{at}"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
-    sized = cluster.map_batches(inner, batch, f"{kinds}, `__size` long")
-    key, source = f"__{docs.columns.index('doc_id')}", f"__{docs.columns.index('source')}"
-    sized = sized.withColumns({"doc_id": F.col(key), "source": F.col(source), "size": F.col("__size")})
+    sized = cluster.map_batches(inner, batch, f"{kinds}, `__size` long, `__nth` long")
+    sized = sized.withColumns({"source": F.col(f"__{docs.columns.index('source')}"), "size": F.col("__size"), "row": F.col("__row"), "nth": F.col("__nth")})
     rows = _choices(sized, plan, n).where("copies > 0")
     rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
