@@ -211,11 +211,12 @@ def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
     """`rows` with `rank`, gapless from 0 within each length; lengths of many pieces are ranked by buckets."""
     spark = rows.sparkSession
     buckets = spark.createDataFrame([(k, -(-n // _RANKED)) for k, n in counts.items()], "length long, buckets long")
-    rows = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")))
+    # By the number of the written row, as many rows may share an id.
+    rows = rows.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("rid"), F.col("buckets")))
     sizes = rows.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "rid"))
     rows = rows.withColumn("place", place - 1).join(sizes, ["length", "bucket"])
     return rows.withColumn("rank", F.col("place") + F.col("before"))
 
@@ -223,7 +224,7 @@ def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
     spark = docs.sparkSession
-    parts = cluster.written(pieces(docs, tokenizer, capacity, end_id, with_ids))
+    parts = cluster.written(pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("rid", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
     rules = spark.createDataFrame(
         best_fit_decreasing(counts, capacity), "length long, first_rank long, end_rank long, first_sequence long, each long, first_offset long"
