@@ -470,7 +470,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
 
     Classes are told by component, as class_id may be null or that of another
     class too. Columns travel in a struct, so their names clash with none used
-    here. Of repeated rows one stays; only those are compared as a whole.
+    here. Of rows that share id and text the one of least hash stays, whatever
+    the partitions; only those are compared as a whole.
     """
     rows, texts = classes(docs, similarity, recall)
     chosen = texts.where(F.col("rep").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min(F.struct("rep", "key")).alias("x"))
@@ -481,5 +482,5 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
     packed = docs.select(own, _key(cluster.text_or_empty()).alias("key"), name("doc_id").alias("rep"))
     once = packed.join(chosen.where("not repeated"), ["key", "rep"], "left_semi").select("own")
-    first = packed.join(chosen.where("repeated"), ["key", "rep"], "left_semi").groupBy("key", "rep").agg(F.first("own").alias("own")).select("own")
+    first = packed.join(chosen.where("repeated"), ["key", "rep"], "left_semi").groupBy("key", "rep").agg(F.min_by("own", F.struct(F.xxhash64(F.to_json("own")), F.to_json("own"))).alias("own")).select("own")
     return once.unionByName(first).select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))

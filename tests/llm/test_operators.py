@@ -634,3 +634,34 @@ def test_keep_one_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame(docs, ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names))
     kept = ngram_join.keep_one(df)
     assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(set(docs))
+
+
+def test_mix_of_shared_ids(spark):
+    """A third of the rows without id, another third repeated as a whole: each source within two documents of its target."""
+    rows = [(None, f"w{i} " * 10, "a") for i in range(1000)] + [(7, "x " * 10, "b") for _ in range(1000)] + [(i, f"w{i} " * 10, "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).cache()
+    got = mixing.mix(df).collect()
+    taken, goal = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+    assert len(got) == 3000 and all(abs(taken[s] - goal[s]) <= 20 for s in goal)
+    kept = Counter(r.source for r in mixing.take(df).collect())
+    assert {s: 10 * n for s, n in kept.items()} == dict(taken)
+
+
+def test_shared_ids_do_not_crowd_a_bucket(spark):
+    rows = [(None if i % 3 else 5, 0, 0, 9, 1) for i in range(9000)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(6)
+    parts = parts.withColumn("rid", F.monotonically_increasing_id())
+    ranks = packing.ranked(parts, {9: 9000}).select("bucket", "rank").collect()
+    assert sorted(r.rank for r in ranks) == list(range(9000))
+    assert max(Counter(r.bucket for r in ranks).values()) < 2 * 9000 / -(-9000 // packing._RANKED)
+
+
+def test_keep_one_takes_the_same_row_whatever_the_partitions(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, f"s{i}", i) for i in range(30)] + [(2, text + " x", "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    kept = {tuple(ngram_join.keep_one(df.repartition(n, *c)).collect()) for n, c in ((1, ()), (5, ()), (7, ("source",)))}
+    assert len(kept) == 1 and len(next(iter(kept))) == 1
