@@ -19,7 +19,10 @@ from foliary.plans.queries import _read, query
 from foliary.sources import packages, store, writers
 
 LEVELS = 5
-_DOC = F.col("doc_id").cast("string")
+
+
+def _id() -> Column:
+    return F.col("doc_id").cast("string")
 
 
 def _p(*text: str | Column, image: Column | str = "") -> Column:
@@ -36,17 +39,17 @@ def _picture(n: int) -> Column:
 
 def _nest(level: int) -> Column:
     """The table of a level, with those below it."""
-    held = _p(_DOC, f" above {level}")
+    held = _p(_id(), f" above {level}")
     if level < LEVELS:
         inner = _nest(level + 1)
         wrapped = [inner, _control(inner), _control(_control(inner))][level % 3]
         held = F.concat(held, F.when(F.col("doc_id") % LEVELS + 1 > level, wrapped).otherwise(""))
-    return F.concat(F.lit("<w:tbl><w:tr><w:tc><w:tcPr/>"), held, _p(_DOC, f" below {level}", image=_picture(level)), F.lit("</w:tc></w:tr></w:tbl>"))
+    return F.concat(F.lit("<w:tbl><w:tr><w:tc><w:tcPr/>"), held, _p(_id(), f" below {level}", image=_picture(level)), F.lit("</w:tc></w:tr></w:tbl>"))
 
 
 def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, content of the files."""
-    small = lambda word, image="": F.concat(F.lit("<w:tbl><w:tr><w:tc>"), _p(_DOC, word, image=image), F.lit("</w:tc></w:tr></w:tbl>"))
+    small = lambda word, image="": F.concat(F.lit("<w:tbl><w:tr><w:tc>"), _p(_id(), word, image=image), F.lit("</w:tc></w:tr></w:tbl>"))
     merged = F.concat(
         F.lit('<w:tr><w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr>'), _p("over"), F.lit("</w:tc><w:tc>"), _p("one"), small(" first"), _control(F.concat(_p("two"), small(" second"), _control(_p("three")))), _p("three"), _p("four"),
         F.lit("</w:tc></w:tr><w:tr><w:tc><w:tcPr><w:vMerge/></w:tcPr>"), _p("under"), small(" hidden", _picture(7)), F.lit("</w:tc><w:tc>"), _p("", image=_picture(6)), _p("", image=_picture(7)), F.lit("</w:tc></w:tr>"),
@@ -54,7 +57,7 @@ def _docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit(f"<w:document {_W}><w:body>"), F.lit('<w:p><w:pPr><w:pStyle w:val="Heading 1"/></w:pPr><w:r><w:t>first</w:t></w:r></w:p>'), _nest(1), _p("between", image=_picture(8)), F.lit("<w:tbl>"), merged, F.lit("</w:tbl></w:body></w:document>"))
     rels = "".join(f'<Relationship Id="rId{n}" Type="{_REL}/image" Target="media/image{n}.{"png" if n % 2 else "gif"}"/>' for n in range(1, 9))
     docs = _read(spark, sf_dir, "documents").select("doc_id")
-    media = [(f"word/media/image{n}.{'png' if n % 2 else 'gif'}", F.concat(F.lit(f"image {n} of "), _DOC)) for n in range(1, 9)]
+    media = [(f"word/media/image{n}.{'png' if n % 2 else 'gif'}", F.concat(F.lit(f"image {n} of "), _id())) for n in range(1, 9)]
     return store.written(writers.archives(writers._entries(docs, [("word/document.xml", body), ("word/_rels/document.xml.rels", F.lit(f"<Relationships>{rels}</Relationships>")), *media])))
 
 
