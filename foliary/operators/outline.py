@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliary.operators import scan
+
 LEVELS = range(1, 7)
 
 
@@ -41,6 +43,24 @@ def outline(heads: DataFrame, key: list[str] = ["doc_id"]) -> DataFrame:  # noqa
     return out.withColumn("needs_top", (F.col("level") > 1) & F.col("section_ord").isNull())
 
 
+def long_outline(heads: DataFrame, key: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+    """The same as `outline`, by a scan of ranges: for documents of which one may hold most headings, or a whole table as one."""
+    level, order = F.col("level"), F.col("ord")
+    last = {f"__last_{k}": ("max", F.when(level == k, order)) for k in LEVELS}
+    found = scan.running(heads, key, ["ord"], {"__n": ("sum", F.lit(1)), **last})
+    lasts = [F.col(f"__last_{k}") for k in LEVELS]
+    latest = lambda upto: F.greatest(F.lit(None).cast("long"), F.lit(None).cast("long"), *(x.cast("long") for x in lasts[:upto]))
+
+    def section(k: int):
+        open_ = F.when(lasts[k - 2] > F.coalesce(latest(k - 2), F.lit(0)), lasts[k - 2])
+        return F.when(level == k, F.coalesce(open_, lasts[0]))
+
+    out = found.withColumns({
+        "parent_ord": F.coalesce(*(F.when(level == k, latest(k - 1)) for k in LEVELS if k > 1)), "section_ord": F.coalesce(*(section(k) for k in LEVELS if k > 1)), "play_order": F.col("__n") + 1,
+    })
+    return out.withColumn("needs_top", (level > 1) & F.col("section_ord").isNull()).drop("__n", *last)
+
+
 def depth(heads: DataFrame) -> DataFrame:
     """doc_id, depth: the greatest level, 1 at least and 6 at most."""
     return heads.groupBy("doc_id").agg(F.least(F.greatest(F.coalesce(F.max("level"), F.lit(0)), F.lit(1)), F.lit(6)).cast("long").alias("depth"))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
+from foliary.operators import scan
 
 
 def without_repeats(rows: DataFrame, key: list[str], order: str, text: str = "text") -> DataFrame:
-    """Rows whose text differs from that of the row ahead."""
-    ahead = F.lag(text).over(Window.partitionBy(*key).orderBy(order))
-    return rows.withColumn("__ahead", ahead).where(F.col("__ahead").isNull() | (F.col("__ahead") != F.col(text))).drop("__ahead")
+    """Rows whose text differs from that of the row ahead, found by a scan of ranges: a key may hold any share of the rows."""
+    found = scan.running(rows, key, [order], {"__ahead": ("last", F.struct(F.col(text).alias("x")))})
+    return found.where(F.col("__ahead.x").isNull() | (F.col("__ahead.x") != F.col(text))).drop("__ahead")
 
 
 def islands(rows: DataFrame, key: list[str], order: str, kind) -> DataFrame:

@@ -10,6 +10,7 @@ from foliary.operators import blocks, diff, integrity, jobs, runs
 from foliary.plans.queries import _FINDINGS, _JOBS, _LATEST, _LINES, _events, _findings, _read, job_latest, query
 from foliary.sources import packages, store
 from foliary.streaming import jobs as stream
+from foliary.streaming import state
 
 # Uploads: an event is a file of a batch.
 _NAME = "'f' || CAST(event_id AS VARCHAR(20)) || CASE event_id % 4 WHEN 0 THEN '.docx' WHEN 1 THEN '.DOCX' WHEN 2 THEN '.zip' ELSE '.docx.txt' END"
@@ -267,5 +268,38 @@ def channel_stream(spark, sf_dir):
 
 @query(f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, status, count(*) AS n FROM ({_JOBS}) GROUP BY ALL")
 def hourly_stream(spark, sf_dir):
-    """Events by hour and status; the files of the table come in one batch, so no event is late."""
+    """Events by hour and status; all files of the table come in one batch, so no event is late."""
     return stream.store(stream.by_window(_event_stream(spark, sf_dir)), _folder(spark), ["start", "status"])
+
+
+# Jobs in the state store: silent for six hours they stall, for a day they expire.
+_STALL, _EXPIRY = 6 * 3600, 24 * 3600
+_SESSIONS = f"""WITH e AS (SELECT 'job:' || CAST(user_id AS VARCHAR) AS job_id, event_id, epoch_us(ts) AS us, event_type AS status FROM events), lim AS (SELECT max(us) AS upto FROM e),
+  g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {_EXPIRY}000000 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY job_id ORDER BY us, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY us, event_id) AS run FROM g),
+  cur AS (SELECT n.* FROM n JOIN (SELECT job_id, max(run) AS run, max(us) AS last FROM n GROUP BY job_id) m USING (job_id, run), lim WHERE last + {_EXPIRY}000000 > upto)"""
+
+
+def _job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row that the state processor sent of each job."""
+    rows = _event_stream(spark, sf_dir)
+    pairs = F.create_map(F.lit("status"), F.col("status"), F.concat(F.lit("part"), (F.col("event_id") % 5).cast("string")), F.col("event_id").cast("string"))
+    pairs = rows.select("event_id", "job_id", "ts", "status", F.explode(pairs).alias("k", "v"))
+    with state.state_store(spark):
+        return stream.store(state.job_states(pairs, "signup", ("purchase", "error"), _STALL, _EXPIRY), _folder(spark), ["job_id"])
+
+
+@query(f"""{_SESSIONS}, kv AS (SELECT job_id, us, event_id, 'status' AS k, status AS v FROM cur UNION ALL SELECT job_id, us, event_id, 'part' || event_id % 5, CAST(event_id AS VARCHAR) FROM cur),
+  l AS (SELECT job_id, k, arg_max(v, (us, event_id)) AS v FROM kv GROUP BY ALL), t AS (SELECT job_id, max(us) AS last FROM cur GROUP BY job_id) SELECT job_id, last, string_agg(k || '=' || v, '|' ORDER BY k) AS meta FROM l JOIN t USING (job_id) GROUP BY ALL""")
+def job_store_stream(spark, sf_dir):
+    """Metas of live jobs, merged key by key in the state store; a job that was silent for a day is gone, or has begun anew."""
+    rows = _job_states(spark, sf_dir).where("live")
+    pairs = F.array_sort(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.select("job_id", "last", F.array_join(pairs, "|").alias("meta"))
+
+
+@query(f"""{_SESSIONS}, b AS (SELECT job_id, max(us) AS last, min(us) FILTER (WHERE status = 'signup') AS started FROM cur GROUP BY job_id), f AS (SELECT job_id, min(us) AS ended FROM cur JOIN b USING (job_id) WHERE status IN ('purchase', 'error') AND us >= started GROUP BY job_id),
+  r AS (SELECT job_id, started, ended, last, ended IS NULL AND last + {_STALL}000000 <= upto AS stalled FROM b LEFT JOIN f USING (job_id), lim)
+  SELECT job_id, started, ended, coalesce(ended, CASE WHEN stalled THEN last + {_STALL}000000 ELSE last END) - started AS elapsed, stalled FROM r""")
+def job_elapsed_stream(spark, sf_dir):
+    """How long live jobs took from their start: frozen at their end, told by a timer where they fell silent."""
+    return _job_states(spark, sf_dir).where("live").select("job_id", "started", "ended", "elapsed", "stalled")

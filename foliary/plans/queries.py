@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.operators import blocks, diff, integrity, items, jobs, lookups, outline, runs, tables
+from foliary.operators import blocks, diff, integrity, items, jobs, lookups, outline, runs, scan, tables
 
 #: The recipe, the same text in both dialects; i is the line's number from 0.
 BROKEN = "CASE WHEN i % 4 = 1 AND instr(line, ', ') > 0 THEN substr(line, 1, instr(line, ', ') - 1) || '<br/>' || substr(line, instr(line, ', ') + 2) ELSE line END"
@@ -254,6 +254,17 @@ def toc_parents(spark, sf_dir):
     return outline.outline(_heads(spark, sf_dir)).select("doc_id", "ord", "level", "parent_ord", "play_order")
 
 
+_LONG = f"{_HEADS}, long AS (SELECT CASE WHEN doc_id % 10 = 0 THEN doc_id ELSE -1 END AS book, doc_id * 1000000 + ord AS ord, level FROM heads)"
+
+
+@query(f"{_LONG} SELECT book, ord, level, {_PARENT} AS parent_ord, {_SECTION} AS section_ord, row_number() OVER (PARTITION BY book ORDER BY ord) AS play_order FROM long {_W.replace('doc_id', 'book')}")
+def long_outline(spark, sf_dir):
+    """Nine in ten documents bound into one book: its outline by ranges, in no one task."""
+    book = F.when(F.col("doc_id") % 10 == 0, F.col("doc_id")).otherwise(-1).cast("long")
+    heads = _heads(spark, sf_dir).select(book.alias("book"), (F.col("doc_id") * 1_000_000 + F.col("ord")).alias("ord"), "level")
+    return outline.long_outline(heads, ["book"]).select("book", "ord", "level", "parent_ord", "section_ord", "play_order")
+
+
 @query(f"{_HEADS} SELECT doc_id, ord, level, {_SECTION} AS section_ord, level > 1 AND {_SECTION} IS NULL AS needs_top FROM heads {_W}")
 def dtbook_parents(spark, sf_dir):
     return outline.outline(_heads(spark, sf_dir)).select("doc_id", "ord", "level", "section_ord", "needs_top")
@@ -282,17 +293,14 @@ def content_docs(spark, sf_dir):
   UNION ALL SELECT 3, c_name, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
   SELECT CAST(level AS BIGINT) AS level, label, path, row_number() OVER (ORDER BY path) AS play_order FROM n""")
 def outline_regions(spark, sf_dir):
-    """A ready outline of three levels; its play order is global, so it ranks within ranges of the path."""
+    """A ready outline of three levels; its play order is global, so it counts along ranges of the whole path."""
     region, nation, customer = (_read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     two = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     three = customer.join(two, F.col("c_nationkey") == F.col("n_nationkey"))
     pick = lambda df, n, label, *path: df.select(F.lit(n).cast("long").alias("level"), F.col(label).alias("label"), F.concat_ws("/", *path).alias("path"))
     rows = pick(region, 1, "r_name", "r_name").unionByName(pick(two, 2, "n_name", "r_name", "n_name")).unionByName(pick(three, 3, "c_name", "r_name", "n_name", "c_name"))
-    rows = rows.withColumn("top", F.split("path", "/")[0])
-    before = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("top").agg(F.count("*").alias("n")).select("top", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("top").orderBy("path"))
-    return rows.withColumn("place", place).join(sizes, "top").select("level", "label", "path", (F.col("place") + F.col("before")).alias("play_order"))
+    counted = scan.running(rows, [], ["path"], {"n": ("sum", F.lit(1))})
+    return counted.select("level", "label", "path", (F.col("n") + 1).alias("play_order"))
 
 
 # Tables: an order is a table; its lines are rows, each of up to three cells.

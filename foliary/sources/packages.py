@@ -63,12 +63,15 @@ def zip_entries(packages: DataFrame) -> DataFrame:
 
 
 def _walk(root: ElementTree.Element) -> Iterator[tuple]:
-    """node_id, ancestors, ord, depth, element in document order."""
+    """node_id, last_id (of the last element below), ancestors, ord, depth, element in document order."""
+    sizes: dict[ElementTree.Element, int] = {}
+    for e in reversed(list(root.iter())):  # those below an element come ahead of it
+        sizes[e] = 1 + sum(sizes[c] for c in e)
     stack, n = [(root, [], 0)], 0
     while stack:
         e, parents, ord_ = stack.pop()
         own, n = n, n + 1
-        yield own, parents, ord_, len(parents), e
+        yield own, own + sizes[e] - 1, parents, ord_, len(parents), e
         below = [*parents, own]
         stack += [(c, below, i) for i, c in reversed(list(enumerate(e)))]
 
@@ -79,26 +82,26 @@ def _local(tag: str) -> tuple[str, str]:
 
 
 def xml_nodes(entries: DataFrame) -> DataFrame:
-    """All elements of XML entries (doc_id, path, content): file, node_id (in document order), parent_id, ord, depth, ancestors (from the root), ns, tag, attrs, text, tail, error."""
+    """All elements of XML entries (doc_id, path, content): file, node_id (in document order), last_id (of the last element below it, or its own), parent_id, ord, depth, ancestors (from the root), ns, tag, attrs, text, tail, error."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "file", "node_id", "parent_id", "ord", "depth", "ancestors", "ns", "tag", "attrs", "text", "tail", "error"]
+        names = ["doc_id", "file", "node_id", "last_id", "parent_id", "ord", "depth", "ancestors", "ns", "tag", "attrs", "text", "tail", "error"]
         for part in parts:
             for doc_id, path, content in zip(part["doc_id"], part["path"], part["content"], strict=True):
                 rows = []
                 try:
                     root = ElementTree.fromstring(content)
                 except (ElementTree.ParseError, TypeError) as e:
-                    rows.append((doc_id, path, 0, None, 0, 0, [], None, None, None, None, None, str(e)))
+                    rows.append((doc_id, path, 0, 0, None, 0, 0, [], None, None, None, None, None, str(e)))
                 else:
-                    for own, parents, ord_, depth, x in _walk(root):
+                    for own, last, parents, ord_, depth, x in _walk(root):
                         ns, tag = _local(x.tag)
-                        rows.append((doc_id, path, own, parents[-1] if parents else None, ord_, depth, parents, ns, tag, {_local(k)[1]: v for k, v in x.attrib.items()}, x.text, x.tail, None))
+                        rows.append((doc_id, path, own, last, parents[-1] if parents else None, ord_, depth, parents, ns, tag, {_local(k)[1]: v for k, v in x.attrib.items()}, x.text, x.tail, None))
                 frame = pd.DataFrame(rows, columns=names)
                 frame["parent_id"] = frame["parent_id"].astype("Int64")
                 yield frame
 
-    schema = "doc_id long, file string, node_id long, parent_id long, ord long, depth int, ancestors array<long>, ns string, tag string, attrs map<string,string>, text string, tail string, error string"
+    schema = "doc_id long, file string, node_id long, last_id long, parent_id long, ord long, depth int, ancestors array<long>, ns string, tag string, attrs map<string,string>, text string, tail string, error string"
     entries = _few_rows(entries)
     return entries.select("doc_id", "path", "content").mapInPandas(read, schema)
 

@@ -12,9 +12,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 from foliary.operators import jobs
 
 
-def read(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int = 1) -> DataFrame:
-    """A stream of event files that arrive under `path`, of the schema of `like`."""
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+def read(spark: SparkSession, path: str, like: DataFrame, files_a_batch: int | None = None) -> DataFrame:
+    """A stream of event files that arrive under `path`, of the schema of `like`.
+
+    A batch takes all files that are there, so that none of them is late against
+    another, or `files_a_batch`, where files come in order of time.
+    """
+    rows = spark.readStream.schema(like.schema)
+    return (rows.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else rows).parquet(path)
 
 
 def from_channel(messages: DataFrame, prefix: str) -> DataFrame:

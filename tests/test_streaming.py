@@ -14,7 +14,7 @@ def arriving(spark, path, batches):
         df = spark.createDataFrame(at, "event_id long, job_id string, hour long, status string, progress long")
         df = df.select("event_id", "job_id", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=F.col("hour").cast("int"))).alias("ts"), "status", "progress")
         df.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return stream.read(spark, f"{path}/in", spark.createDataFrame([], SCHEMA))
+    return stream.read(spark, f"{path}/in", spark.createDataFrame([], SCHEMA), 1)
 
 
 def test_last_states(spark, tmp_path):
