@@ -50,6 +50,19 @@ def batch_metadata(batches: DataFrame) -> DataFrame:
     return rows.select("batch_id", F.col("pos").cast("long").alias("pos"), "x.*")
 
 
+def any_meta(rows: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """`rows` with shape (object, array, varchar ... or malformed), entries (how many, of an array) and `fields` (name: path and type) of JSON whose shape differs by row.
+
+    A field that is not there, or is of a type that cannot be read as the one asked for, is null.
+    """
+    found = rows.withColumn("__v", F.try_parse_json(column))
+    kind = F.regexp_extract(F.lower(F.schema_of_variant("__v")), "^[a-z]+", 0)
+    shape = F.when(F.col("__v").isNull(), "malformed").otherwise(kind)
+    entries = F.when(shape == "array", F.size(F.try_variant_get("__v", "$", "array<variant>")).cast("long"))
+    values = {name: F.try_variant_get("__v", path, kind) for name, (path, kind) in fields.items()}
+    return found.withColumns({"shape": shape, "entries": entries, **values}).drop("__v")
+
+
 def with_metadata(files: DataFrame, entries: DataFrame) -> DataFrame:
     """Files with the entry at their position; entries without a file are left out."""
     return files.join(entries, ["batch_id", "pos"], "left")
@@ -63,11 +76,14 @@ def merged(old: Column, new: Column) -> Column:
 def upserted(state: DataFrame, changes: DataFrame, as_of: Column, seconds: int = 86_400) -> DataFrame:
     """job_id, ts, meta: `state` with the latest of `changes` (job_id, ts, event_id, meta) merged over it, without jobs that expired.
 
-    Changes of a job are merged in their order, so later values stand.
+    Of each key the last value stands.
     """
-    one = changes.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.map_entries("meta").alias("meta")))).alias("x"))
     empty = F.create_map().cast("map<string,string>")
-    one = one.select("job_id", F.array_max("x.ts").alias("new_ts"), F.aggregate("x.meta", empty, lambda a, m: merged(a, F.map_from_entries(m))).alias("new_meta"))
+    # The last value of each key, combined in every task; then a map of as many entries as a job has keys.
+    pairs = changes.select("job_id", "ts", "event_id", F.explode_outer("meta").alias("k", "v"))
+    last = pairs.groupBy("job_id", "k").agg(F.max_by("v", F.struct("ts", "event_id")).alias("v"), F.max("ts").alias("ts"))
+    entries = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))
+    one = last.groupBy("job_id").agg(F.max("ts").alias("new_ts"), F.map_from_entries(entries).alias("new_meta"))
     both = state.join(one, "job_id", "full_outer")
     both = both.select("job_id", F.greatest("ts", "new_ts").alias("ts"), merged(F.coalesce("meta", empty), F.coalesce("new_meta", empty)).alias("meta"))
     return both.where(F.col("ts") >= as_of - F.expr(f"INTERVAL {seconds} SECONDS"))

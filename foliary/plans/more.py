@@ -303,3 +303,28 @@ def job_store_stream(spark, sf_dir):
 def job_elapsed_stream(spark, sf_dir):
     """How long live jobs took from their start: frozen at their end, told by a timer where they fell silent."""
     return _job_states(spark, sf_dir).where("live").select("job_id", "started", "ended", "elapsed", "stalled")
+
+
+# Subscriptions: a signup opens one to its job, for 1 to 48 hours.
+@query("""WITH e AS (SELECT event_id, 'job:' || CAST(user_id AS VARCHAR) AS job_id, ts, event_type FROM events), s AS (SELECT 's' || CAST(event_id AS VARCHAR) AS subscriber, job_id, ts AS begins, ts + to_hours(1 + event_id % 48) AS ends FROM e WHERE event_type = 'signup'),
+  m AS (SELECT * FROM e WHERE event_type <> 'signup'), lim AS (SELECT least((SELECT max(ts) FROM m), (SELECT max(begins) FROM s)) AS upto), j AS (SELECT event_id, m.job_id, m.ts, subscriber FROM m LEFT JOIN s ON s.job_id = m.job_id AND ts >= begins AND ts < ends)
+  SELECT event_id, job_id, subscriber FROM j, lim WHERE subscriber IS NOT NULL OR ts < upto""")
+def subscriber_messages(spark, sf_dir):
+    """Messages of jobs by subscriber, by a join of two streams; those that nobody hears come with none, as far as the watermark tells."""
+    rows = _event_stream(spark, sf_dir)
+    opened = _event_stream(spark, sf_dir).where("status = 'signup'").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("subscriber"), "job_id", F.col("ts").alias("begins"), (F.col("ts") + F.make_interval(hours=(1 + F.col("event_id") % 48).cast("int"))).alias("ends"))
+    found = stream.heard(rows.where("status <> 'signup'"), opened)
+    return stream.appended(found.select("event_id", "job_id", "subscriber"), _folder(spark))
+
+
+# Metas of any shape: objects, arrays, numbers, strings and broken text, by rule.
+_SHAPES = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": "' || CAST(event_id AS VARCHAR(20)) || '", "tags": ["a", "b' || CAST(event_id % 3 AS VARCHAR(20)) || '"]}' WHEN 2 THEN '[' || props || ', {"k": ' || CAST(event_id AS VARCHAR(20)) || '.5}]' WHEN 3 THEN '{"k": {"deep": [1, 2, ' || CAST(event_id AS VARCHAR(20)) || ']}}' WHEN 4 THEN '{"k": ' || CAST(event_id AS VARCHAR(20)) ELSE '{"k": null, "title": true}' END"""
+
+
+@query(f"""WITH m AS (SELECT event_id, {_SHAPES} AS meta FROM events), j AS (SELECT event_id, TRY_CAST(CASE WHEN json_valid(meta) THEN meta END AS JSON) AS v FROM m)
+  SELECT event_id, CASE WHEN v IS NULL THEN 'malformed' ELSE lower(json_type(v)) END AS shape, TRY_CAST(json_extract_string(v, '$.k') AS BIGINT) AS number, json_extract_string(v, '$.tags[1]') AS tag, TRY_CAST(json_extract_string(v, '$.k.deep[2]') AS BIGINT) AS deep,
+    TRY_CAST(json_extract_string(v, '$[1].k') AS DOUBLE) AS second, CAST(CASE WHEN json_type(v) = 'ARRAY' THEN json_array_length(v) END AS BIGINT) AS entries FROM j""")
+def any_metas(spark, sf_dir):
+    """Fields of metas whose shape differs by row; those that cannot be read are told as malformed."""
+    rows = _read(spark, sf_dir, "events").select("event_id", F.expr(_SHAPES).alias("meta"))
+    return jobs.any_meta(rows, "meta", {"number": ("$.k", "bigint"), "tag": ("$.tags[1]", "string"), "deep": ("$.k.deep[2]", "bigint"), "second": ("$[1].k", "double")}).select("event_id", "shape", "number", "tag", "deep", "second", "entries")

@@ -48,6 +48,21 @@ def enriched(events: DataFrame, dim: DataFrame) -> DataFrame:
     return events.join(dim, "job_id", "left")
 
 
+def heard(messages: DataFrame, subscriptions: DataFrame, longest: str = "48 hours", late: str = "0 seconds") -> DataFrame:
+    """Every message of a job with each subscriber that listens just then; null where none does.
+
+    `messages` has event_id, job_id and ts; `subscriptions` subscriber, job_id,
+    begins and ends, which is at most `longest` behind. Both sides keep state only
+    as long as the other may still have a row that matches: messages until the
+    watermark is past them, subscriptions for `longest`. A message that nobody
+    hears is told once the watermark is past it.
+    """
+    said = messages.select("event_id", "job_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    held = subscriptions.select("subscriber", F.col("job_id").alias("of"), F.col("begins").cast("timestamp").alias("begins"), F.col("ends").cast("timestamp").alias("ends")).withWatermark("begins", late)
+    listens = (F.col("job_id") == F.col("of")) & (F.col("ts") >= F.col("begins")) & (F.col("ts") <= F.col("begins") + F.expr(f"INTERVAL {longest}")) & (F.col("ts") < F.col("ends"))
+    return said.join(held, listens, "left_outer").select("event_id", "job_id", "ts", "subscriber")
+
+
 def by_window(events: DataFrame, length: str = "1 hour", watermark: str = "24 hours") -> DataFrame:
     """Events by window of `length` and status; windows leave the state store once the watermark is past them."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
@@ -72,3 +87,10 @@ def store(states: DataFrame, folder: str, key: list[str]) -> DataFrame:
     others = [c for c in states.columns if c not in key]
     last = rows.groupBy(*key).agg(F.max_by(F.struct(*others), "batch").alias("x")) if others else rows.select(*key).distinct()
     return last.select(*key, *(F.col(f"x.{c}").alias(c) for c in others)).select(states.columns)
+
+
+def appended(rows: DataFrame, folder: str) -> DataFrame:
+    """Runs `rows` over what is there into a table under `folder` and reads it; a file sink commits by batch, so a batch that is sent again counts once."""
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")

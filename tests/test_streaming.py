@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliary.streaming import jobs as stream
+from foliary.streaming import state
 
 SCHEMA = "event_id long, job_id string, ts timestamp, status string, progress long"
 
@@ -36,3 +37,38 @@ def test_fan_out_sends_each_change_once(spark, tmp_path):
     for _ in range(2):  # a second run has nothing new to send
         stream.fan_out(stream.last_states(events), lambda df, n: sent.setdefault(n, []).extend(sorted((r.job_id, r.status) for r in df.collect())), f"{tmp_path}/cp").awaitTermination()
     assert list(sent.values()) == [[("a", "queued")], [("a", "finished"), ("b", "queued")]] or list(sent.values()) == [[("a", "finished"), ("b", "queued")], [("a", "finished")]]
+
+
+def told(spark, path, batches, folder):
+    """The last row that the state processor sent of each job, over batches of one file each."""
+    rows = arriving(spark, path, batches)
+    pairs = rows.select("event_id", "job_id", "ts", "status", F.lit("k").alias("k"), F.col("status").alias("v"))
+    with state.state_store(spark):
+        out = stream.store(state.job_states(pairs, "started", ("finished",), 6 * 3600, 24 * 3600), folder, ["job_id"])
+        return {r.job_id: r for r in out.collect()}
+
+
+def test_jobs_stall_end_and_expire_by_timers(spark, tmp_path):
+    batches = [[(1, "a", 0, "started"), (2, "b", 0, "started"), (3, "c", 0, "queued")], [(4, "b", 2, "finished"), (5, "c", 3, "started")], [(6, "d", 12, "started")], [(7, "e", 25, "queued")]]
+    got = told(spark, tmp_path, batches, f"{tmp_path}/out")
+    hour = 3_600_000_000
+    assert not got["a"].live and got["b"].live and (got["b"].elapsed, got["b"].stalled) == (2 * hour, False)
+    assert (got["c"].elapsed, got["c"].stalled) == (6 * hour, True)  # silent from hour 3 on
+    assert (got["d"].elapsed, got["d"].stalled) == (6 * hour, True) and not got["e"].stalled
+    held = spark.read.format("statestore").option("stateVarName", "job").load(f"{tmp_path}/out/checkpoint")
+    assert held.count() == 4  # a has left the store
+
+
+def test_state_goes_on_after_a_restart(spark, tmp_path):
+    first = told(spark, tmp_path, [[(1, "a", 0, "started")]], f"{tmp_path}/out")
+    then = told(spark, tmp_path, [[(2, "a", 3, "finished"), (3, "b", 4, "started")]], f"{tmp_path}/out")
+    assert first["a"].ended is None and then["a"].elapsed == 3 * 3_600_000_000 and then["b"].live
+    again = told(spark, tmp_path, [[(4, "a", 40, "started")]], f"{tmp_path}/out")
+    assert again["a"].elapsed == 0 and again["a"].meta == {"k": "started"} and not again["b"].live
+
+
+def test_state_does_not_hang_on_batches(spark, tmp_path):
+    events = [(1, "a", 0, "started"), (2, "a", 30, "queued"), (3, "a", 31, "started"), (4, "b", 32, "started"), (5, "a", 33, "finished"), (6, "b", 50, "queued")]
+    one = told(spark, tmp_path / "one", [events], f"{tmp_path}/out1")
+    many = told(spark, tmp_path / "many", [[e] for e in events], f"{tmp_path}/out2")
+    assert {k: tuple(r) for k, r in one.items()} == {k: tuple(r) for k, r in many.items()}
