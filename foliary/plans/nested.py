@@ -17,6 +17,7 @@ from foliary.operators import lookups
 from foliary.plans.books import _REL, _W, _book
 from foliary.plans.queries import _read, query
 from foliary.sources import packages, store, writers
+from foliary.streaming import jobs
 
 LEVELS = 5
 
@@ -126,3 +127,16 @@ def image_owners(spark, sf_dir):
     """The nearest cell, table or paragraph around each image by its path in the file's XML, and the first text there."""
     nodes = packages.xml_nodes(packages.zip_entries(_docx(spark, sf_dir)).where("path = 'word/document.xml'"))
     return lookups.image_owners(nodes).select("doc_id", "rid", "owner", "first")
+
+
+@query("""WITH m AS (SELECT * FROM (VALUES (0, 'word/document.xml'), (1, 'word/_rels/document.xml.rels')) v(ord, path) UNION ALL SELECT n + 1, 'word/media/image' || n || CASE WHEN n % 2 = 1 THEN '.png' ELSE '.gif' END FROM range(1, 9) r(n))
+  SELECT doc_id, CAST(ord AS BIGINT) AS ord, path, CASE WHEN ord > 1 THEN sha256('image ' || (ord - 1) || ' of ' || CAST(doc_id AS VARCHAR)) END AS sha256, way FROM documents, m, (VALUES ('batch'), ('stream')) w(way)""")
+def packages_source(spark, sf_dir):
+    """Files written as a data source with a commit, and read back by it entry by entry, in a batch and as a stream."""
+    folder = store.new_folder(spark, "packages")
+    writers.save(_docx(spark, sf_dir), folder, "docx")
+    found = spark.read.format("packages").option("glob", "*.docx").load(folder).withColumn("way", F.lit("batch"))
+    arriving = spark.readStream.format("packages").option("glob", "*.docx").load(folder).withColumn("way", F.lit("stream"))
+    rows = found.unionByName(jobs.appended(arriving, store.new_folder(spark, "stream")))
+    sha = F.when(F.col("ord") > 1, F.sha2("content", 256))
+    return rows.select(F.regexp_extract("file", "([0-9]+)[.]docx$", 1).cast("long").alias("doc_id"), "ord", "path", sha.alias("sha256"), "way")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from foliary.functions import text as T
 from foliary.operators import outline, tables
 from foliary.operators.integrity import ROOTS
+from foliary.sources import datasource
 
 # Names and types that the formats prescribe.
 _HEAD = '<?xml version="1.0" encoding="utf-8"?>\n'
@@ -285,22 +286,12 @@ def archives(entries: DataFrame) -> DataFrame:
 
 
 def save(packages: DataFrame, folder: str, suffix: str) -> DataFrame:
-    """Writes each archive to folder/doc_id.suffix from the executors, and gives back doc_id, path, size once run.
+    """Writes each archive (doc_id, content) to folder/doc_id.suffix from the executors, as a whole or not at all; gives back doc_id, path, size of what is there.
 
-    `folder` may be a path that all executors share or any URI that Arrow's file systems open. Writing anew gives the same file.
+    `folder` may be a path that all executors share or any URI that Arrow's file systems open.
     """
-
-    def write(parts):
-        from pyarrow import fs
-
-        for part in parts:
-            store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-            store.create_dir(base)
-            paths = []
-            for doc_id, content in zip(part["doc_id"], part["content"], strict=True):
-                paths.append(f"{base}/{doc_id}.{suffix}")
-                with store.open_output_stream(paths[-1]) as f:
-                    f.write(content)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "path": paths, "size": [len(c) for c in part["content"]]})
-
-    return packages.mapInPandas(write, "doc_id long, path string, size long")
+    spark = packages.sparkSession
+    datasource.register(spark)
+    packages.select("doc_id", "content").write.format("packages").option("suffix", suffix).mode("append").save(folder)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(folder)
+    return found.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).cast("long").alias("doc_id"), "path", F.col("length").alias("size"))
