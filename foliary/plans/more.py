@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
-from foliary.operators import blocks, diff, integrity, jobs, runs
+from foliary.operators import blocks, diff, integrity, jobs, runs, versions
 from foliary.plans.queries import _FINDINGS, _JOBS, _LATEST, _LINES, _events, _findings, _read, job_latest, query
 from foliary.sources import packages, store
 from foliary.streaming import jobs as stream
@@ -328,3 +328,16 @@ def any_metas(spark, sf_dir):
     """Fields of metas whose shape differs by row; those that cannot be read are told as malformed."""
     rows = _read(spark, sf_dir, "events").select("event_id", F.expr(_SHAPES).alias("meta"))
     return jobs.any_meta(rows, "meta", {"number": ("$.k", "bigint"), "tag": ("$.tags[1]", "string"), "deep": ("$.k.deep[2]", "bigint"), "second": ("$[1].k", "double")}).select("event_id", "shape", "number", "tag", "deep", "second", "entries")
+
+
+@query("""WITH c AS (SELECT 'job:' || CAST(user_id AS VARCHAR) AS job_id, k, v, ts, event_id FROM (SELECT *, 'status' AS k, event_type AS v FROM events UNION ALL SELECT *, 'part' || event_id % 5, CAST(event_id AS VARCHAR) FROM events))
+  SELECT job_id, k, arg_max(v, (ts, event_id)) AS v, arg_max(event_id, (ts, event_id)) AS event_id FROM c GROUP BY ALL""")
+def durable_jobs(spark, sf_dir):
+    """Metas of jobs in a table with versions: three batches are merged, and one that was written but never committed is not seen."""
+    rows = _events(spark, sf_dir).select("job_id", "ts", "event_id", F.explode(F.create_map(F.lit("status"), F.col("status"), F.concat(F.lit("part"), (F.col("event_id") % 5).cast("string")), F.col("event_id").cast("string"))).alias("k", "v"))
+    folder, key, order = store.new_folder(spark, "versions"), ["job_id", "k"], ["ts", "event_id"]
+    for n in (2, 0, 1):
+        batch = rows.where(F.col("event_id") % 3 == n)
+        versions.merge(folder, batch, key, order)
+        versions.prepared(folder, batch.withColumns({"v": F.lit("lost"), "event_id": F.col("event_id") + 1_000_000_000}), key, order)
+    return versions.current(spark, folder, rows.schema).select("job_id", "k", "v", "event_id")

@@ -33,6 +33,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None):
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there are two queries of the name {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql
@@ -640,10 +642,3 @@ def json_meta(spark, sf_dir):
     batches = labels.select(F.col("doc_id").alias("batch_id"), F.concat(F.lit("["), entry(0), F.lit(","), entry(1), F.lit("]")).alias("metadata"))
     files = labels.select(F.col("doc_id").alias("batch_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("pos"))
     return jobs.with_metadata(files, jobs.batch_metadata(batches)).select(F.col("batch_id").alias("doc_id"), "pos", "title", "author")
-
-
-@query(f"SELECT event_id FROM events WHERE (lower(props) LIKE '%1%') AND coalesce(CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id % 13 AS INT) END, 5) BETWEEN 1 AND 10")
-def accepted_uploads(spark, sf_dir):
-    """Extension-like filter and priority range with a default."""
-    priority = F.coalesce(F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 13), F.lit(5))
-    return _read(spark, sf_dir, "events").where(F.lower("props").contains("1") & priority.between(1, 10)).select("event_id")

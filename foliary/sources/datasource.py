@@ -77,7 +77,7 @@ def parted(base: str, files: list[Found], most: int) -> list[Entries]:
         try:
             with store.open_input_file(f.path) as raw, zipfile.ZipFile(raw) as z:
                 sizes = [x.file_size for x in z.infolist()]
-        except (zipfile.BadZipFile, OSError):
+        except (zipfile.BadZipFile, OSError, ValueError):
             sizes = None
         if sizes is None:
             if size + f.size > most:
@@ -113,7 +113,7 @@ def _rows(part: Entries) -> Iterator[tuple]:
                 for i in places:
                     if not found[i].is_dir():
                         yield f.path, changed, i, found[i].filename, found[i].file_size, z.read(found[i]), None
-        except (zipfile.BadZipFile, OSError, IndexError, NotImplementedError, RuntimeError) as e:
+        except (zipfile.BadZipFile, OSError, ValueError, IndexError, NotImplementedError, RuntimeError) as e:
             yield f.path, changed, 0, None, None, None, str(e)
 
 

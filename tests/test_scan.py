@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from foliary.operators import books, intervals, lookups, outline, runs, scan, tables
+from foliary.operators import books, intervals, lookups, outline, runs, scan, tables, versions
 from foliary.sources import packages
 
 
@@ -116,3 +117,25 @@ def test_nearest_by_path(spark):
         return None
 
     assert {r.node_id: r.near for r in found} == {r[1]: want(r[3]) for r in rows if r[4] == "r"}
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    """Three batches, a crash between write and commit, two writers at once; only buckets that a batch meets are written."""
+    folder, schema = str(tmp_path / "jobs"), "job string, k string, v string, at long"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    read = lambda: {(r.job, r.k): r.v for r in versions.current(spark, folder, schema).collect()}
+    assert read() == {}
+    assert versions.merge(folder, rows(*((f"j{i}", "s", "old", 1) for i in range(200))), ["job", "k"], ["at"], 16) == 1
+    before = versions._manifest(spark, folder)["buckets"]
+    versions.merge(folder, rows(("j3", "s", "new", 2), ("j3", "t", None, 2), ("j4", "s", "late", 0)), ["job", "k"], ["at"], 16)
+    after = versions._manifest(spark, folder)["buckets"]
+    assert 1 <= sum(before[b] != after[b] for b in before) <= 3
+    versions.prepared(folder, rows(("j5", "s", "lost", 9)), ["job", "k"], ["at"], 16)  # a crash ahead of the commit
+    want = {(f"j{i}", "s"): "old" for i in range(200)} | {("j3", "s"): "new", ("j3", "t"): None}
+    assert read() == want
+    one, two = (versions.prepared(folder, rows((j, "s", "x", 3)), ["job", "k"], ["at"], 16) for j in ("j6", "j7"))
+    versions._commit(spark, folder, one)
+    with pytest.raises(versions.Conflict):
+        versions._commit(spark, folder, two)
+    assert versions.merge(folder, rows(("j7", "s", "x", 3)), ["job", "k"], ["at"], 16) == 4
+    assert read() == want | {("j6", "s"): "x", ("j7", "s"): "x"}
