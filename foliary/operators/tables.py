@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliary.functions import text as T
+from foliary.sources import store
 
 
 def grid_starts(cells: DataFrame, key: list[str]) -> DataFrame:
@@ -125,7 +126,7 @@ def rendered(cells: DataFrame, contents: DataFrame | None = None, images: DataFr
     tables of any depth together. A table is one string in the end.
     """
     key = ["doc_id", "table_id"]
-    kept = shown(cells)
+    kept = store.written(shown(cells))  # read by every part below
     at_cell = F.concat("path", F.array("row", "g"))
     piece = lambda at, x, u=None: F.struct(at.alias("at"), x.alias("x"), (F.lit(None).cast("string") if u is None else u).alias("u"))
     edge = lambda at, place: F.concat(at, F.array(F.lit(place).cast("long")))
