@@ -224,11 +224,11 @@ def level_content(spark, sf_dir):
     return books.level_content(nodes, books.content_files(books.nav_elements(books.nav_points(nodes), nodes))).drop("node_id")
 
 
-_MADE_FILES = "(VALUES (0, 'mimetype'), (1, 'META-INF/container.xml'), (2, 'EPUB/package.opf'), (3, 'EPUB/nav.xhtml'), (4, 'EPUB/style.css'), (5, 'EPUB/dtbook-1.xhtml')) f(k, path)"
+_MADE_FILES = "(VALUES (0, 'mimetype'), (1, 'META-INF/container.xml'), (2, 'EPUB/package.opf'), (3, 'EPUB/nav.xhtml'), (4, 'EPUB/style.css'), (5, 'EPUB/zedai-mods.xml'), (6, 'EPUB/dtbook-1.xhtml')) f(k, path)"
 
 
 @query(f"""{_SORTED}, e AS (SELECT doc_id, k, path FROM documents, {_MADE_FILES}
-    UNION ALL SELECT doc_id, 5 + row_number() OVER (PARTITION BY doc_id ORDER BY ord), 'EPUB/dtbook-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) + 1 AS VARCHAR) || '.xhtml' FROM tree WHERE level = 1
+    UNION ALL SELECT doc_id, 6 + row_number() OVER (PARTITION BY doc_id ORDER BY ord), 'EPUB/dtbook-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) + 1 AS VARCHAR) || '.xhtml' FROM tree WHERE level = 1
     UNION ALL SELECT doc_id, 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY {_IMAGE}), 'EPUB/images/' || {_IMAGE} FROM item_id WHERE type = 'image')
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, path FROM e""")
 def talking_book_to_ebook(spark, sf_dir):
@@ -237,6 +237,27 @@ def talking_book_to_ebook(spark, sf_dir):
     return packages.zip_entries(writers.archives(made)).select("doc_id", "ord", "path")
 
 
+@query("SELECT doc_id, 'Book <' || CAST(doc_id AS VARCHAR) || '>' AS title, source AS author, lang AS language, 'application/mods+xml' AS type FROM documents")
+def book_records(spark, sf_dir):
+    """The bibliographic record of the e-book of each talking book, read back, and its type in the manifest."""
+    entries = store.written(books.epub_entries(store.written(_daisy(spark, sf_dir).withColumnRenamed("entry_ord", "ord"))).where("path in ('EPUB/zedai-mods.xml', 'EPUB/package.opf')"))
+    nodes = packages.xml_nodes(entries)
+    of = lambda tag: F.min(F.when((F.col("file") == "EPUB/zedai-mods.xml") & (F.col("tag") == tag), F.col("text")))
+    listed = F.min(F.when((F.col("tag") == "item") & (F.col("attrs")["href"] == "zedai-mods.xml"), F.col("attrs")["media-type"]))
+    return nodes.groupBy("doc_id").agg(of("title").alias("title"), of("namePart").alias("author"), of("languageTerm").alias("language"), listed.alias("type"))
+
+
+@query(f"""SELECT doc_id, nsuri, CAST(k AS BIGINT) AS k, 'ns_' || name AS id, '//' || name AS path, name AS text FROM documents, (VALUES {", ".join(f"({k}, '{u}', '{n}')" for k, (u, n) in enumerate((u, n) for _, u, names in writers.RESOURCES for n in names))}) v(k, nsuri, name)""")
+def book_resources(spark, sf_dir):
+    """The node sets of each talking book's resource file, with their scope and text, in order."""
+    nodes = _nodes(spark, sf_dir, "dtbook.res")
+    scopes = nodes.where("tag = 'scope'").select("doc_id", F.col("node_id").alias("scope"), F.col("attrs")["nsuri"].alias("nsuri"))
+    texts = nodes.where("tag = 'text'").select("doc_id", F.element_at("ancestors", -2).alias("node_id"), "text")
+    sets = nodes.where("tag = 'nodeSet'").select("doc_id", "node_id", F.col("parent_id").alias("scope"), F.col("attrs")["id"].alias("id"), F.col("attrs")["select"].alias("path"))
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_id")).cast("long") - 1
+    return sets.join(scopes, ["doc_id", "scope"]).join(texts, ["doc_id", "node_id"]).select("doc_id", "nsuri", k.alias("k"), "id", "path", "text")
+
+
 _EPUB_FILES = "(VALUES (0, 'mimetype'), (1, 'META-INF/container.xml'), (2, 'EPUB/package.opf'), (3, 'EPUB/nav.xhtml'), (4, 'EPUB/title.xhtml'), (5, 'EPUB/content.xhtml'), (6, 'EPUB/style.css')) f(k, path)"
 
 

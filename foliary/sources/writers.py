@@ -23,7 +23,7 @@ from foliary.sources import datasource
 # Names and types that the formats prescribe.
 _HEAD = '<?xml version="1.0" encoding="utf-8"?>\n'
 _DTBOOK, _OPF, _SMIL, _NCX = (ROOTS[f][0] for f in ("dtbook.xml", "dtbook.opf", "dtbook.smil", "dtbook.ncx"))
-_XHTML, _OPS = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops"
+_XHTML, _OPS, _MODS = "http://www.w3.org/1999/xhtml", "http://www.idpf.org/2007/ops", "http://www.loc.gov/mods/v3"
 #: Resource file: the node sets of its two scopes.
 RESOURCES = (("nsuri", _NCX, ("navPoint", "pageTarget", "navTarget", "navMap", "pageList", "navList", "ncx")), ("nsuri", _SMIL, ("math", "altimg")))
 #: Files of a talking book that its package lists.
@@ -225,6 +225,14 @@ def title_page(title: Column, author: Column, publisher: Column, language: Colum
     )
 
 
+def mods(title: Column, author: Column, language: Column) -> Column:
+    """The bibliographic record of a book, its elements and values as the format prescribes."""
+    return _s(
+        _HEAD, f'<mods xmlns="{_MODS}"><titleInfo><title>', _words(title), '</title></titleInfo><name type="personal"><namePart>', _words(author), '</namePart><role><roleTerm type="text">author</roleTerm></role></name><language><languageTerm type="code" authority="iso639-2b">',
+        _words(language), '</languageTerm></language><physicalDescription><form authority="marcform">electronic</form><internetMediaType>application/epub+zip</internetMediaType></physicalDescription><typeOfResource>text</typeOfResource></mods>',
+    )
+
+
 def package_file(manifest: Column, spine: Column, as_of: str) -> Column:
     """The package of an e-book; needs the columns of `with_defaults`."""
     return _s(
