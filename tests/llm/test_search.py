@@ -115,10 +115,13 @@ def mined(docs, max_words=3, least=10, share=50, top=2000):
             n[lang or "und"] += len(w)
             f.update((lang or "und", tuple(w[i : i + k])) for k in range(1, max_words + 1) for i in range(len(w) - k + 1))
     own = {p: a for p, a in f.items() if len(p[1]) > 1 and a >= least}
-    rows = defaultdict(list)
+    rows, longer = defaultdict(list), Counter()
+    for (lang, q), b in own.items():
+        for k in range(2, len(q)):
+            for i in range(len(q) - k + 1):
+                longer[lang, q[i : i + k]] = max(longer[lang, q[i : i + k]], b)
     for (lang, p), a in own.items():
-        inside = lambda q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))  # noqa: B023, E731
-        if any(other == lang and len(q) > len(p) and inside(q) and 100 * b >= share * a for (other, q), b in own.items()):
+        if 100 * longer[lang, p] >= share * a:
             continue
         score, k = min((1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
         rows[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
